@@ -32,7 +32,9 @@ SAMPLE_PER_BOX = 24
 SLICE_QUERIES = 20_000  # query visits aimed at per task and box
 KERNEL_CELLS = 1 << 18  # distances held at once (2 MB: stays in cache)
 
-PAIRS = "id bigint, did bigint, d2 double"
+
+def _carried(column: str) -> str:
+    return f"_c_{column}"
 
 
 def _pattern(dims: Sequence[str]) -> Column:
@@ -85,7 +87,8 @@ def _leaf(nodes: list[tuple[int, float]], x: np.ndarray) -> np.ndarray:
     return at
 
 
-def _boxes(donors: DataFrame, dims: Sequence[str], by: str, box_rows: int) -> tuple[DataFrame, pd.DataFrame]:
+def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str], box_rows: int
+           ) -> tuple[DataFrame, pd.DataFrame]:
     """Donors with a ``box`` number, and the rectangle of every box (driver side)."""
     keys = donors.groupBy(by, "pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # groups x patterns
     total = sum(k["n"] for k in keys)
@@ -119,8 +122,9 @@ def _boxes(donors: DataFrame, dims: Sequence[str], by: str, box_rows: int) -> tu
                 box[at] = base[key] + (_leaf(trees[key], x[at]) if trees[key] else 0)
             yield f.assign(box=box)
 
-    schema = f"id bigint, {by} string, pattern int, {', '.join(f'{c} double' for c in columns)}, box bigint"
-    placed = durable(donors.select("id", by, "pattern", *columns).mapInPandas(place, schema))
+    numbers = ", ".join(f"{c} double" for c in [*columns, *map(_carried, carry)])
+    placed = durable(donors.select("id", by, "pattern", *columns, *map(_carried, carry)).mapInPandas(
+        place, f"id bigint, {by} string, pattern int, {numbers}, box bigint"))
     rects = placed.groupBy("box", by, "pattern").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"{c}_lo") for c in columns],
         *[F.max(c).alias(f"{c}_hi") for c in columns]).toPandas()
@@ -154,11 +158,11 @@ def _gaps(x: np.ndarray, mask: int, lo: np.ndarray, hi: np.ndarray, boxes: np.nd
     return out
 
 
-def _search(x: np.ndarray, masks: np.ndarray, ids: np.ndarray, y: np.ndarray, donor_mask: int, dids: np.ndarray,
-            k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k nearest donors of every query inside one box; every candidate tied at the k-th place is compared by id."""
+def _search(x: np.ndarray, masks: np.ndarray, y: np.ndarray, donor_mask: int, dids: np.ndarray, k: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, donor row, distance) of the k nearest inside one box; ties at the k-th place go by id."""
     order = np.argsort(dids, kind="stable")
-    y, dids = y[order], dids[order]
+    y = y[order]
     step = max(1, KERNEL_CELLS // max(len(y), 1))
     got: list[tuple] = []
     for mask in np.unique(masks & donor_mask):
@@ -186,13 +190,13 @@ def _search(x: np.ndarray, masks: np.ndarray, ids: np.ndarray, y: np.ndarray, do
             head = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.array([], dtype=int)
             place = np.arange(len(r)) - np.repeat(head, np.diff(np.r_[head, len(r)]))
             keep = place < k
-            got.append((ids[rows[r[keep]]], dids[c[keep]], d[keep]))
+            got.append((rows[r[keep]], order[c[keep]], d[keep]))
     if not got:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])
+        return np.array([], dtype=int), np.array([], dtype=int), np.array([])
     return tuple(np.concatenate(p) for p in zip(*got, strict=True))
 
 
-def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
+def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Sequence[str], k: int) -> DataFrame:
     """Search ``queries(id, dims, pattern, box, slices)`` against the donors of their box, slice by slice."""
     columns = list(dims)
     counts = {r["box"]: r["n"] for r in queries.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -204,19 +208,23 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int) -
     left = queries.withColumn("slice", F.pmod(F.xxhash64("id"), many).cast("int"))
     right = donors.withColumn("slice", F.explode(F.sequence(F.lit(0), many - 1)))
 
+    extra = [_carried(c) for c in carry]
+
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
-            return pd.DataFrame({"id": [], "did": [], "d2": []})
-        a, b, c = _search(q[columns].to_numpy(dtype=float), q["pattern"].to_numpy(), q["id"].to_numpy(),
-                          d[columns].to_numpy(dtype=float), int(d["pattern"].iloc[0]), d["id"].to_numpy(), k)
-        return pd.DataFrame({"id": a, "did": b, "d2": c})
+            return pd.DataFrame(columns=["id", "did", "d2", *extra])
+        at, to, d2 = _search(q[columns].to_numpy(dtype=float), q["pattern"].to_numpy(),
+                             d[columns].to_numpy(dtype=float), int(d["pattern"].iloc[0]), d["id"].to_numpy(), k)
+        return pd.DataFrame({"id": q["id"].to_numpy()[at], "did": d["id"].to_numpy()[to], "d2": d2,
+                             **{c: d[c].to_numpy()[to] for c in extra}})
 
-    return left.groupBy("box", "slice").cogroup(right.groupBy("box", "slice")).applyInPandas(search, PAIRS)
+    pairs = ", ".join(["id bigint, did bigint, d2 double", *[f"{c} double" for c in extra]])
+    return left.groupBy("box", "slice").cogroup(right.groupBy("box", "slice")).applyInPandas(search, pairs)
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
+def _best(pairs: DataFrame, carry: Sequence[str], k: int) -> DataFrame:
     """k best pairs per query as one sorted array."""
-    cells = F.array_sort(F.collect_list(F.struct("d2", "did")))  # at most k per visited box
+    cells = F.array_sort(F.collect_list(F.struct("d2", "did", *[F.col(_carried(c)).alias(c) for c in carry])))  # at most k per visited box
     return pairs.groupBy("id").agg(F.slice(cells, 1, k).alias("near"))
 
 
@@ -224,25 +232,29 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int, by: str | None = None,
-            exclude_self: bool = False, box_rows: int = BOX_ROWS) -> DataFrame:
-    """``(id, near)`` for every query row: ``near`` is an array of (d2, did), nearest first.
+            exclude_self: bool = False, carry: Sequence[str] = (), box_rows: int = BOX_ROWS) -> DataFrame:
+    """``(id, near)`` for every query row: ``near`` is an array of (d2, did, carry...), nearest first.
 
     Both tables hold ``id`` and ``dims`` (doubles, NULL allowed). ``by`` restricts neighbours to rows with
-    the same value of that column; ``exclude_self`` leaves a row out of its own answer.
+    the same value of that column; ``exclude_self`` leaves a row out of its own answer; ``carry`` names
+    numeric donor columns to bring along, which saves joining them back by donor id.
     """
-    dims, group = list(dims), by or "_all"
+    dims, carry, group = list(dims), list(carry), by or "_all"
     if by is None:
         queries, donors = queries.withColumn(group, F.lit("")), donors.withColumn(group, F.lit(""))
     point = [group, *dims]
     reach = k + 1 if exclude_self else k
 
-    def tidy(df: DataFrame) -> DataFrame:
+    def tidy(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         return df.select(F.col("id").cast("bigint").alias("id"), F.col(group).cast("string").alias(group),
-                         *[F.col(c).cast("double").alias(c) for c in dims]).withColumn("pattern", _pattern(dims))
+                         *[F.col(c).cast("double").alias(c) for c in dims],
+                         *[F.col(c).cast("double").alias(_carried(c)) for c in extra],
+                         ).withColumn("pattern", _pattern(dims))
 
     nth = F.row_number().over(Window.partitionBy(*point).orderBy("id"))
-    pool = tidy(donors).where(F.col("pattern") != 0).withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth")
-    placed, rects = _boxes(pool, dims, group, box_rows)
+    pool = (tidy(donors, carry).where(F.col("pattern") != 0)
+            .withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"))
+    placed, rects = _boxes(pool, dims, group, carry, box_rows)
 
     rows = tidy(queries)
     points = rows.groupBy(*point, "pattern").agg(F.min("id").alias("id"))  # equal points share one search
@@ -276,7 +288,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                     ["id", group, *dims, "pattern", "box"]]
 
     start = durable(points.select("id", group, *dims, "pattern").mapInPandas(home, layout))
-    first = durable(_visit(start, placed, dims, reach))
+    first = durable(_visit(start, placed, dims, carry, reach))
     limit = first.groupBy("id").agg(F.max("d2").alias("_worst"), F.count(F.lit(1)).alias("_got"))
     bounded = start.join(limit, "id", "left").withColumn(
         "_worst", F.when(F.col("_got") >= reach, F.col("_worst"))).drop("_got")
@@ -291,8 +303,8 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                 yield f.iloc[part[r]].assign(box=box[c])[["id", group, *dims, "pattern", "box"]]
 
     more = durable(bounded.select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
-    second = _visit(more, placed, dims, reach)
-    answers = _best(first.unionByName(second), reach)
+    second = _visit(more, placed, dims, carry, reach)
+    answers = _best(first.unionByName(second), carry, reach)
     keyed = start.select("id", *point).join(answers, "id")
     same = F.lit(True)
     for c in point:
