@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from . import encode, impute, quantiles
-from .features import gram
 
 MIN_KNOWN = 10
 MIN_FEATURES = 3
@@ -35,51 +34,110 @@ def _start(df: DataFrame, columns: Sequence[str], means: Mapping[str, float]) ->
         {c: F.coalesce(F.col(c), F.lit(means[c])) for c in columns})
 
 
+TABLE_COLUMNS = 8  # up to here every pattern's filling equation fits a small literal table
+
+
 @dataclass(frozen=True)
 class ChainedLinear:
-    """Fitted chain: start means, then one linear equation per column and round, in order."""
+    """Fitted chain: start means, then one linear equation per column and round, in order.
+
+    In a row with a given set of gaps every filled value is an affine function of the values present, in
+    every round. So the products of the present values, summed per gap pattern in one scan, hold all that
+    any later regression needs: the rounds themselves are small matrix algebra, however many rows there are.
+    """
 
     columns: Sequence[str]
     means: Mapping[str, float]
-    steps: Sequence[tuple[str, float, Mapping[str, float]]]
-
-    @staticmethod
-    def _step(df: DataFrame, column: str, base: float, slopes: Mapping[str, float]) -> DataFrame:
-        value = F.lit(base)
-        for c, b in slopes.items():
-            value = value + F.lit(b) * F.col(c)
-        return df.withColumn(column, F.when(F.col(f"_gap_{column}"), value).otherwise(F.col(column)))
+    steps: Sequence[tuple[int, np.ndarray]]  # column, weights over (1, centred columns)
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], rounds: int = 10) -> ChainedLinear:
-        """Each round regresses every gappy column on the others from one Gram scan of its known rows."""
-        columns = list(columns)
+        columns, d = list(columns), len(columns)
         order, means, _ = _order(df, columns)
-        state = durable(_start(df.select(*columns), columns, means))
-        steps: list[tuple[str, float, dict[str, float]]] = []
-        for turn in range(rounds):
-            for c in order:
-                others = [o for o in columns if o != c]
-                known = state.where(~F.col(f"_gap_{c}")).select(
-                    F.lit(1.0).alias("_one"), *[(F.col(o) - F.lit(means[o])).alias(o) for o in [*others, c]])
-                g = gram(known, ["_one", *others, c])
-                beta = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
-                slopes = dict(zip(others, beta[1:].tolist(), strict=True))
-                base = float(beta[0] + means[c] - sum(slopes[o] * means[o] for o in others))
-                steps.append((c, base, slopes))
-                state = cls._step(state, c, base, slopes)
-            if turn + 1 < rounds:
-                state = durable(state)  # keeps the plan from growing with the rounds
+        products = _pattern_products(df, columns, means)
+        views = {p: cls._view(p, d) for p in products}
+        steps: list[tuple[int, np.ndarray]] = []
+        for c in [columns.index(c) for c in order] * rounds:
+            total = np.zeros((d + 1, d + 1))
+            for p, g in products.items():
+                if not p >> c & 1:
+                    total += views[p] @ g @ views[p].T
+            keep = [i for i in range(d + 1) if i != c + 1]
+            weights = np.zeros(d + 1)
+            weights[keep] = np.linalg.lstsq(total[np.ix_(keep, keep)], total[keep, c + 1], rcond=None)[0]
+            steps.append((c, weights))
+            for p, view in views.items():
+                if p >> c & 1:
+                    view[c + 1] = weights @ view
         return cls(columns, means, steps)
 
+    @staticmethod
+    def _view(pattern: int, d: int) -> np.ndarray:
+        """Rows of (1, columns) as functions of (1, present centred values); gaps start at the mean, 0."""
+        view = np.eye(d + 1)
+        for c in range(d):
+            if pattern >> c & 1:
+                view[c + 1] = 0.0
+        return view
+
+    def equations(self, pattern: int) -> np.ndarray:
+        """What the whole chain makes of a row with these gaps."""
+        view = self._view(pattern, len(self.columns))
+        for c, weights in self.steps:
+            if pattern >> c & 1:
+                view[c + 1] = weights @ view
+        return view[1:]
+
     def apply(self, df: DataFrame) -> DataFrame:
         """A pure projection, also for new rows or a stream."""
+        d = len(self.columns)
+        centred = [F.coalesce(F.col(c) - F.lit(self.means[c]), F.lit(0.0)) for c in self.columns]
+        if d > TABLE_COLUMNS:
+            return self._apply_steps(df)
+        table = F.lit(np.stack([self.equations(p) for p in range(1 << d)]).ravel())
+        at = _gap_pattern(self.columns) * (d * (d + 1))
+        filled = {}
+        for i, c in enumerate(self.columns):
+            value = F.lit(self.means[c]) + F.get(table, at + i * (d + 1))
+            for j in range(d):
+                value = value + F.get(table, at + (i * (d + 1) + j + 1)) * centred[j]
+            filled[c] = F.coalesce(F.col(c), value)
+        return df.withColumns(filled)
+
+    def _apply_steps(self, df: DataFrame) -> DataFrame:
         out = _start(df, self.columns, self.means)
-        for column, base, slopes in self.steps:
-            out = self._step(out, column, base, slopes)
+        for i, weights in self.steps:
+            c = self.columns[i]
+            value = F.lit(self.means[c] + float(weights[0]))
+            for o, w in zip(self.columns, weights[1:], strict=True):
+                if o != c:
+                    value = value + F.lit(float(w)) * (F.col(o) - F.lit(self.means[o]))
+            out = out.withColumn(c, F.when(F.col(f"_gap_{c}"), value).otherwise(F.col(c)))
         return out.drop(*[f"_gap_{c}" for c in self.columns])
 
 
+def _gap_pattern(columns: Sequence[str]):
+    mask = F.lit(0)
+    for i, c in enumerate(columns):
+        mask = mask + F.when(F.col(c).isNull(), 1 << i).otherwise(0)
+    return mask
+
+
+def _pattern_products(df: DataFrame, columns: Sequence[str], means: Mapping[str, float]) -> dict[int, np.ndarray]:
+    """Sums of products of (1, centred values, gaps as 0) per gap pattern: one scan, combined map-side."""
+    d = len(columns)
+    x = [F.lit(1.0), *[F.coalesce(F.col(c) - F.lit(means[c]), F.lit(0.0)) for c in columns]]
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    sums = df.groupBy(_gap_pattern(columns).alias("_gaps")).agg(*[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs])
+    out = {}
+    for row in sums.collect():  # as many rows as patterns occur
+        g = np.zeros((d + 1, d + 1))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = row[f"p{i}_{j}"]
+        out[row["_gaps"]] = g
+    return out
+
+
 def chained_forest(df: DataFrame, columns: Sequence[str], rounds: int = 10, trees: int = 10, depth: int = 5,
                    seed: int = 42) -> DataFrame:
     """The same chain with a forest per column and round."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quantiles
 from .profile import missing_counts
+from .schema import rows
 
 INDICATOR_SHARE = 0.05
 UNKNOWN = "Unknown"
@@ -80,12 +81,11 @@ def improvement(before: DataFrame, after: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(c) for c in cols],
             F.count_if(_complete(cols)).alias("_ok"))
         gone = [F.col("_n") - F.col(c) for c in cols]
-        return row.select(F.explode(F.array(
-            F.struct(F.lit("complete_cases").alias("metric"), F.col("_ok").alias(name)),
-            F.struct(F.lit("columns_with_missing"), sum(((g > 0).cast("bigint") for g in gone[1:]),
-                                                        (gone[0] > 0).cast("bigint"))),
-            F.struct(F.lit("missing_values"), sum(gone[1:], gone[0])),
-        )).alias("m")).select("m.*")
+        marks = [(g > 0).cast("bigint") for g in gone]
+        return row.select(rows(
+            {"metric": "complete_cases", name: F.col("_ok")},
+            {"metric": "columns_with_missing", name: sum(marks[1:], marks[0])},
+            {"metric": "missing_values", name: sum(gone[1:], gone[0])}).alias("m")).select("m.*")
 
     change = F.col("after") - F.col("before")
     return (facts(before, "before").join(F.broadcast(facts(after, "after")), "metric")

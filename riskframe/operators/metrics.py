@@ -12,6 +12,8 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schema import rows
+
 # Bands of the train-validation gap.
 GAP_GOOD = 0.05
 GAP_OK = 0.07
@@ -36,10 +38,9 @@ def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support, predicted, hits, precision, recall, F1 per class from confusion counts."""
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0))
     none = F.lit(0).cast("bigint")
-    sides = cells.select(*by, F.explode(F.array(
-        F.struct(F.col("y").alias("class"), F.col("n").alias("support"), none.alias("predicted"),
-                 hit.cast("bigint").alias("hits")),
-        F.struct(F.col("p"), none, F.col("n"), none))).alias("s")).select(*by, "s.*")
+    sides = cells.select(*by, rows(
+        {"class": F.col("y"), "support": F.col("n"), "predicted": none, "hits": hit.cast("bigint")},
+        {"class": F.col("p"), "support": none, "predicted": F.col("n"), "hits": none}).alias("s")).select(*by, "s.*")
     sums = sides.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     hits = F.col("hits") * F.lit(1.0)
 

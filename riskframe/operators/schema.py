@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -48,3 +48,10 @@ def unpivot(df: DataFrame, columns: Sequence[str], name: str = "column", value:
             F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns
         ])).alias("cell")
     ).select(f"cell.{name}", f"cell.{value}")
+
+
+def rows(*cells: dict[str, Column | object]) -> Column:
+    """Several output rows per input row, to be exploded: equal names, one value per name and row."""
+    return F.explode(F.array(*[
+        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(name) for name, v in cell.items()])
+        for cell in cells]))
