@@ -12,7 +12,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, spread
 from . import encode, impute, quantiles
 
 MIN_KNOWN = 10
@@ -143,7 +143,7 @@ def chained_forest(df: DataFrame, columns: Sequence[str], rounds: int = 10, tree
     """The same chain with a forest per column and round."""
     columns = list(columns)
     order, means, _ = _order(df, columns)
-    state = _start(df, columns, means)
+    state = durable(_start(spread(df), columns, means))
     for _ in range(rounds):
         for c in order:
             others = [o for o in columns if o != c]
@@ -190,7 +190,7 @@ def forest_category(df: DataFrame, column: str, target: str | None = None, keys:
             names.append(f"_n{i}")
         return VectorAssembler(inputCols=[*names, *dummies], outputCol="_x").transform(ready).drop(*names, *dummies)
 
-    known, unknown = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
+    known, unknown = spread(df.where(F.col(column).isNotNull())), df.where(F.col(column).isNull())
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees,
                                     maxDepth=depth, seed=seed)
     model = forest.fit(packed(known).withColumn("_y", classes.encode(column).cast("double")))

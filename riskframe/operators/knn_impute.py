@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .neighbors import nearest
 
 
@@ -18,7 +19,7 @@ def knn_values(df: DataFrame, target: str, features: Sequence[str], key: str, k:
     """
     dims = [f for f in features if f != target]
     scale = (len(dims) + 1) / len(dims)  # constant factor: it cannot change the order, only d2
-    rows = df.select(F.col(key).alias("id"), target, *dims)
+    rows = durable(df.select(F.col(key).alias("id"), target, *dims))  # read by several stages
     near = nearest(rows.where(F.col(target).isNull()), rows.where(F.col(target).isNotNull()), dims, k, carry=[target])
     total = F.aggregate("near", F.lit(0.0), lambda a, p: a + p[target])
     return near.select(F.col("id").alias(key), (total / F.size("near")).alias("value"),

@@ -20,6 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import tables
 from . import metrics
 from .encode import LabelCodec
@@ -108,8 +109,10 @@ class Fitted:
 
 
 def _labelled(df: DataFrame, features: Sequence[str], y: str, codec: LabelCodec, weight: str | None) -> DataFrame:
+    """Label, vector and weight in even cached parts: every training iteration reads them."""
     cols = [codec.encode(y).cast("double").alias("label"), "features"] + ([weight] if weight else [])
-    return pack(df, features).select(*cols)
+    lean = df.select(*features, y, *([weight] if weight else []))
+    return pack(spread(lean), features).select(*cols).persist()
 
 
 def boosted(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, max_depth: int = 4,
@@ -117,7 +120,7 @@ def boosted(df: DataFrame, features: Sequence[str], y: str, weight: str | None =
             seed: int = 42, codec: LabelCodec | None = None) -> Fitted:
     """Gradient-boosted trees, one binary booster per class over one cached training table."""
     codec = codec or LabelCodec.fit(df, y)
-    data = _labelled(df, features, y, codec, weight).persist()
+    data = _labelled(df, features, y, codec, weight)
     try:
         parts = []
         for i in range(len(codec.classes)):
@@ -135,7 +138,11 @@ def _single(kind: str, estimator, df, features, y, weight, codec) -> Fitted:
     codec = codec or LabelCodec.fit(df, y)
     if weight:
         estimator = estimator.setWeightCol(weight)
-    return Fitted(kind, codec.classes, tuple(features), (estimator.fit(_labelled(df, features, y, codec, weight)),))
+    data = _labelled(df, features, y, codec, weight)
+    try:
+        return Fitted(kind, codec.classes, tuple(features), (estimator.fit(data),))
+    finally:
+        data.unpersist()
 
 
 def forest(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, n_estimators: int = 50,
@@ -171,7 +178,7 @@ def tune(df: DataFrame, kind: str, features: Sequence[str], y: str, fold: str, w
     """
     grid = grid or DEFAULT_GRIDS[kind]
     settings = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
-    data = df.select(*features, y, fold, *([weight] if weight else [])).persist()
+    data = spread(df.select(*features, y, fold, *([weight] if weight else []))).persist()
     codec = LabelCodec.fit(data, y)
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, slices, spread
 
 BOX_ROWS = 4_096  # donors aimed at per box
 MAX_BOXES = 1 << 16
@@ -200,10 +200,10 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Se
     """Search ``queries(id, dims, pattern, box, slices)`` against the donors of their box, slice by slice."""
     columns = list(dims)
     counts = {r["box"]: r["n"] for r in queries.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slices = {b: math.ceil(n / SLICE_QUERIES) for b, n in counts.items() if n > SLICE_QUERIES}
+    pieces = {b: math.ceil(n / SLICE_QUERIES) for b, n in counts.items() if n > SLICE_QUERIES}
     many = F.lit(1)
-    if slices:  # at most MAX_BOXES entries
-        table = F.create_map(*[F.lit(v) for b, s in slices.items() for v in (b, s)])
+    if pieces:  # at most MAX_BOXES entries
+        table = F.create_map(*[F.lit(v) for b, s in pieces.items() for v in (b, s)])
         many = F.coalesce(F.try_element_at(table, F.col("box")), F.lit(1))
     left = queries.withColumn("slice", F.pmod(F.xxhash64("id"), many).cast("int"))
     right = donors.withColumn("slice", F.explode(F.sequence(F.lit(0), many - 1)))
@@ -219,6 +219,9 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Se
                              **{c: d[c].to_numpy()[to] for c in extra}})
 
     pairs = ", ".join(["id bigint, did bigint, d2 double", *[f"{c} double" for c in extra]])
+    base = slices(queries.sparkSession)
+    parts = max(base, min(8 * base, len(counts) + sum(pieces.values()) - len(pieces)))  # several boxes per part even out
+    left, right = (spread(t, "box", "slice", parts=parts) for t in (left, right))
     return left.groupBy("box", "slice").cogroup(right.groupBy("box", "slice")).applyInPandas(search, pairs)
 
 
@@ -252,8 +255,9 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                          ).withColumn("pattern", _pattern(dims))
 
     nth = F.row_number().over(Window.partitionBy(*point).orderBy("id"))
-    pool = (tidy(donors, carry).where(F.col("pattern") != 0)
-            .withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"))
+    # the rank filter is applied per task before the shuffle too, so copies of a point never travel together
+    pool = durable(spread(tidy(donors, carry).where(F.col("pattern") != 0)
+                          .withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"), "id"))
     placed, rects = _boxes(pool, dims, group, carry, box_rows)
 
     rows = tidy(queries)
@@ -287,7 +291,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                 yield f.iloc[part].assign(box=box[ranked.argmin(axis=1)])[
                     ["id", group, *dims, "pattern", "box"]]
 
-    start = durable(points.select("id", group, *dims, "pattern").mapInPandas(home, layout))
+    start = durable(spread(points, "id").select("id", group, *dims, "pattern").mapInPandas(home, layout))
     first = durable(_visit(start, placed, dims, carry, reach))
     limit = first.groupBy("id").agg(F.max("d2").alias("_worst"), F.count(F.lit(1)).alias("_got"))
     bounded = start.join(limit, "id", "left").withColumn(
@@ -302,7 +306,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                 r, c = np.nonzero((gap <= worst[part, None]) & (box[None, :] != done[part, None]))
                 yield f.iloc[part[r]].assign(box=box[c])[["id", group, *dims, "pattern", "box"]]
 
-    more = durable(bounded.select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
+    more = durable(spread(bounded, "id").select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
     second = _visit(more, placed, dims, carry, reach)
     answers = _best(first.unionByName(second), carry, reach)
     keyed = start.select("id", *point).join(answers, "id")

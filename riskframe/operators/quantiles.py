@@ -20,6 +20,7 @@ from .schema import unpivot
 
 ACCURACY = 10_000  # sketch accuracy: rank error at most rows / ACCURACY
 MARGIN = 2.0 / ACCURACY  # bracket half width; twice the sketch error
+FEW_VALUES = 50_000  # columns with about this many values or fewer use the built-in exact percentile
 WHOLE_ROWS = 200_000  # a slot with no more rows than this is counted whole
 BRACKET_ROWS = 2_000_000  # a bracket that may hold more rows than this is narrowed again
 
@@ -152,6 +153,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                        for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
 
+    row = df.agg(*[F.count(F.col(c)).alias(f"{c}_n") for c in columns],
+                 *[F.approx_count_distinct(c).alias(f"{c}_u") for c in columns]).first()
+    few = [c for c in columns if row[f"{c}_n"] <= WHOLE_ROWS or row[f"{c}_u"] <= FEW_VALUES]
+    out = {}
+    if few:  # the value -> count map of these columns is small
+        exact = df.agg(*[F.percentile(c, list(probs)).alias(c) for c in few]).first()
+        out = {c: exact[c] if exact[c] is not None else [None] * len(probs) for c in few}
+    many = [c for c in columns if c not in few]
+    if many:
+        out.update(_ranked_quantiles(df, many, probs))
+    return out
+
+
+def _ranked_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     def ranks(_slot: str, p: float, n: int) -> set[int]:
         at = p * (n - 1)
         return {math.floor(at) + 1, math.ceil(at) + 1}

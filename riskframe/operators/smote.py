@@ -57,7 +57,8 @@ def regular(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[str
 
     Features must be complete. Every row of a raised class seeds about the same number of copies.
     """
-    return _synthesize(df, df, y, features, targets, key, k, seed)
+    rows = durable(df.select(key, y, *features))  # read by quotas, neighbour search and the final join
+    return _synthesize(rows, rows, y, features, targets, key, k, seed)
 
 
 def danger(df: DataFrame, y: str, classes: Sequence[str], features: Sequence[str], key: str, m: int = 10) -> DataFrame:
@@ -79,13 +80,14 @@ def borderline(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[
                k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
     """Like ``regular``, but only endangered rows seed new ones."""
     classes = [c for c, (n, t) in targets.items() if t > n]
-    # read again by the quotas, the neighbour search and the final join
-    seeds = durable(df.join(danger(df, y, classes, features, key, m).select(key), key, "left_semi"))
-    return _synthesize(seeds, df, y, features, targets, key, k, seed)
+    rows = durable(df.select(key, y, *features))
+    seeds = durable(rows.join(danger(rows, y, classes, features, key, m).select(key), key, "left_semi"))
+    return _synthesize(seeds, rows, y, features, targets, key, k, seed)
 
 
 def tomek_links(df: DataFrame, y: str, features: Sequence[str], key: str) -> DataFrame:
     """``(id_a, id_b)``: pairs of different classes that are each other's nearest row."""
+    df = durable(df.select(key, y, *features))
     rows = df.select(F.col(key).alias("id"), *features)
     near = nearest(rows, rows, features, 1, exclude_self=True).where(F.size("near") > 0)
     did = F.element_at("near", 1)["did"]

@@ -34,6 +34,7 @@ from ..operators import (
     split,
     study,
 )
+from ..session import durable, spread
 from ..sources import tables
 from ..sources.visits import CLASSES, VITALS, preds, table, visits
 
@@ -526,7 +527,8 @@ def sample_n(spark, d):
 
 def _training(spark, d):
     """Split first, then fit the fills on training rows only; weights from the training classes."""
-    v = split.stratified(visits(spark, d, ["visit_id", "arrival_ts", *MODEL_FEATURES, "triage"]), "triage", "visit_id")
+    v = split.stratified(visits(spark, d, ["visit_id", *MODEL_FEATURES, "triage"]), "triage", "visit_id")
+    v = durable(spread(v, "visit_id"))  # the stage table that fills, weights, fits and scoring read
     train = F.col("split") == "train"
     v = impute.fit_median(v.where(train), MODEL_FEATURES).apply(v)
     return balance.attach_weights(v, "triage", balance.weight_table(v.where(train), "triage"))
@@ -794,7 +796,7 @@ def learning_curve_sizes(spark, d):
 
 
 def _ready(spark, d):
-    v = visits(spark, d, ["visit_id", "arrival_ts", *MODEL_FEATURES, "triage"])
+    v = durable(spread(visits(spark, d, ["visit_id", "arrival_ts", *MODEL_FEATURES, "triage"]), "visit_id"))
     return impute.fit_median(v, MODEL_FEATURES).apply(v)
 
 

@@ -37,6 +37,20 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def slices(spark: SparkSession) -> int:
+    """How many parts compute-heavy stages are cut into: the cluster's shuffle setting, at least its cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
+    """Even parts for work whose cost is per row, not per byte.
+
+    Adaptive execution merges small shuffles by size, which would leave a heavy kernel or a training loop
+    on one core; an explicit number of parts is left as it is.
+    """
+    return df.repartition(parts or slices(df.sparkSession), *by)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 
