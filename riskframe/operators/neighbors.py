@@ -29,7 +29,8 @@ from ..session import durable, slices, spread
 BOX_ROWS = 4_096  # donors aimed at per box
 MAX_BOXES = 1 << 16
 SAMPLE_PER_BOX = 24
-SLICE_QUERIES = 20_000  # query visits aimed at per task and box
+SLICE_QUERIES = 20_000  # query visits per task and box, at least
+PART_ROWS = 512  # donors per part inside a box
 KERNEL_CELLS = 1 << 18  # distances held at once (2 MB: stays in cache)
 
 
@@ -158,56 +159,79 @@ def _gaps(x: np.ndarray, mask: int, lo: np.ndarray, hi: np.ndarray, boxes: np.nd
     return out
 
 
+def _merge(best_d: np.ndarray, best_i: np.ndarray, rows: np.ndarray, total: np.ndarray, at: np.ndarray) -> None:
+    """Fold distances ``total`` (rows x donors ``at``) into each row's k best; ties go to the smaller donor place."""
+    k = best_d.shape[1]
+    limit = best_d[rows, k - 1]
+    if total.shape[1] > k:
+        limit = np.minimum(limit, np.partition(total, k - 1, axis=1)[:, k - 1])
+    r, c = np.nonzero(total <= limit[:, None])
+    old_r, old_c = np.nonzero(best_i[rows] >= 0)
+    r, d, i = (np.concatenate(x) for x in (
+        (r, old_r), (total[r, c], best_d[rows[old_r], old_c]), (at[c], best_i[rows[old_r], old_c])))
+    keep = np.isfinite(d)
+    r, d, i = r[keep], d[keep], i[keep]
+    order = np.lexsort((i, d, r))
+    r, d, i = r[order], d[order], i[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    top = place < k
+    best_d[rows[r[top]], place[top]] = d[top]
+    best_i[rows[r[top]], place[top]] = i[top]
+
+
 def _search(x: np.ndarray, masks: np.ndarray, y: np.ndarray, donor_mask: int, dids: np.ndarray, k: int
             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, donor row, distance) of the k nearest inside one box; ties at the k-th place go by id."""
-    order = np.argsort(dids, kind="stable")
+    """(query row, donor row, distance) of the k nearest inside one box.
+
+    A large box is cut once more, so that a query is compared with the few parts near it only: first its
+    nearest part, then every part whose rectangle lies within the k-th distance found so far.
+    """
+    order = np.argsort(dids, kind="stable")  # places follow ids, so comparing places breaks ties by id
     y = y[order]
-    step = max(1, KERNEL_CELLS // max(len(y), 1))
-    got: list[tuple] = []
+    depth = max(0, math.ceil(math.log2(max(1.0, len(y) / PART_ROWS))))
+    flat = np.nan_to_num(y)
+    leaf = _leaf(_median_tree(flat, depth), flat) if depth else np.zeros(len(y), dtype=np.int64)
+    parts = [np.flatnonzero(leaf == n) for n in np.unique(leaf)]
+    lo = np.array([y[p].min(axis=0) for p in parts])
+    hi = np.array([y[p].max(axis=0) for p in parts])
+    best_d, best_i = np.full((len(x), k), np.inf), np.full((len(x), k), -1, dtype=np.int64)
     for mask in np.unique(masks & donor_mask):
         weight = _shared_weight(np.array([mask]), x.shape[1])[0]
         if np.isnan(weight):
             continue
         mine = np.flatnonzero((masks & donor_mask) == mask)
         axes = [j for j in range(x.shape[1]) if mask >> j & 1]
-        for at in range(0, len(mine), step):
-            rows = mine[at:at + step]
-            total = np.zeros((len(rows), len(y)))
-            for j in axes:
-                diff = x[rows, j, None] - y[None, :, j]
-                diff *= diff
-                total += diff
-            total *= weight
-            if len(y) > k:
-                worst = np.partition(total, k - 1, axis=1)[:, k - 1]
-                r, c = np.nonzero(total <= worst[:, None])
-            else:
-                r, c = np.nonzero(np.isfinite(total))
-            d = total[r, c]
-            best = np.lexsort((c, d, r))  # c follows id order
-            r, c, d = r[best], c[best], d[best]
-            head = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.array([], dtype=int)
-            place = np.arange(len(r)) - np.repeat(head, np.diff(np.r_[head, len(r)]))
-            keep = place < k
-            got.append((rows[r[keep]], order[c[keep]], d[keep]))
-    if not got:
-        return np.array([], dtype=int), np.array([], dtype=int), np.array([])
-    return tuple(np.concatenate(p) for p in zip(*got, strict=True))
+        gap = _gaps(x[mine], int(mask), lo, hi, np.full(len(parts), donor_mask))
+        home = gap.argmin(axis=1)
+        for near in (True, False):
+            for n, part in enumerate(parts):
+                wanted = home == n if near else (home != n) & (gap[:, n] <= best_d[mine, k - 1])
+                todo = mine[wanted]
+                step = max(1, KERNEL_CELLS // len(part))
+                for s in range(0, len(todo), step):
+                    rows = todo[s:s + step]
+                    total = np.zeros((len(rows), len(part)))
+                    for j in axes:
+                        diff = x[rows, j, None] - y[None, part, j]
+                        diff *= diff
+                        total += diff
+                    total *= weight
+                    _merge(best_d, best_i, rows, total, part)
+    at, place = np.nonzero(best_i >= 0)
+    return at, order[best_i[at, place]], best_d[at, place]
 
 
 def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Sequence[str], k: int) -> DataFrame:
     """Search ``queries(id, dims, pattern, box, slices)`` against the donors of their box, slice by slice."""
     columns = list(dims)
-    counts = {r["box"]: r["n"] for r in queries.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pieces = {b: math.ceil(n / SLICE_QUERIES) for b, n in counts.items() if n > SLICE_QUERIES}
-    many = F.lit(1)
-    if pieces:  # at most MAX_BOXES entries
-        table = F.create_map(*[F.lit(v) for b, s in pieces.items() for v in (b, s)])
-        many = F.coalesce(F.try_element_at(table, F.col("box")), F.lit(1))
-    left = queries.withColumn("slice", F.pmod(F.xxhash64("id"), many).cast("int"))
-    right = donors.withColumn("slice", F.explode(F.sequence(F.lit(0), many - 1)))
-
+    # a slice holds about as many visits as its box has donors, so donors repeat no more than visits do
+    sizes = donors.groupBy("box").agg(F.count(F.lit(1)).alias("_donors"))
+    plan = durable(queries.groupBy("box").agg(F.count(F.lit(1)).alias("_visits")).join(sizes, "box").select(
+        "box", F.ceil(F.col("_visits") / F.greatest(F.col("_donors"), F.lit(SLICE_QUERIES))).cast("int").alias("_slices")))
+    tasks = plan.agg(F.sum("_slices")).first()[0] or 0
+    left = queries.join(F.broadcast(plan), "box").withColumn(  # at most MAX_BOXES rows
+        "slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
+    right = donors.join(F.broadcast(plan), "box").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
     extra = [_carried(c) for c in carry]
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +244,7 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Se
 
     pairs = ", ".join(["id bigint, did bigint, d2 double", *[f"{c} double" for c in extra]])
     base = slices(queries.sparkSession)
-    parts = max(base, min(8 * base, len(counts) + sum(pieces.values()) - len(pieces)))  # several boxes per part even out
+    parts = max(base, min(8 * base, tasks))  # several boxes per part even out
     left, right = (spread(t, "box", "slice", parts=parts) for t in (left, right))
     return left.groupBy("box", "slice").cogroup(right.groupBy("box", "slice")).applyInPandas(search, pairs)
 

@@ -106,8 +106,10 @@ def brute(q, d, dims, k, by=None, exclude=False):
     return out
 
 
-@pytest.mark.parametrize("k, exclude, by, box", [(3, False, None, 16), (5, True, "g", 8), (1, True, None, 10_000)])
-def test_nearest_is_exact(spark, k, exclude, by, box):
+@pytest.mark.parametrize("k, exclude, by, box, part", [
+    (3, False, None, 16, 512), (5, True, "g", 8, 4), (1, True, None, 10_000, 512), (4, True, None, 10_000, 6)])
+def test_nearest_is_exact(spark, monkeypatch, k, exclude, by, box, part):
+    monkeypatch.setattr(neighbors, "PART_ROWS", part)
     rng = np.random.default_rng(3)
     n = 400
     pdf = pd.DataFrame({c: rng.integers(0, 12, n).astype(float) for c in "abc"})
