@@ -402,7 +402,7 @@ _GOALS = f"{_COUNTS}, goal AS (SELECT class, n, {_TARGET.format(ratio='2e0')} AS
 def _synthesis(seeds: str) -> str:
     """Quotas by hash order, five nearest rows of the class, one keyed draw per copy."""
     digest = "md5('42|' || CAST(visit_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR))"
-    mixed = ", ".join(r(f"q.{c} + c.u * (d.{c} - q.{c})", c) for c in NEAR)
+    mixed = ", ".join(f"q.{c} + c.u * (d.{c} - q.{c}) AS {c}" for c in NEAR)
     return f"""
   sd AS ({seeds}),
   qt AS (SELECT visit_id, triage, (target - g.n) // m + CAST(rn <= (target - g.n) % m AS BIGINT) AS quota FROM (
@@ -419,19 +419,31 @@ def _synthesis(seeds: str) -> str:
 
 
 _SMOTE = f"{_FILLED}, {_GOALS}, {_synthesis('SELECT visit_id, triage FROM fv')}"
-sql("smote", "SELECT * FROM syn", _SMOTE)
+_SYN = "SELECT triage, seed_id, copy, " + ", ".join(r(c, c) for c in NEAR) + " FROM syn"
+sql("smote", _SYN, _SMOTE)
 _RAISED = "(SELECT class FROM goal WHERE target > n)"
 _DANGER = f"""dg AS (SELECT visit_id, triage FROM (
       SELECT q.visit_id, q.triage, arg_min(d.triage, ({_D2}, d.visit_id), 10) AS near FROM fv q
       JOIN fv d ON q.visit_id <> d.visit_id WHERE q.triage IN {_RAISED} GROUP BY q.visit_id, q.triage)
     WHERE len(list_filter(near, lambda c: c <> triage)) * 2 >= len(near)
       AND len(list_filter(near, lambda c: c <> triage)) < len(near))"""
-sql("smote_borderline", "SELECT * FROM syn", f"{_FILLED}, {_GOALS}, {_DANGER}, {_synthesis('SELECT * FROM dg')}")
+sql("smote_borderline", _SYN, f"{_FILLED}, {_GOALS}, {_DANGER}, {_synthesis('SELECT * FROM dg')}")
 sql("tomek_links", """SELECT a.visit_id AS id_a, b.visit_id AS id_b, a.triage AS class_a, b.triage AS class_b
     FROM n1 x JOIN n1 y ON x.did = y.visit_id AND y.did = x.visit_id AND x.visit_id < y.visit_id
     JOIN fv a ON a.visit_id = x.visit_id JOIN fv b ON b.visit_id = y.visit_id WHERE a.triage <> b.triage""",
     f"""{_FILLED}, n1 AS MATERIALIZED (SELECT q.visit_id, min(CAST({_D2} AS BIGINT) * 1000000000 + d.visit_id) % 1000000000 AS did
     FROM fv q JOIN fv d ON q.visit_id <> d.visit_id GROUP BY q.visit_id)""")
+_ND2 = _D2.replace("q.", "a.").replace("d.", "b.")
+sql("smote_tomek", "SELECT visit_id, triage, " + ", ".join(r(c, c) for c in NEAR) + """ FROM whole
+    WHERE visit_id NOT IN (SELECT id_a FROM links UNION ALL SELECT id_b FROM links)""", f"""{_SMOTE},
+  whole AS MATERIALIZED (SELECT visit_id, triage, {', '.join(NEAR)} FROM fv UNION ALL
+    SELECT -(seed_id * ((SELECT max(target) FROM goal) + 1) + copy) - 1, triage, {', '.join(NEAR)} FROM syn),
+  closest AS MATERIALIZED (SELECT a.visit_id, min({_ND2}) AS m FROM whole a JOIN whole b ON a.visit_id <> b.visit_id
+    GROUP BY a.visit_id),
+  first AS MATERIALIZED (SELECT a.visit_id, a.triage, min(b.visit_id) AS did FROM (SELECT * FROM whole JOIN closest
+    USING (visit_id)) a JOIN whole b ON a.visit_id <> b.visit_id AND {_ND2} = a.m GROUP BY a.visit_id, a.triage),
+  links AS (SELECT x.visit_id AS id_a, y.visit_id AS id_b FROM first x JOIN first y ON x.did = y.visit_id
+    AND y.did = x.visit_id AND x.triage <> y.triage AND x.visit_id < y.visit_id)""")
 _RES = f"{_GOALS}, tot AS (SELECT sum(n) AS sn, sum(target) AS st, max(n) AS xn, min(n) AS mn, max(target) AS xt, min(target) AS mt FROM goal)"
 sql("resample_report", f"""SELECT class, n AS n_before, target AS n_after, target - n AS change,
     {r('100e0 * (target - n) / n', 'change_pct')}, {r('xn / CAST(mn AS DOUBLE)', 'ir_before')},
@@ -511,6 +523,28 @@ sql("overfit_gaps", "SELECT " + ", ".join(r(f"{a}.{m}", f"{n}_{m}") for a, n in
     CASE WHEN t.accuracy - v.accuracy < 0.05e0 THEN 'GOOD' WHEN t.accuracy - v.accuracy < 0.07e0 THEN 'OK' ELSE 'HIGH' END AS band
     FROM (SELECT * FROM ev WHERE split = 'train') t, (SELECT * FROM ev WHERE split = 'validation') v""",
     f"{_PSPLIT}, {scored('SELECT split, y_true AS y, y_pred AS p, 1 AS w FROM ps', 'split')}")
+_CAL_HALF = f"""half AS MATERIALIZED (SELECT *, CASE WHEN rn <= floor(0.5e0 * n + 0.5e0) THEN 'select' ELSE 'calibrate' END
+    AS split FROM ({ranked('preds', 'visit_id', 'y_true', 43)}))"""
+
+
+def _isotonic(c: str, s: str) -> str:
+    """Least-squares monotone steps by the max-min formula, interpolated between fitted scores."""
+    return f"""d_{c} AS (SELECT x, row_number() OVER w AS i, sum(h) OVER w AS ch, sum(n) OVER w AS cn, h, n FROM (
+        SELECT {s} AS x, CAST(count(*) FILTER (y_true = '{c}') AS DOUBLE) AS h, count(*) AS n FROM half
+        WHERE split = 'calibrate' GROUP BY {s}) WINDOW w AS (ORDER BY x)),
+      m_{c} AS (SELECT j.i AS j, i.i AS i, min((k.ch - j.ch + j.h) / (k.cn - j.cn + j.n)) AS lowest
+        FROM d_{c} j JOIN d_{c} i ON j.i <= i.i JOIN d_{c} k ON k.i >= i.i GROUP BY j.i, i.i),
+      g_{c} AS (SELECT x, g FROM d_{c} JOIN (SELECT i, max(lowest) AS g FROM m_{c} GROUP BY i) USING (i)),
+      f_{c} AS (SELECT s, coalesce(CASE WHEN b.x = a.x THEN a.g ELSE a.g + (b.g - a.g) * (s - a.x) / (b.x - a.x) END, a.g, b.g) AS f
+        FROM (SELECT s, (SELECT max(x) FROM g_{c} WHERE x <= s) AS lo, (SELECT min(x) FROM g_{c} WHERE x >= s) AS hi
+          FROM (SELECT DISTINCT {s} AS s FROM half)) LEFT JOIN g_{c} a ON a.x = lo LEFT JOIN g_{c} b ON b.x = hi)"""
+
+
+_CAL_SUM = "(f_RED.f + f_YELLOW.f + f_GREEN.f)"
+sql("isotonic_calibration", "SELECT visit_id, split, " + ", ".join(r(
+    f"CASE WHEN {_CAL_SUM} > 0 THEN f_{c}.f / {_CAL_SUM} ELSE 1 / 3e0 END", f'"cal_{c}"') for c in SCORES) + " FROM half "
+    + " ".join(f"JOIN f_{c} ON f_{c}.s = half.{s}" for c, s in SCORES.items()),
+    _CAL_HALF + ", " + ", ".join(_isotonic(c, s) for c, s in SCORES.items()))
 _SOFT = "CASE WHEN p_red >= p_yellow AND p_red >= p_green THEN 'RED' WHEN p_yellow >= p_green THEN 'YELLOW' ELSE 'GREEN' END"
 _COMPARE = f"""{_PSPLIT}, {scored(f'''SELECT model, split, y, p, 1 AS w FROM (
     SELECT 'A' AS model, split, y_true AS y, y_pred AS p FROM ps UNION ALL SELECT 'B', split, y_true, y_pred_b FROM ps

@@ -571,7 +571,8 @@ def isotonic_calibration(spark, d):
     p = preds(spark, d, ["visit_id", "y_true", "p_red", "p_yellow", "p_green"])
     parts = split.halves(p, "y_true", "visit_id")
     fitted = models.Calibrator.fit(parts.where("split = 'calibrate'"), "y_true", SCORES)
-    return fitted.apply(parts, SCORES).drop("y_true")
+    out = fitted.apply(parts, SCORES).select("visit_id", "split", *[f"cal_{c}" for c in SCORES])
+    return r6(out, *[f"cal_{c}" for c in SCORES])
 
 
 def _three_models(spark, d):
