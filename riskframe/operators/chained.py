@@ -94,15 +94,16 @@ class ChainedLinear:
         centred = [F.coalesce(F.col(c) - F.lit(self.means[c]), F.lit(0.0)) for c in self.columns]
         if d > TABLE_COLUMNS:
             return self._apply_steps(df)
+        width = d * (d + 1)
         table = F.lit(np.stack([self.equations(p) for p in range(1 << d)]).ravel())
-        at = _gap_pattern(self.columns) * (d * (d + 1))
+        marked = df.withColumn("_eq", F.slice(table, _gap_pattern(self.columns) * width + 1, width))  # this row's equations
         filled = {}
         for i, c in enumerate(self.columns):
-            value = F.lit(self.means[c]) + F.get(table, at + i * (d + 1))
+            value = F.lit(self.means[c]) + F.get("_eq", F.lit(i * (d + 1)))
             for j in range(d):
-                value = value + F.get(table, at + (i * (d + 1) + j + 1)) * centred[j]
+                value = value + F.get("_eq", F.lit(i * (d + 1) + j + 1)) * centred[j]
             filled[c] = F.coalesce(F.col(c), value)
-        return df.withColumns(filled)
+        return marked.withColumns(filled).drop("_eq")
 
     def _apply_steps(self, df: DataFrame) -> DataFrame:
         out = _start(df, self.columns, self.means)

@@ -40,10 +40,12 @@ def _carried(column: str) -> str:
 
 def _pattern(dims: Sequence[str]) -> Column:
     """Bit mask of the present coordinates."""
-    mask = F.lit(0)
+    if len(dims) > 62:
+        raise ValueError("at most 62 coordinates")
+    mask = F.lit(0).cast("bigint")
     for i, c in enumerate(dims):
-        mask = mask + F.when(F.col(c).isNotNull(), 1 << i).otherwise(0)
-    return mask.cast("int")
+        mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return mask
 
 
 # ---- boxes ----------------------------------------------------------------------------------------------
@@ -125,7 +127,7 @@ def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str]
 
     numbers = ", ".join(f"{c} double" for c in [*columns, *map(_carried, carry)])
     placed = durable(donors.select("id", by, "pattern", *columns, *map(_carried, carry)).mapInPandas(
-        place, f"id bigint, {by} string, pattern int, {numbers}, box bigint"))
+        place, f"id bigint, {by} string, pattern bigint, {numbers}, box bigint"))
     rects = placed.groupBy("box", by, "pattern").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"{c}_lo") for c in columns],
         *[F.max(c).alias(f"{c}_hi") for c in columns]).toPandas()
@@ -280,8 +282,9 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
 
     nth = F.row_number().over(Window.partitionBy(*point).orderBy("id"))
     # the rank filter is applied per task before the shuffle too, so copies of a point never travel together
-    pool = durable(spread(tidy(donors, carry).where(F.col("pattern") != 0)
-                          .withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"), "id"))
+    pool = durable(spread(tidy(donors, carry).withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"), "id"))
+    # filtered once stored: as part of the plan above, a condition over all coordinates makes planning explode
+    pool = pool.where(F.col("pattern") != 0)
     placed, rects = _boxes(pool, dims, group, carry, box_rows)
 
     rows = tidy(queries)
@@ -289,7 +292,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
     lo = rects[[f"{c}_lo" for c in dims]].to_numpy(dtype=float)
     hi = rects[[f"{c}_hi" for c in dims]].to_numpy(dtype=float)
     shared = queries.sparkSession.sparkContext.broadcast(  # bounded by MAX_BOXES rectangles
-        (rects["box"].to_numpy(), rects[group].to_numpy(), rects["pattern"].to_numpy(dtype=int),
+        (rects["box"].to_numpy(), rects[group].to_numpy(), rects["pattern"].to_numpy(dtype=np.int64),
          rects["n"].to_numpy(), lo, hi))
 
     def bounds(f: pd.DataFrame):
@@ -303,7 +306,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
                 part = at[s:s + chunk]
                 yield part, box[mine], size[mine], _gaps(x[s:s + chunk], int(mask), low[mine], high[mine], pattern[mine])
 
-    layout = f"id bigint, {group} string, {', '.join(f'{c} double' for c in dims)}, pattern int, box bigint"
+    layout = f"id bigint, {group} string, {', '.join(f'{c} double' for c in dims)}, pattern bigint, box bigint"
 
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
