@@ -22,6 +22,16 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(d.component, s.doc_id) AS com
        coalesce(d.component, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN d ON d.sh = list_sort(s.sh)"""
 
+_PAGES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to, url
+FROM m JOIN pages USING (page_id)"""
+
 ORACLES: dict[str, str] = {
+    "op9_warc_index": _PAGES,
     "op8_minhash_hamming": _NEAR,
 }

@@ -8,7 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join, quality_rules
+from riskframe.llm import hamming_join, quality_rules, schedule, tiling, token_files, warc_index
+
+
+def tokenizer_file() -> str:
+    """The vocabulary file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +30,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, reordered or not; no other document."""
+    return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, read back from them."""
+    return token_files.read(*token_files.write(_table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return schedule.taken(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: shingles, class id, and whether it is its class's first."""
     return hamming_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    found = warc_index.read(*warc_index.write(_table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_greedy_tiling": op2_greedy_tiling,
+    "op4_token_files": op4_token_files,
+    "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_minhash_hamming": op8_minhash_hamming,
+    "op9_warc_index": op9_warc_index,
 }
