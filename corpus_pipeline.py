@@ -5,19 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join
+from riskframe.llm import hamming_join, quality_rules, schedule, tiling, token_files
+from riskframe.llm.queries import tokenizer_file
 from riskframe.llm.shared import small_side, stored
 
+#: The token files' rows hold the answer of a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id, null included, is not in ``gone``."""
+    ids = small_side(stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go. Rows with one id and different verdicts are told apart by their text."""
+    judged = quality_rules.quality_rules(docs)
+    bad = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = small_side(stored(bad, "rejected"))
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_id"]) & (rows["_text"] == bad["_hash"]), "left_anti").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    gone = stored(hamming_join.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows of one id stay or go together."""
+    ids = hamming_join.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return _without(docs, ids.where("not kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, tiling.contaminated(docs, benchmark))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources at their target weights: a row for each time that it takes a document."""
+    return schedule.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token files: each row's place, read back from them."""
+    return token_files.read(*token_files.write(docs, tokenizer_file()))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources),
+          ("token_output", token_output)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

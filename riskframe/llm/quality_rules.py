@@ -224,14 +224,14 @@ def estimates(rows: DataFrame, support: float = 0.6, trial_steps: int = 3, most_
 
 def quality_rules(docs: DataFrame, min_words: int = 10, most_repeats: int = 20, least_group: int = 50, support: float = 0.6,
                   quantile: float = 0.9999) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang, source): its counts, ``base_failed``, ``distance``, ``kept``.
+    """One row per row of ``docs`` (doc_id, text, lang, source): its counts, ``base_failed``, ``distance``, ``text_hash``, ``kept``.
 
     A document fails the base rules with fewer than ``min_words`` words (a null or empty text has none) or more than
     ``most_repeats`` % of words in repeated 5-word windows. The others are judged by the estimate of their language and source;
     a group with fewer than ``least_group`` of them by its language's, or that of all rows. Null languages and sources are
     groups of their own. Repeated rows and ids are judged row by row; without any row to estimate from, the base rules decide.
     """
-    stats = statistics(docs.select("doc_id", "text", "lang", "source"))
+    stats = statistics(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_hash")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     stats = stored(stats.withColumn("base_failed", failed).withColumns(transformed()), "statistics")
     keys = stored(_keys(stats, least_group), "groups")
@@ -244,4 +244,4 @@ def quality_rules(docs: DataFrame, min_words: int = 10, most_repeats: int = 20,
     judged = keyed.join(small_side(found), "key", "left").withColumn("distance", F.sqrt(_distance()))
     inside = F.coalesce(F.col("distance") <= math.sqrt(chi2_quantile(quantile, P)), F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper",
-                         "base_failed", "distance", (~F.col("base_failed") & inside).alias("kept"))
+                         "base_failed", "distance", "text_hash", (~F.col("base_failed") & inside).alias("kept"))
