@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures differ in at most FARTHEST symbols."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sign_a", "sign_b"))
+        a, b = _signs(batch.column("sign_a")), _signs(batch.column("sign_b"))
         keep = (a != b).sum(axis=1) <= FARTHEST
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
@@ -113,22 +112,62 @@ def _similar(percent: int):
     return run
 
 
+def _signs(column: pa.Array) -> np.ndarray:
+    """Signatures of a column without nulls, one row of symbols each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _apart(ids: np.ndarray, comp: np.ndarray, left: np.ndarray, signs: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
+    """Pairs of one meeting between different components: each left row's nearest right row, or all within FARTHEST."""
+    out = []
+    right = np.flatnonzero(left != 0)
+    for at in range(0, len(ids), 256):
+        rows = at + np.flatnonzero(left[at : at + 256] != 1)
+        far = np.empty((len(rows), len(right)), np.int16)
+        for k in range(0, len(right), 1024):
+            far[:, k : k + 1024] = (signs[rows, None] != signs[None, right[k : k + 1024]]).sum(axis=2)
+        far[comp[rows, None] == comp[None, right]] = SYMBOLS + 1
+        if nearest and len(right):
+            best = far.argmin(axis=1)
+            good = np.flatnonzero(far[np.arange(len(rows)), best] <= FARTHEST)
+            found = (rows[good], right[best[good]])
+        else:
+            i, j = np.nonzero(far <= FARTHEST)
+            found = (rows[i], right[j])
+        out += zip(ids[found[0]].tolist(), ids[found[1]].tolist(), strict=True)
+    return out
+
+
 def _across(nearest: bool):
-    """Pairs of one key between different components: each row's nearest, or all, within FARTHEST symbols."""
+    """Reads rows sorted by meeting (key, x, y), one meeting in memory at a time."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "left", "sign"]).sort_values("doc_id")
-        signs = np.frombuffer(b"".join(rows["sign"]), np.uint16).reshape(-1, SYMBOLS)
-        ids, comp = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
-        left, right = np.flatnonzero(rows["left"] != 1), np.flatnonzero(rows["left"] != 0)
-        out = []
-        for i in left:
-            other = right[comp[right] != comp[i]]
-            if len(other):
-                far = (signs[other] != signs[i]).sum(axis=1)
-                pick = [int(far.argmin())] if nearest else np.arange(len(other))
-                out += [(min(ids[i], ids[other[j]]), max(ids[i], ids[other[j]])) for j in pick if far[j] <= FARTHEST]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        name = None
+        found: set[tuple[int, int]] = set()
+
+        def end() -> None:
+            ids, comp, left, signs = (np.concatenate(c) for c in zip(*held, strict=True))
+            found.update((min(p), max(p)) for p in _apart(ids, comp, left, signs, nearest))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, x, y, left, ids, comp = (batch.column(c).to_numpy() for c in ("key", "x", "y", "left", "doc_id", "component"))
+            signs = _signs(batch.column("sign"))
+            cuts = 1 + np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0))
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if held and name != (key[a], x[a], y[a]):
+                    end()
+                name = (key[a], x[a], y[a])
+                held.append((ids[a:b], comp[a:b], left[a:b], signs[a:b]))
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found.clear()
+        if held:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -185,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         open_keys = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"))
         open_keys = open_keys.where("c < d").select("key", "n")
         rows = _blocked(at.join(signed, "doc_id"), open_keys).repartition(tasks(spark), "key", "x", "y")
-        pairs = rows.groupBy("key", "x", "y").applyInPandas(_across(nearest), "a long, b long").distinct()
+        pairs = rows.sortWithinPartitions("key", "x", "y").mapInArrow(_across(nearest), "a long, b long").distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break

@@ -83,10 +83,10 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, space
     start, end, bounds = spans(data, offsets, space)
     if not len(start):
         return Words(start, end, np.zeros(0, np.uint64), bounds)
-    size = end - start
+    size = (end - start).astype(np.int32)
     at = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(at, size)
-    values = _BYTE[fold[data[np.repeat(start, size) + within]]] * powers(_BASE, int(size.max()))[within]
+    within = np.arange(int(at[-1] + size[-1]), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    values = _BYTE[fold][data[~space[data]]] * powers(_BASE, int(size.max()))[within]
     return Words(start, end, mix(np.add.reduceat(values, at) + size.astype(np.uint64)), bounds)
 
 
