@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join, quality_rules, schedule, tiling, token_files, warc_index
+from riskframe.llm import hamming_join, pairwise_quality, quality_rules, schedule, tiling, token_files, warc_index, weak_toxicity
 
 
 def tokenizer_file() -> str:
@@ -40,11 +40,21 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(*token_files.write(_table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    return weak_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return schedule.taken(_table(spark, sf_dir, "documents"))
 
 
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    return pairwise_quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: shingles, class id, and whether it is its class's first."""
     return hamming_join.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -60,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_greedy_tiling": op2_greedy_tiling,
     "op4_token_files": op4_token_files,
+    "op5_weak_toxicity": op5_weak_toxicity,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
+    "op7_pairwise_quality": op7_pairwise_quality,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_warc_index": op9_warc_index,
 }

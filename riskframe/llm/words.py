@@ -90,6 +90,16 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, space
     return Words(start, end, mix(np.add.reduceat(values, at) + size.astype(np.uint64)), bounds)
 
 
+def prefix_hashes(data: np.ndarray, found: Words, length: int, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of at least ``length`` bytes, and the hash of their first ``length`` bytes."""
+    long = np.flatnonzero(found.end - found.start >= length)
+    total = np.zeros(len(long), np.uint64)
+    scale = powers(_BASE, length)
+    for k in range(length):
+        total += _BYTE[fold[data[found.start[long] + k]]] * scale[k]
+    return long, mix(total + np.uint64(length * 0xD1B54A32D192ED03 % 2**64))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each ``width`` words in a row; the order of the words counts."""
     n = len(hashes) - width + 1
