@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join, pairwise_quality, quality_rules, schedule, tiling, token_files, warc_index, weak_toxicity
+from riskframe.llm import hamming_join, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
 
 
 def tokenizer_file() -> str:
@@ -66,6 +66,11 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the recurrent model and the base."""
+    return recurrent.language_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_greedy_tiling": op2_greedy_tiling,
@@ -75,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pairwise_quality": op7_pairwise_quality,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_warc_index": op9_warc_index,
+    "op10_recurrent_scores": op10_recurrent_scores,
 }
