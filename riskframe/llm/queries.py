@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
+from riskframe.llm import hamming_join, longest_factor, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
 
 
 def tokenizer_file() -> str:
@@ -35,6 +35,12 @@ def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_longest_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document."""
+    found = longest_factor.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the token files, read back from them."""
     return token_files.read(*token_files.write(_table(spark, sf_dir, "documents"), tokenizer_file()))
@@ -74,6 +80,7 @@ def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_greedy_tiling": op2_greedy_tiling,
+    "op3_longest_factor": op3_longest_factor,
     "op4_token_files": op4_token_files,
     "op5_weak_toxicity": op5_weak_toxicity,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
