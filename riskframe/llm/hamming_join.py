@@ -233,5 +233,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         found = components(links)
     classes = first.join(found, first["first"] == found["node"], "left").select(
         "digest", F.coalesce("component", "first").alias("component_id"))
-    out = signs.join(classes, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signs.join(classes, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
