@@ -4,8 +4,10 @@ A document's signature holds ``CHUNKS * WIDTH`` symbols of 16 bits, each the low
 Two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols have, by pigeonhole, a chunk that differs in at
 most ``ERRORS`` symbols; so every document is filed under each chunk with each choice of ``ERRORS`` symbols left out, and all
 pairs within that distance meet under a common key. At a similarity of 0.75 a pair misses all keys with probability 2e-6.
-Pairs that meet are confirmed on their full shingle sets. Components need no pair between documents that are linked already:
-pairs go to a key's first document, then to the nearest foreign one, then all that is left between different components.
+Pairs that meet are confirmed on their full shingle sets, in two rounds: with a key's first document, and then all that meet and
+are not in one component yet. The second round returns no pairs to be tested: a first pass leaves the documents that have a
+likely partner in another component, each pair under the first key that its two documents share, and a second pass gets their
+sets and returns confirmed links, no more than join the components it sees.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id) for each chunk and each choice of symbols left out."""
+    """(key, doc_id) for each chunk and each choice of symbols left out; the key's low 6 bits number the two."""
     kept = list(combinations(range(WIDTH), WIDTH - ERRORS))
     for batch in batches:
         if not batch.num_rows:
@@ -82,7 +84,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = signs[:, :, choice[0]]
             for c in choice[1:]:
                 packed = (packed << np.uint64(16)) | signs[:, :, c]
-            out.append(W.mix(packed + W.mix(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(len(kept)) + np.uint64(k))))
+            slot = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(len(kept)) + np.uint64(k)
+            out.append(W.mix(packed + W.mix(slot)) & ~np.uint64(63) | slot)
         keys = np.stack(out, axis=2).reshape(len(ids), -1)
         for at in range(0, len(ids), 2000):
             part = keys[at : at + 2000]
@@ -117,66 +120,117 @@ def _signs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _apart(ids: np.ndarray, comp: np.ndarray, left: np.ndarray, signs: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
-    """Pairs of one meeting between different components: each left row's nearest right row, or all within FARTHEST."""
-    out = []
+def _first_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key, by number, under which signatures meet; for pairs that share a key."""
+    same = (a == b).reshape(len(a), CHUNKS, WIDTH)
+    enough = same.sum(axis=2) >= WIDTH - ERRORS
+    chunk = enough.argmax(axis=1)
+    own = same[np.arange(len(a)), chunk]
+    # choices leave out the last symbol first
+    return chunk * WIDTH + np.where(own.all(axis=1), 0, WIDTH - 1 - own.argmin(axis=1))
+
+
+def _likely(slot: int, comp: np.ndarray, left: np.ndarray, size: np.ndarray, signs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a meeting in different components, within FARTHEST symbols, of sizes that allow a link, first met here."""
     right = np.flatnonzero(left != 0)
-    for at in range(0, len(ids), 256):
+    for at in range(0, len(comp), 256):
         rows = at + np.flatnonzero(left[at : at + 256] != 1)
-        far = np.empty((len(rows), len(right)), np.int16)
+        near = np.zeros((len(rows), len(right)), bool)
         for k in range(0, len(right), 1024):
-            far[:, k : k + 1024] = (signs[rows, None] != signs[None, right[k : k + 1024]]).sum(axis=2)
-        far[comp[rows, None] == comp[None, right]] = SYMBOLS + 1
-        if nearest and len(right):
-            best = far.argmin(axis=1)
-            good = np.flatnonzero(far[np.arange(len(rows)), best] <= FARTHEST)
-            found = (rows[good], right[best[good]])
-        else:
-            i, j = np.nonzero(far <= FARTHEST)
-            found = (rows[i], right[j])
-        out += zip(ids[found[0]].tolist(), ids[found[1]].tolist(), strict=True)
-    return out
-
-
-def _across(nearest: bool):
-    """Reads rows sorted by meeting (key, x, y), one meeting in memory at a time."""
+            near[:, k : k + 1024] = (signs[rows, None] != signs[None, right[k : k + 1024]]).sum(axis=2) <= FARTHEST
+        small, large = np.minimum(size[rows, None], size[None, right]), np.maximum(size[rows, None], size[None, right])
+        near &= (comp[rows, None] != comp[None, right]) & (100 * small >= percent * large)
+        i, j = np.nonzero(near)
+        i, j = rows[i], right[j]
+        here = _first_slot(signs[i], signs[j]) == slot
+        if here.any():
+            yield i[here], j[here]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """(key, x, y), then arrays of one meeting's left, doc_id, component, size, signs and ``more``; rows come sorted by meeting."""
+    held: list[tuple] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, x, y, *numbers = (batch.column(c).to_numpy() for c in ("key", "x", "y", "left", "doc_id", "component", "size"))
+        columns = [*numbers, _signs(batch.column("sign")), *(np.array(batch.column(c).to_pylist(), object) for c in more)]
+        cuts = 1 + np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0))
+        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if held and name != (key[a], x[a], y[a]):
+                yield name, *(np.concatenate(c) for c in zip(*held, strict=True))
+                held = []
+            name = (key[a], x[a], y[a])
+            held.append(tuple(c[a:b] for c in columns))
+    if held:
+        yield name, *(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _with_partner(percent: int):
+    """The rows of each meeting that have a likely partner in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        name = None
-        found: set[tuple[int, int]] = set()
+        out: list[tuple] = []
+        for (key, x, y), left, ids, comp, size, signs in _meetings(batches):
+            found = [k for pair in _likely(int(key) & 63, comp, left, size, signs, percent) for k in pair]
+            for k in np.unique(np.concatenate(found)) if found else ():
+                out.append((key, x, y, left[k], ids[k], comp[k], size[k], signs[k].tobytes()))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROW_TYPES, strict=True)], _ROW)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROW_TYPES, strict=True)], _ROW)
+
+    return run
 
-        def end() -> None:
-            ids, comp, left, signs = (np.concatenate(c) for c in zip(*held, strict=True))
-            found.update((min(p), max(p)) for p in _apart(ids, comp, left, signs, nearest))
-            held.clear()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, x, y, left, ids, comp = (batch.column(c).to_numpy() for c in ("key", "x", "y", "left", "doc_id", "component"))
-            signs = _signs(batch.column("sign"))
-            cuts = 1 + np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0))
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if held and name != (key[a], x[a], y[a]):
-                    end()
-                name = (key[a], x[a], y[a])
-                held.append((ids[a:b], comp[a:b], left[a:b], signs[a:b]))
-            if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-                found.clear()
-        if held:
-            end()
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+_ROW = ["key", "x", "y", "left", "doc_id", "component", "size", "sign"]
+_ROW_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _joined(percent: int):
+    """Confirmed links of each meeting, none between components that earlier links of the meeting have joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, _), left, ids, comp, size, signs, found in _meetings(batches, "found"):
+            sets: dict[int, frozenset] = {}
+            above: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while above.get(c, c) != c:
+                    above[c] = above.get(above[c], above[c])
+                    c = above[c]
+                return c
+
+            links = []
+            for left_rows, right_rows in _likely(int(key) & 63, comp, left, size, signs, percent):
+                for i, j in zip(left_rows.tolist(), right_rows.tolist(), strict=True):
+                    p, q = top(int(comp[i])), top(int(comp[j]))
+                    if p == q:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = frozenset(np.frombuffer(found[k], np.uint64).tolist())
+                    shared = len(sets[i] & sets[j])
+                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                        above[max(p, q)] = min(p, q)
+                        links.append((ids[i], ids[j]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, found) of the documents whose doc_id is in ``ids``."""
+    needed = small_side(stored(ids.select("doc_id").distinct(), "needed"))
+    return stored(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, found binary"), "sets")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    sets = docs.join(small_side(needed), "doc_id", "left_semi")
-    sets = stored(sets.mapInArrow(_sets, "doc_id long, found binary"), "sets")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
     two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a")
     return stored(two.select("a", "b", "found_a", "found_b").mapInArrow(_similar(percent), "a long, b long").distinct(), "confirmed")
@@ -189,7 +243,7 @@ def _blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
         F.least("part", o).alias("x"), F.greatest("part", o).alias("y"),
         F.when(F.col("part") == o, 2).when(F.col("part") < o, 0).otherwise(1).alias("left"))))
-    return cut.withColumn("meet", meet).select("key", "meet.x", "meet.y", "meet.left", "doc_id", "component", "sign")
+    return cut.withColumn("meet", meet).select("key", "meet.x", "meet.y", "meet.left", "doc_id", "component", "size", "sign")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -204,9 +258,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, sign binary"), "signatures")
     real = signs.where("n_shingles > 0 and doc_id is not null")
-    first = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sign").alias("sign"))
+    first = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
     first = stored(first, "sets-once")
-    nodes = first.select(F.col("first").alias("doc_id"), "sign").dropDuplicates(["doc_id", "sign"])
+    nodes = first.select(F.col("first").alias("doc_id"), "sign", "size").dropDuplicates(["doc_id", "sign"])
     keys = stored(nodes.mapInArrow(_keys, "key long, doc_id long"), "keys")
     heads = stored(keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z"), "heads")
     meetings = stored(keys.join(heads.select("key", "a"), "key"), "meetings")
@@ -215,22 +269,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = stored(meetings.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
     near = (star.join(signed.withColumnsRenamed({"doc_id": "b", "sign": "sign_b"}), "b")
             .join(signed.withColumnsRenamed({"doc_id": "a", "sign": "sign_a"}), "a").select("a", "b", "sign_a", "sign_b"))
-    tested = stored(near.mapInArrow(_near, "a long, b long").distinct(), "candidates")
-    links = _confirmed(docs, tested, percent)
+    links = _confirmed(docs, stored(near.mapInArrow(_near, "a long, b long").distinct(), "candidates"), percent)
+
     found = components(links)
-    for nearest in (True, False):
-        at = meetings.join(found, meetings["doc_id"] == found["node"], "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"))
-        open_keys = open_keys.where("c < d").select("key", "n")
-        rows = _blocked(at.join(signed, "doc_id"), open_keys).repartition(tasks(spark), "key", "x", "y")
-        pairs = rows.sortWithinPartitions("key", "x", "y").mapInArrow(_across(nearest), "a long, b long").distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = stored(tested.unionByName(pairs), "candidates")
-        links = stored(links.unionByName(_confirmed(docs, pairs, percent)), "links")
-        found = components(links)
+    at = meetings.join(found, meetings["doc_id"] == found["node"], "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_keys = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"))
+    open_keys = open_keys.where("c < d").select("key", "n")
+    together = lambda rows: rows.repartition(tasks(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows = together(_blocked(at.join(nodes, "doc_id"), open_keys))
+    rows = stored(rows.mapInArrow(_with_partner(percent), "key long, x int, y int, left int, doc_id long, component long, size long, sign binary"), "likely")
+    rows = together(rows.join(_sets_of(docs, rows), "doc_id").select(*_ROW, "found"))
+    more = stored(rows.mapInArrow(_joined(percent), "a long, b long").distinct(), "links")
+    found = components(links.unionByName(more))
     classes = first.join(found, first["first"] == found["node"], "left").select(
         "digest", F.coalesce("component", "first").alias("component_id"))
     out = signs.join(classes, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
