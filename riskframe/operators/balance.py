@@ -49,14 +49,15 @@ def report(before: DataFrame, after: DataFrame, y: str) -> DataFrame:
     w = _whole()
     old = counts(before, y).withColumnRenamed("n", "n_before")
     new = counts(after, y).withColumnRenamed("n", "n_after")
-    both = new.join(F.broadcast(old), "class", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    # one row per class; a class that is gone from one table counts 0 rows there
+    both = new.join(old, "class", "full").fillna(0, ["n_before", "n_after"])
     change = F.col("n_after") - F.col("n_before")
     return both.select(
         "class", "n_before", "n_after", change.alias("change"),
         F.coalesce(F.try_divide(change * F.lit(100.0), F.col("n_before")), F.lit(0.0)).alias("change_pct"),
-        (F.max("n_before").over(w) / F.min("n_before").over(w)).alias("ir_before"),
-        (F.max("n_after").over(w) / F.min("n_after").over(w)).alias("ir_after"),
-        (F.sum(change).over(w) * F.lit(100.0) / F.sum("n_after").over(w)).alias("synthetic_pct"))
+        F.try_divide(F.max("n_before").over(w), F.min("n_before").over(w)).alias("ir_before"),
+        F.try_divide(F.max("n_after").over(w), F.min("n_after").over(w)).alias("ir_after"),
+        F.try_divide(F.sum(change).over(w) * F.lit(100.0), F.sum("n_after").over(w)).alias("synthetic_pct"))
 
 
 def class_weights(df: DataFrame, y: str, manual: Mapping[str, float] | None = None) -> DataFrame:
@@ -86,7 +87,7 @@ def quality_checks(before: DataFrame, after: DataFrame, y: str, ir: float = 2.0,
     """Four gates over the resampled table."""
     table = report(before, after, y)
     w = _whole()
-    weight = F.sum("n_after").over(w) / F.col("n_after")
+    weight = F.try_divide(F.sum("n_after").over(w), F.col("n_after"))
     facts = table.withColumn("weight", weight).agg(
         F.max("synthetic_pct").alias("synthetic"), F.max("ir_after").alias("ratio"),
         (F.max("weight") / F.min("weight")).alias("weights"))

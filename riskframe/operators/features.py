@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import clinical as C
 from ..functions.scalars import cut, finite, flag, to_number
 from . import quantiles
-from .schema import roles
 
 VARIANCE_FLOOR = 1e-6
 VIF_LIMIT = 10.0
@@ -71,18 +70,24 @@ def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return out
 
 
-def vif_from_gram(g: np.ndarray) -> np.ndarray:
-    """Uncentred inflation factors from a Gram matrix, infinite where columns depend on each other."""
-    d = len(g)
-    if d == 0:
-        return np.zeros(0)
+def vif_from_gram(g: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """Uncentred inflation factors from a Gram matrix.
+
+    Columns that take part in a linear dependency are infinite; every other column has its factor over all columns, which the
+    pseudo-inverse gives. A column of zeros is infinite and leaves the others alone.
+    """
+    out = np.full(len(g), np.inf)
     root = np.sqrt(np.diag(g))
-    if (root == 0).any():
-        return np.full(d, np.inf)
-    unit = g / np.outer(root, root)  # same factors, far better conditioned
-    if np.linalg.cond(unit) > 1e14:
-        return np.full(d, np.inf)
-    return np.diag(np.linalg.inv(unit)).copy()
+    used = np.flatnonzero(root > 0)
+    if not len(used):
+        return out
+    unit = g[np.ix_(used, used)] / np.outer(root[used], root[used])  # same factors, far better conditioned
+    value, vector = np.linalg.eigh(unit)
+    null = value <= tolerance * value[-1]
+    dependent = (vector[:, null] ** 2).sum(axis=1) > 1e-8
+    inverse = (vector[:, ~null] ** 2 / value[~null]).sum(axis=1)
+    out[used] = np.where(dependent, np.inf, inverse)
+    return out
 
 
 @dataclass(frozen=True)
@@ -104,13 +109,15 @@ class Collinearity:
 
     def eliminate(self, limit: float = VIF_LIMIT, protect: Sequence[str] = (), max_iter: int = 50
                   ) -> tuple[list[str], list[tuple[int, str, float]]]:
-        """Drop the worst unprotected column above ``limit``, recompute from the same Gram matrix, repeat."""
+        """Drop the worst unprotected column above ``limit``, recompute from the same Gram matrix, repeat.
+
+        Of equally bad columns, as several infinite ones, the first in table order goes."""
         keep, removed = list(self.columns), []
         for step in range(1, max_iter + 1):
             factors = {c: v for c, v in self.vif(keep).items() if c not in protect and v > limit}
             if not factors:
                 break
-            worst = max(sorted(factors), key=factors.get)
+            worst = max(factors, key=factors.get)
             keep.remove(worst)
             removed.append((step, worst, factors[worst]))
         return keep, removed
@@ -196,7 +203,3 @@ def add_clinical(df: DataFrame, shock_fill: float | None = None, accuracy: int |
     if "pain" in have:
         df = pain_flags(df)
     return df, [c for c in df.columns if c not in before]
-
-
-def feature_columns(df: DataFrame, target: str, keys: Sequence[str] = ()) -> list[str]:
-    return roles(df, target, keys).numeric

@@ -28,10 +28,14 @@ def knn_values(df: DataFrame, target: str, features: Sequence[str], key: str, k:
 
 def knn(df: DataFrame, target: str, features: Sequence[str], key: str, k: int = 5, fill_all: bool = False
         ) -> DataFrame:
-    """The table with ``target`` filled (``fill_all``: every listed feature); the column mean where no row is comparable."""
-    for c in list(features) if fill_all else [target]:
-        filled = knn_values(df, c, features if c in features else [c, *features], key, k).select(
-            key, F.col("value").alias("_fill"))
-        mean = df.agg(F.avg(c)).first()[0]
-        df = df.join(filled, key, "left").withColumn(c, F.coalesce(c, "_fill", F.lit(mean))).drop("_fill")
-    return df
+    """The table with ``target`` filled (``fill_all``: every listed feature); the column mean where no row is comparable.
+
+    Every column is searched on the table as it came: a fill is never a neighbour's coordinate or value.
+    """
+    targets = list(features) if fill_all else [target]
+    means = df.agg(*[F.avg(c).alias(c) for c in targets]).first()
+    out = df
+    for c in targets:
+        filled = durable(knn_values(df, c, features if c in features else [c, *features], key, k).select(key, F.col("value").alias("_fill")))
+        out = out.join(filled, key, "left").withColumn(c, F.coalesce(c, "_fill", F.lit(means[c]))).drop("_fill")
+    return out

@@ -22,9 +22,10 @@ def _long(row: DataFrame, per_column: Mapping[str, Sequence]) -> DataFrame:
                                           for c, cells in per_column.items()])).alias("r")).select("r.*")
 
 
-def outliers_iqr(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """Fences at 1.5 interquartile ranges and how many rows lie strictly outside them."""
-    q = quantiles.quantiles(df, columns, [0.25, 0.75], accuracy)
+def outliers_iqr(df: DataFrame, columns: Sequence[str], accuracy: int | None = None,
+                 quartiles: Mapping[str, Sequence[float | None]] | None = None) -> DataFrame:
+    """Fences at 1.5 interquartile ranges and how many rows lie strictly outside them; known quartiles are not read again."""
+    q = quartiles or quantiles.quantiles(df, columns, [0.25, 0.75], accuracy)
     fences = {}
     for c in columns:
         q1, q3 = q[c]
@@ -43,9 +44,10 @@ def outliers_iqr(df: DataFrame, columns: Sequence[str], accuracy: int | None = N
                        for c, (q1, q3, lo, hi) in fences.items()})
 
 
-def outliers_z(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """Rows more than three population deviations from the mean, gaps taken as the median."""
-    fill = {c: m for c, m in quantiles.medians(df, columns, accuracy).items() if m is not None}
+def outliers_z(df: DataFrame, columns: Sequence[str], accuracy: int | None = None,
+               medians: Mapping[str, float | None] | None = None) -> DataFrame:
+    """Rows more than three population deviations from the mean, gaps taken as the median; known medians are not read again."""
+    fill = {c: m for c, m in (medians or quantiles.medians(df, columns, accuracy)).items() if m is not None}
     filled = df.select(*[F.coalesce(F.col(c), F.lit(m)).alias(c) for c, m in fill.items()])
     stats = filled.agg(*[F.avg(c).alias(f"{c}_m") for c in fill], *[F.stddev_pop(c).alias(f"{c}_s") for c in fill]
                        ).first()
@@ -58,8 +60,9 @@ def outliers_z(df: DataFrame, columns: Sequence[str], accuracy: int | None = Non
 
 def outlier_report(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Both counts per feature, worst fence share first, with marks for more than 10% and 20%."""
-    both = outliers_iqr(df, columns, accuracy).join(
-        F.broadcast(outliers_z(df, columns, accuracy)), "feature")  # one row per feature
+    q = quantiles.quantiles(df, columns, [0.25, 0.5, 0.75], accuracy)
+    both = outliers_iqr(df, columns, quartiles={c: (v[0], v[2]) for c, v in q.items()}).join(
+        F.broadcast(outliers_z(df, columns, medians={c: v[1] for c, v in q.items()})), "feature")  # one row per feature
     return both.select(
         "feature", "iqr_outliers", "iqr_pct", "z_outliers", "z_pct",
         (F.col("iqr_pct") > 10).cast("int").alias("over_10"), (F.col("iqr_pct") > 20).cast("int").alias("over_20"),
@@ -77,10 +80,10 @@ class Winsor:
     def fit(cls, df: DataFrame, columns: Sequence[str], p: float = WINSOR_P, over_pct: float = TREAT_PCT,
             accuracy: int | None = None) -> Winsor:
         """Bounds at the 1-p and p quantiles for features with more than ``over_pct`` % outside the fences."""
-        share = {r["feature"]: r["iqr_pct"] for r in outliers_iqr(df, columns, accuracy).collect()}
+        q = quantiles.quantiles(df, columns, [1 - p, 0.25, 0.75, p], accuracy)
+        share = {r["feature"]: r["iqr_pct"] for r in outliers_iqr(df, columns, quartiles={c: v[1:3] for c, v in q.items()}).collect()}
         treat = [c for c in columns if share[c] is not None and share[c] > over_pct]
-        found = quantiles.quantiles(df, treat, [1 - p, p], accuracy)
-        return cls({c: tuple(v) for c, v in found.items() if v[0] is not None}, share)
+        return cls({c: (q[c][0], q[c][3]) for c in treat if q[c][0] is not None}, share)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: clip(c, lo, hi) for c, (lo, hi) in self.bounds.items()})

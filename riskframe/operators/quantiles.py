@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .schema import unpivot
 
@@ -27,15 +27,12 @@ BRACKET_ROWS = 2_000_000  # a bracket that may hold more rows than this is narro
 
 @dataclass
 class Bracket:
-    slot: str
+    slot: str | None
     ranks: list[int]
     low: object = None  # None: open
     high: object = None
     rows: float = 0.0
 
-    def name(self, index: int) -> str:
-        return self.slot if self.low is None else f"{index}"
-
 
 @dataclass(frozen=True)
 class Stat:
@@ -72,7 +69,7 @@ def order_statistics(
 
 
 def _inside(b: Bracket):
-    return (F.col("slot") == b.slot) & (F.col("value") >= F.lit(b.low)) & (F.col("value") <= F.lit(b.high))
+    return F.col("slot").eqNullSafe(F.lit(b.slot)) & (F.col("value") >= F.lit(b.low)) & (F.col("value") <= F.lit(b.high))
 
 
 def _narrow(long: DataFrame, brackets: list[Bracket]) -> None:
@@ -81,7 +78,7 @@ def _narrow(long: DataFrame, brackets: list[Bracket]) -> None:
         if not wide:
             return
         sizes = long.agg(
-            *[F.count_if((F.col("slot") == b.slot) & (F.col("value") < F.lit(b.low))).alias(f"below{i}")
+            *[F.count_if(F.col("slot").eqNullSafe(F.lit(b.slot)) & (F.col("value") < F.lit(b.low))).alias(f"below{i}")
               for i, b in enumerate(wide)],
             *[F.count_if(_inside(b)).alias(f"within{i}") for i, b in enumerate(wide)],
         ).first()
@@ -103,31 +100,31 @@ def _narrow(long: DataFrame, brackets: list[Bracket]) -> None:
 
 
 def _histogram(long: DataFrame, brackets: list[Bracket]) -> DataFrame:
-    """(bracket, value, equal) over the bracketed values; smaller values are counted under a NULL value."""
-    if all(b.low is None for b in brackets):  # one whole bracket per slot
-        return long.groupBy(F.col("slot").alias("bracket"), "value").agg(F.count(F.lit(1)).alias("equal"))
+    """(bracket, value, equal) over the bracketed values; smaller values are counted under a NULL value.
+
+    A bracket is known by its number alone, so that no slot's name can be taken for another bracket's; a NULL slot is a slot.
+    """
     value_type = long.schema["value"].dataType
     frame = StructType([
-        StructField("slot", StringType()), StructField("bracket", StringType()),
+        StructField("_slot", StringType()), StructField("bracket", IntegerType()),
         StructField("low", value_type), StructField("high", value_type),
     ])
-    rows = [(b.slot, b.name(i), b.low, b.high) for i, b in enumerate(brackets)]
+    rows = [(b.slot, i, b.low, b.high) for i, b in enumerate(brackets)]
     windows = long.sparkSession.createDataFrame(rows, frame)  # at most slots x probabilities rows
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     return (
-        long.join(F.broadcast(windows), "slot")
+        long.join(F.broadcast(windows), F.col("slot").eqNullSafe(F.col("_slot")))
         .where(high.isNull() | (value <= high))
         .select("bracket", F.when(low.isNull() | (value >= low), value).alias("value"))
         .groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("equal"))
     )
 
 
-def _read(long: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], Stat]:
+def _read(long: DataFrame, brackets: list[Bracket]) -> dict[tuple[str | None, int], Stat]:
     if not brackets:
         return {}
-    names = {b.name(i): b for i, b in enumerate(brackets)}
     wanted = long.sparkSession.createDataFrame(
-        [(name, r) for name, b in names.items() for r in b.ranks], "bracket string, rank bigint")
+        [(i, r) for i, b in enumerate(brackets) for r in b.ranks], "bracket int, rank bigint")
     below = Window.partitionBy("bracket").orderBy(F.col("value").asc_nulls_first())
     hits = (
         _histogram(long, brackets)
@@ -136,7 +133,7 @@ def _read(long: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], Sta
         .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("equal")))
         .collect()  # one row per wanted rank
     )
-    return {(names[h["bracket"]].slot, h["rank"]): Stat(h["value"], h["below"], h["equal"]) for h in hits}
+    return {(brackets[h["bracket"]].slot, h["rank"]): Stat(h["value"], h["below"], h["equal"]) for h in hits}
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

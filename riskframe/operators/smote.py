@@ -102,12 +102,25 @@ def tomek_links(df: DataFrame, y: str, features: Sequence[str], key: str) -> Dat
 
 def with_synthetic(df: DataFrame, synthetic: DataFrame, y: str, features: Sequence[str], key: str,
                    targets: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """Original rows followed by synthetic ones; new ids are negative and derived from seed and copy."""
+    """Original rows followed by synthetic ones; new ids are negative and derived from seed and copy.
+
+    Seed ids too large to be packed with a copy number in 63 bits are hashed with it instead."""
     width = max((t for _, t in targets.values()), default=1) + 1  # no seed yields more copies than this
-    new = synthetic.select((-(F.col("seed_id") * width + F.col("copy")) - 1).alias(key), y, *features)
+    packed = F.try_subtract(F.try_subtract(F.lit(0).cast("bigint"), F.try_add(F.try_multiply(F.col("seed_id"), F.lit(width).cast("bigint")),
+                                                                             F.col("copy"))), F.lit(1))
+    hashed = -F.shiftrightunsigned(F.xxhash64("seed_id", "copy"), 1) - 1
+    new = synthetic.select(F.coalesce(packed, hashed).alias(key), y, *features)
     return df.select(key, y, *features).unionByName(new)
 
 
+def attempt(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[str, tuple[int, int]], key: str, k: int = 5,
+            seed: int = 42) -> tuple[DataFrame, bool]:
+    """The table with synthetic rows and True; or, where a class to be raised has no k neighbours, the original rows and False."""
+    if any(n <= k for n, t in targets.values() if t > n):
+        return df.select(key, y, *features), False
+    return with_synthetic(df, regular(df, y, features, targets, key, k, seed), y, features, key, targets), True
+
+
 def combined(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[str, tuple[int, int]], key: str,
              k: int = 5, seed: int = 42) -> DataFrame:
     """Regular synthesis, then both ends of every Tomek link are removed."""

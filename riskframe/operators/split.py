@@ -41,7 +41,7 @@ class Cuts:
     seed: int
     key: str
     stratum: str | None
-    at: Mapping[str, Sequence[Threshold]]
+    at: Mapping[str | None, Sequence[Threshold]]  # rows without a class are a stratum of their own
 
     @classmethod
     def fit(cls, df: DataFrame, key: str, seed: int, steps: Sequence[tuple[float, Callable[[int], int]]],
@@ -65,7 +65,7 @@ class Cuts:
                 if inside == stat.equal:
                     at[name].append(Threshold(stat.value))
                 else:  # equal hashes straddle the cut: order those few rows by key
-                    same = (df.where((slot == name) & (value == F.lit(stat.value))).select(key)
+                    same = (df.where(slot.eqNullSafe(F.lit(name)) & (value == F.lit(stat.value))).select(key)
                             .orderBy(key).limit(inside).collect())
                     at[name].append(Threshold(stat.value, same[-1][0]))
         return cls(seed, key, stratum, at)
@@ -79,7 +79,7 @@ class Cuts:
                 count = count + t.past(value, key).cast("int")
             if self.stratum is None:
                 return count
-            out = F.when(F.col(self.stratum).cast("string") == name, count).otherwise(out)
+            out = F.when(F.col(self.stratum).cast("string").eqNullSafe(F.lit(name)), count).otherwise(out)
         return out
 
 
@@ -122,16 +122,21 @@ def grouped(df: DataFrame, group: str, test: float = 0.15, validation: float = 0
 
 
 def temporal(df: DataFrame, ts: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Earliest rows train, latest rows test; rows of one instant stay together."""
+    """Earliest rows train, latest rows test; rows of one instant stay together, rows without one get no split.
+
+    Instants are compared as microseconds since the epoch, whatever the time zones of session and driver. An empty table, or one
+    without instants, gets the column with nothing in it.
+    """
+    when = F.unix_micros(F.col(ts).cast("timestamp")) if df.schema[ts].dataType.typeName().startswith("timestamp") else F.col(ts)
     steps = {train: lambda n: nearest_count(train, n),
              train + validation: lambda n: nearest_count(train + validation, n)}
-    _, found = order_statistics(df.select(F.lit(EVERYTHING).alias("slot"), F.col(ts).alias("value")), list(steps),
+    _, found = order_statistics(df.select(F.lit(EVERYTHING).alias("slot"), when.alias("value")), list(steps),
                                 lambda _s, p, n: [steps[p](n)])
-    last, late = sorted(s.value for s in found.values())[0], sorted(s.value for s in found.values())[-1]
-    kind = df.schema[ts].dataType
-    edge = [F.lit(str(v)).cast(kind) for v in (last, late)]
-    return df.withColumn("split", F.when(F.col(ts) <= edge[0], "train").when(F.col(ts) <= edge[1], "validation")
-                         .when(F.col(ts).isNotNull(), "test"))
+    if not found:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    edges = sorted(s.value for s in found.values())
+    return df.withColumn("split", F.when(when <= F.lit(edges[0]), "train").when(when <= F.lit(edges[-1]), "validation")
+                         .when(when.isNotNull(), "test"))
 
 
 def kfold(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -601,7 +601,7 @@ _STEPS_P = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917
 _BLOCK = "md5('42|' || CAST(rep // 4 AS VARCHAR) || '|' || CAST(visit_id AS VARCHAR))"
 _REPS = f"""bw AS (SELECT rep, y_true AS y, y_pred AS p, {' + '.join(f'CAST(u >= {s}e0 AS INTEGER)' for s in _STEPS_P)} AS w
     FROM (SELECT *, CAST(('0x' || substr({_BLOCK}, 1 + 8 * (rep % 4), 8)) AS BIGINT) / 4294967296e0 AS u
-      FROM preds, range(20) t(rep)))"""
+      FROM preds, range(1000) t(rep)))"""
 sql("bootstrap_ci", "SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{m}' AS metric, {r(f'avg({m})', 'mean')}, {r(f'quantile_cont({m}, 0.025)', 'low')},
     {r(f'quantile_cont({m}, 0.5)', '"median"')}, {r(f'quantile_cont({m}, 0.975)', 'high')} FROM ev""" for m in _G) + ")",
@@ -621,3 +621,54 @@ sql("subgroup_metrics", f"""SELECT dim, value, n, {r('accuracy', 'accuracy')}, {
 sql("learning_curve_sizes", f"""SELECT CAST(step AS INTEGER) AS step, count(*) AS n, CAST(sum(visit_id) AS BIGINT) AS key_sum FROM (
     SELECT visit_id, {' + '.join(f'CAST(rn > floor({i / 10}e0 * n + 0.5e0) AS INTEGER)' for i in range(1, 10))} AS step
     FROM ({ranked('visits', 'visit_id', None, 42)})) GROUP BY step""")
+
+
+# ---- numeric and missing classes, dependent columns, failed sampling ------------------------------------
+
+plain("stratified_split_labels", f"""SELECT doc_id, toxic, split FROM ({three_way(
+    '(SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN toxic END AS toxic FROM labels)', 'doc_id', 'toxic')})""")
+plain("stratified_split_lines", f"""SELECT l_orderkey, lines, split FROM ({three_way(
+    '(SELECT l_orderkey, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey)', 'l_orderkey', 'lines')})""")
+plain("temporal_split_empty", "SELECT event_id, CAST(NULL AS VARCHAR) AS split FROM events WHERE event_id < 0")
+plain("vif_dependent", f"""WITH p AS (
+  SELECT sum(a*a) AS aa, sum(b*b) AS bb, sum(c*c) AS cc, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*c) AS bc FROM (
+    SELECT CAST(l_extendedprice AS DOUBLE) AS a, CAST(l_quantity AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c FROM lineitem)),
+  q AS (SELECT ab / sqrt(aa*bb) AS ab, ac / sqrt(aa*cc) AS ac, bc / sqrt(bb*cc) AS bc FROM p),
+  dt AS (SELECT *, 1 + 2*ab*ac*bc - ab*ab - ac*ac - bc*bc AS det FROM q),
+  v AS (SELECT 'l_extendedprice' AS feature, (1 - bc*bc) / det AS v FROM dt UNION ALL SELECT 'l_discount', (1 - ab*ab) / det FROM dt)
+SELECT feature, {r('v', 'vif')}, CASE WHEN v <= 5 THEN 'Low (<5)' WHEN v <= 10 THEN 'Moderate (5-10)' WHEN v <= 100 THEN 'High (10-100)'
+  ELSE 'Severe (>100)' END AS vif_category FROM v""")
+plain("drop_collinear_table", """SELECT round(sum(CAST(l_extendedprice AS DOUBLE)), 2) AS l_extendedprice,
+    round(sum(2 * CAST(l_quantity AS DOUBLE)), 2) AS twice, round(sum(CAST(l_discount AS DOUBLE)), 2) AS l_discount FROM lineitem""")
+_FEW = """few AS (SELECT triage, CASE WHEN triage = 'RED' THEN 3 ELSE count(*) END AS n FROM visits GROUP BY triage),
+    f AS (SELECT max(n) / CAST(min(n) AS DOUBLE) AS ir FROM few)"""
+sql("quality_checks_failed", """SELECT * FROM (
+    SELECT 'synthetic_share' AS "check", 'PASS' AS status, 0e0 AS value
+    UNION ALL SELECT 'imbalance_ratio', CASE WHEN abs(ir - 2) <= 0.5e0 THEN 'PASS' ELSE 'WARN' END, round(ir, 6) FROM f
+    UNION ALL SELECT 'weight_ratio', CASE WHEN ir <= 4 THEN 'PASS' ELSE 'WARN' END, round(ir, 6) FROM f
+    UNION ALL SELECT 'sampler', 'FAIL', 0e0)""", _FEW)
+sql("resample_report_vanished", f"""SELECT class, n_before, n_after, n_after - n_before AS change,
+    {r('CASE WHEN n_before = 0 THEN 0e0 ELSE 100e0 * (n_after - n_before) / n_before END', 'change_pct')},
+    CAST(NULL AS DOUBLE) AS ir_before, CAST(NULL AS DOUBLE) AS ir_after,
+    {r('100e0 * sum(n_after - n_before) OVER () / sum(n_after) OVER ()', 'synthetic_pct')} FROM (
+    SELECT triage AS class, count(*) FILTER (triage <> 'GREEN') AS n_before, count(*) FILTER (triage <> 'RED') AS n_after
+    FROM visits GROUP BY triage)""")
+for _first, _second in (("train", "test"), ("validation", "test")):
+    sql(f"overfit_gaps_{_first}_{_second}", "SELECT " + ", ".join(
+        r(f"{a}.{m}", f"{n}_{m}") for a, n in (("t", _first), ("v", _second)) for m in _G)
+        + f""", {r('t.accuracy - v.accuracy', 'accuracy_gap')}, {r('t.balanced_accuracy - v.balanced_accuracy', 'balanced_gap')},
+        CASE WHEN t.accuracy - v.accuracy < 0.05e0 THEN 'GOOD' WHEN t.accuracy - v.accuracy < 0.07e0 THEN 'OK' ELSE 'HIGH' END AS band
+        FROM (SELECT * FROM ev WHERE split = '{_first}') t, (SELECT * FROM ev WHERE split = '{_second}') v""",
+        f"{_PSPLIT}, {scored('SELECT split, y_true AS y, y_pred AS p, 1 AS w FROM ps', 'split')}")
+
+# ---- handoffs: what is read back is what was written ----------------------------------------------------
+
+_LINES = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+    CAST(l_quantity AS DOUBLE) AS l_quantity, l_returnflag FROM lineitem"""
+plain("stage_round_trip", _LINES)
+plain("scan_csv", _LINES)
+ORACLES["report_csv"] = ORACLES["five_number"]
+sql("report_json", "SELECT visit_id, sbp, CASE WHEN visit_id % 3 = 2 THEN sbp END AS x FROM visits")
+sql("state_round_trip", "SELECT visit_id, " + ", ".join(r(f"coalesce({c}, (SELECT median({c}) FROM visits))", c) for c in NEAR) + " FROM visits")
+ORACLES["attribution_sink"] = ORACLES["shapley_linear"]
+sql("model_round_trip", "SELECT split, count(*) AS n, count(*) AS agree, count(*) AS sum_to_one FROM s GROUP BY split", _SPLIT)

@@ -34,7 +34,7 @@ from ..operators import (
     split,
     study,
 )
-from ..session import durable, spread
+from ..session import durable, spread, work_folder
 from ..sources import tables
 from ..sources.visits import CLASSES, VITALS, preds, table, visits
 
@@ -522,6 +522,112 @@ def sample_n(spark, d):
     return split.sample_n(visits(spark, d, ["visit_id", "sbp", "triage"]), 500, "visit_id")
 
 
+@query
+def stratified_split_labels(spark, d):
+    """Numeric classes of very different sizes, and rows whose class is missing: a stratum of their own."""
+    rows = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 10 != 7, F.col("toxic")).alias("toxic"))
+    return split.stratified(rows, "toxic", "doc_id")
+
+
+@query
+def stratified_split_lines(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("lines"))
+    return split.stratified(lines, "lines", "l_orderkey")
+
+
+@query
+def temporal_split_empty(spark, d):
+    """No rows: the column is there, and nothing else."""
+    return split.temporal(table(spark, d, "events").select("event_id", "ts").where("event_id < 0"), "ts").drop("ts")
+
+
+@query
+def quality_checks_failed(spark, d):
+    """A class without enough neighbours: the original rows come back and the gates say so."""
+    v = _filled(spark, d)
+    few = v.where("triage = 'RED'").orderBy("visit_id").limit(3)
+    v = durable(v.where("triage <> 'RED'").unionByName(few))
+    rows, done = smote.attempt(v, "triage", NEAR, balance.target_table(v, "triage"), "visit_id")
+    return balance.quality_checks(v, rows, "triage", succeeded=done)
+
+
+@query
+def resample_report_vanished(spark, d):
+    """Classes that are in one table only."""
+    v = visits(spark, d, ["triage"])
+    return r6(balance.report(v.where("triage <> 'GREEN'"), v.where("triage <> 'RED'"), "triage"), "change_pct", "synthetic_pct")
+
+
+# ---- handoffs: written, read back -----------------------------------------------------------------------
+
+
+LINES = "l_orderkey bigint, l_linenumber bigint, l_quantity double, l_returnflag string"
+
+
+def _lines(spark, d):
+    return table(spark, d, "lineitem").select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in LINES.split(", ")])
+
+
+@query
+def stage_round_trip(spark, d):
+    root = work_folder(spark, "stages")
+    tables.write_stage(_lines(spark, d), root, "lines", partition_by=["l_returnflag"])
+    return tables.read_stage(spark, root, "lines", schema=LINES)
+
+
+@query
+def scan_csv(spark, d):
+    root = work_folder(spark, "stages")
+    tables.write_stage(_lines(spark, d), root, "lines", fmt="csv")
+    return tables.read_stage(spark, root, "lines", fmt="csv", schema=LINES)
+
+
+@query
+def report_csv(spark, d):
+    path = tables.write_report(profile.five_number(table(spark, d, "lineitem"), PRICES), work_folder(spark, "out"), "prices")
+    names = "feature string, min double, q1 double, median double, q3 double, max double"
+    return r6(spark.read.schema(names).option("header", True).csv(path), "min", "q1", "median", "q3", "max")
+
+
+@query
+def report_json(spark, d):
+    """JSON has no infinity and no NaN: both come back as null."""
+    v = visits(spark, d, ["visit_id", "sbp"]).withColumn("x", F.when(F.col("visit_id") % 3 == 0, F.lit(float("inf")))
+                                                         .when(F.col("visit_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("sbp")))
+    path = tables.write_report(v, work_folder(spark, "out"), "rows", "json")
+    return spark.read.schema("visit_id bigint, sbp double, x double").json(path)
+
+
+@query
+def state_round_trip(spark, d):
+    """Medians fitted on one side, saved, loaded and applied on the other."""
+    v = visits(spark, d, ["visit_id", *NEAR])
+    root = work_folder(spark, "out")
+    tables.save_state(spark, features.fit_clean(v, NEAR), root, "fills")
+    return r6(features.clean_numeric(v, tables.load_state(spark, root, "fills")), *NEAR)
+
+
+@query
+def attribution_sink(spark, d):
+    root = work_folder(spark, "out")
+    tables.write_stage(_phi(spark, d), root, "phi", partition_by=["class"])
+    return r6(tables.read_stage(spark, root, "phi", schema="visit_id bigint, class string, feature string, phi double"), "phi")
+
+
+@query
+def model_round_trip(spark, d):
+    """A saved model scores as it did before: rows per split, and on how many both agree."""
+    v = _training(spark, d)
+    model = models.logistic(v.where("split = 'train'"), MODEL_FEATURES, "triage", "weight", max_iter=20)
+    root = work_folder(spark, "out")
+    model.save(spark, root, "logistic")
+    again = models.Fitted.load(spark, root, "logistic").score(v).select("visit_id", F.col("prediction").alias("again"))
+    both = model.score(v).join(again, "visit_id")
+    total = sum((F.col(f"p_{c}") for c in model.classes), F.lit(0.0))
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("again")).alias("agree"),
+                                     F.count_if(F.abs(total - 1) < 1e-9).alias("sum_to_one"))
+
+
 # ---- models ---------------------------------------------------------------------------------------------
 
 
@@ -664,6 +770,43 @@ def classification_report(spark, d):
     return r6(metrics.report(p, "y_true", "y_pred", SCORES), "precision", "recall", "f1", "auc")
 
 
+@query
+def vif_dependent(spark, d):
+    """One column is twice another: those two are infinite, the others keep their factors."""
+    return r6(features.vif(_dependent(spark, d), list(DEPENDENT)).where("vif < double('infinity')"), "vif")
+
+
+DEPENDENT = ("l_extendedprice", "l_quantity", "twice", "l_discount")
+
+
+def _dependent(spark, d):
+    rows = table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    return rows.withColumn("twice", 2 * F.col("l_quantity"))
+
+
+@query
+def drop_collinear_table(spark, d):
+    """The reduced table: of the dependent pair the first goes, then nothing is above the limit of 1000."""
+    return features.drop_collinear(_dependent(spark, d), list(DEPENDENT), limit=1000.0)[0].agg(
+        *[F.round(F.sum(c), 2).alias(c) for c in ("l_extendedprice", "twice", "l_discount")])
+
+
+def _gaps(spark, d, first, second):
+    p = split.stratified(preds(spark, d, ["visit_id", "y_true", "y_pred"]), "y_true", "visit_id")
+    g = metrics.gaps(p, "y_true", "y_pred", "split", first, second)
+    return r6(g, *[c for c in g.columns if c != "band"])
+
+
+@query
+def overfit_gaps_train_test(spark, d):
+    return _gaps(spark, d, "train", "test")
+
+
+@query
+def overfit_gaps_validation_test(spark, d):
+    return _gaps(spark, d, "validation", "test")
+
+
 @query
 def overfit_gaps(spark, d):
     p = split.stratified(preds(spark, d, ["visit_id", "y_true", "y_pred"]), "y_true", "visit_id")
@@ -739,7 +882,7 @@ SLOPES = {
 def shapley_sampled(spark, d):
     v = _training(spark, d)
     model = models.forest(v.where("split = 'train'"), MODEL_FEATURES, "triage", "weight", n_estimators=10, max_depth=6)
-    return explain.sampled(model, v.where("split = 'test'"), "visit_id")
+    return explain.sampled(model, v.where("split = 'test'"), "visit_id", background=100)
 
 
 def _phi(spark, d):
@@ -766,7 +909,7 @@ def shapley_by_class(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    q = study.bootstrap(preds(spark, d, ["visit_id", "y_true", "y_pred"]), "y_true", "y_pred", "visit_id", n=20)
+    q = study.bootstrap(preds(spark, d, ["visit_id", "y_true", "y_pred"]), "y_true", "y_pred", "visit_id", n=1000)
     return r6(q, "mean", "low", "median", "high")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,16 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new name below the shared checkpoint folder, for tables that one stage hands to the next."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        _checkpoint_folder(spark)
+        folder = context.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def slices(spark: SparkSession) -> int:
     """How many parts compute-heavy stages are cut into: the cluster's shuffle setting, at least its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

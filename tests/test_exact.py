@@ -138,3 +138,66 @@ def test_nearest_splits_busy_boxes(spark, monkeypatch):
     got = {r["id"]: [(p["d2"], p["did"]) for p in r["near"]]
            for r in neighbors.nearest(df, df, ["a"], 3, exclude_self=True, box_rows=50).collect()}
     assert got == brute(df.toPandas(), df.toPandas(), ["a"], 3, exclude=True)
+
+
+@pytest.mark.parametrize("whole_rows", [0, 200_000])
+def test_split_of_numeric_and_missing_classes(spark, monkeypatch, whole_rows):
+    """Class names that look like numbers, one class large and one small, and rows without a class."""
+    from riskframe.operators import quantiles, split
+
+    monkeypatch.setattr(quantiles, "WHOLE_ROWS", whole_rows)
+    rows = [(i, None if i % 50 == 3 else int(i % 10 == 0)) for i in range(3000)]
+    out = split.stratified(spark.createDataFrame(rows, "id long, y int"), "y", "id").groupBy("y", "split").count().collect()
+    got = {(r.y, r.split): r["count"] for r in out}
+    assert got == {(None, "test"): 9, (None, "validation"): 9, (None, "train"): 42, (1, "test"): 45, (1, "validation"): 45, (1, "train"): 210,
+                   (0, "test"): 396, (0, "validation"): 396, (0, "train"): 1848}
+
+
+@pytest.mark.parametrize("bounds", [(0, 0, 50), (200_000, 50_000, 2_000_000)])
+def test_quantiles_do_not_depend_on_the_size_limits(spark, monkeypatch, bounds):
+    import numpy as np
+
+    from riskframe.operators import quantiles
+
+    for name, value in zip(("WHOLE_ROWS", "FEW_VALUES", "BRACKET_ROWS"), bounds, strict=True):
+        monkeypatch.setattr(quantiles, name, value)
+    x = [float((i * 7919) % 4001) for i in range(4001)]
+    got = quantiles.quantiles(spark.createDataFrame([(v, v % 3) for v in x], "a double, b double"), ["a", "b"], [0.0, 0.1, 0.5, 0.99])
+    assert np.allclose(got["a"], np.quantile(x, [0, 0.1, 0.5, 0.99]))
+    assert np.allclose(got["b"], np.quantile([v % 3 for v in x], [0, 0.1, 0.5, 0.99]))
+
+
+def test_inflation_of_dependent_columns():
+    import numpy as np
+
+    from riskframe.operators.features import Collinearity, vif_from_gram
+
+    rng = np.random.default_rng(1)
+    a, b, z = rng.normal(2, 1, 500), rng.normal(1, 1, 500), np.zeros(500)
+    x = np.column_stack([a, b, 2 * b, z])
+    found = vif_from_gram(x.T @ x)
+    y = np.column_stack([a, b])
+    alone = np.linalg.inv(y.T @ y).diagonal() * (y * y).sum(0)
+    assert np.isinf(found[1:]).all() and abs(found[0] - alone[0]) < 1e-9
+    keep, gone = Collinearity(["a", "b", "twice"], x[:, :3].T @ x[:, :3]).eliminate()
+    assert keep == ["a", "twice"] and [g[1] for g in gone] == ["b"]
+
+
+def test_new_ids_do_not_overflow(spark):
+    from riskframe.operators.smote import with_synthetic
+
+    rows = spark.createDataFrame([(10**17, "A", 1.0), (5, "B", 2.0)], "id long, y string, x double")
+    new = spark.createDataFrame([("A", 10**17, 0, 1.5), ("A", 10**17, 1, 1.5), ("B", 5, 0, 2.5)], "y string, seed_id long, copy int, x double")
+    ids = [r.id for r in with_synthetic(rows, new, "y", ["x"], "id", {"A": (1, 10**9), "B": (1, 2)}).collect()]
+    assert len(set(ids)) == 5 and sum(i < 0 for i in ids) == 3
+
+
+def test_every_column_is_filled_from_the_table_as_it_came(spark):
+    from riskframe.operators.knn_impute import knn, knn_values
+
+    rows = spark.createDataFrame([(i, float(i % 7) if i % 5 else None, float(i % 11) if i % 4 else None, float(i)) for i in range(60)],
+                                 "id long, a double, b double, c double")
+    both = knn(rows, "a", ["a", "b", "c"], "id", 3, fill_all=True).orderBy("id").collect()
+    for column in ("a", "b"):
+        want = {r.id: r.value for r in knn_values(rows, column, ["a", "b", "c"], "id", 3).collect()}
+        assert all(abs(r[column] - want[r.id]) < 1e-9 for r in both if r.id in want)
