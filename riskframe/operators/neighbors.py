@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..session import durable, slices, spread
 
 BOX_ROWS = 4_096  # donors aimed at per box
-MAX_BOXES = 1 << 16
+MAX_BOXES = 1 << 16  # boxes grow beyond BOX_ROWS rather than exceed it
+BLOCK_BOXES = 64  # boxes that a query passes by with one comparison
 SAMPLE_PER_BOX = 24
 SLICE_QUERIES = 20_000  # query visits per task and box, at least
 PART_ROWS = 512  # donors per part inside a box
@@ -95,7 +96,8 @@ def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str]
     """Donors with a ``box`` number, and the rectangle of every box (driver side)."""
     keys = donors.groupBy(by, "pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # groups x patterns
     total = sum(k["n"] for k in keys)
-    aimed = min(MAX_BOXES, math.ceil(total / box_rows) if total else 1)
+    box_rows = max(box_rows, math.ceil(total / MAX_BOXES))  # larger boxes, not more of them; a box is cut again when it is searched
+    aimed = math.ceil(total / box_rows) if total else 1
     share = min(1.0, aimed * SAMPLE_PER_BOX / max(total, 1))
     columns = list(dims)
     # the sample only places the splits; any sample gives the same neighbours
@@ -252,9 +254,61 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Se
 
 
 def _best(pairs: DataFrame, carry: Sequence[str], k: int) -> DataFrame:
-    """k best pairs per query as one sorted array."""
-    cells = F.array_sort(F.collect_list(F.struct("d2", "did", *[F.col(_carried(c)).alias(c) for c in carry])))  # at most k per visited box
-    return pairs.groupBy("id").agg(F.slice(cells, 1, k).alias("near"))
+    """k best pairs per query as one sorted array; each task keeps its k best before the shuffle."""
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("d2", "did"))
+    best = pairs.withColumn("_nth", nth).where(F.col("_nth") <= k)
+    return best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d2", "did", *[F.col(_carried(c)).alias(c) for c in carry]))).alias("near"))
+
+
+class _Rectangles:
+    """Boxes and blocks of boxes. A block is up to BLOCK_BOXES boxes in tree order, so its rectangle is small too; a query is
+    compared with the blocks of its group, and with the boxes of those blocks only that it can reach."""
+
+    def __init__(self, rects: pd.DataFrame, group: str, dims: Sequence[str]) -> None:
+        self.box, self.size = rects["box"].to_numpy(), rects["n"].to_numpy()
+        self.pattern = rects["pattern"].to_numpy(dtype=np.int64)
+        self.lo, self.hi = (rects[[f"{c}_{e}" for c in dims]].to_numpy(dtype=float) for e in ("lo", "hi"))
+        self.blocks: dict[str, list[np.ndarray]] = {}
+        for (g, _), at in sorted(rects.groupby([group, "pattern"], sort=True).indices.items()):
+            self.blocks.setdefault(g, []).extend(np.array_split(at, math.ceil(len(at) / BLOCK_BOXES)))
+        self.edges = {g: (np.array([self.lo[b].min(axis=0) for b in own]), np.array([self.hi[b].max(axis=0) for b in own]),
+                          np.array([self.pattern[b[0]] for b in own])) for g, own in self.blocks.items()}
+        self.tests = 0  # boxes and blocks compared with a query so far
+
+    def _to(self, x: np.ndarray, mask: int, lo: np.ndarray, hi: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+        self.tests += len(x) * len(lo)
+        return _gaps(x, mask, lo, hi, pattern)
+
+    def home(self, group: str, mask: int, x: np.ndarray, reach: int) -> np.ndarray | None:
+        """A near box of each query, one with ``reach`` donors if its block has one; the second round makes up for a poor choice."""
+        own = self.blocks.get(group)
+        if not own:
+            return None
+        out = np.empty(len(x), dtype=np.int64)
+        step = max(1, KERNEL_CELLS * 4 // len(own))
+        for s in range(0, len(x), step):
+            gap = self._to(x[s:s + step], mask, *self.edges[group])
+            block = np.where(np.isnan(gap), np.inf, gap).argmin(axis=1)
+            for n in np.unique(block):
+                rows, boxes = s + np.flatnonzero(block == n), own[n]
+                near = self._to(x[rows], mask, self.lo[boxes], self.hi[boxes], self.pattern[boxes])
+                near = np.where(np.isnan(near), np.inf, near)
+                near = np.where(self.size[boxes][None, :] >= reach, near, near + np.finfo(float).max / 4)
+                out[rows] = self.box[boxes[near.argmin(axis=1)]]
+        return out
+
+    def within(self, group: str, mask: int, x: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query rows, box of each) for every box within its query's limit."""
+        own = self.blocks.get(group, [])
+        step = max(1, KERNEL_CELLS * 4 // max(len(own), 1))
+        for s in range(0, len(x) if own else 0, step):
+            gap = self._to(x[s:s + step], mask, *self.edges[group])
+            reached = gap <= limit[s:s + step, None]
+            for n in np.flatnonzero(reached.any(axis=0)):
+                rows, boxes = s + np.flatnonzero(reached[:, n]), own[n]
+                near = self._to(x[rows], mask, self.lo[boxes], self.hi[boxes], self.pattern[boxes])
+                r, c = np.nonzero(near <= limit[rows, None])
+                yield rows[r], self.box[boxes[c]]
 
 
 # ---- public ---------------------------------------------------------------------------------------------
@@ -289,34 +343,16 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
 
     rows = tidy(queries)
     points = rows.groupBy(*point, "pattern").agg(F.min("id").alias("id"))  # equal points share one search
-    lo = rects[[f"{c}_lo" for c in dims]].to_numpy(dtype=float)
-    hi = rects[[f"{c}_hi" for c in dims]].to_numpy(dtype=float)
-    shared = queries.sparkSession.sparkContext.broadcast(  # bounded by MAX_BOXES rectangles
-        (rects["box"].to_numpy(), rects[group].to_numpy(), rects["pattern"].to_numpy(dtype=np.int64),
-         rects["n"].to_numpy(), lo, hi))
-
-    def bounds(f: pd.DataFrame):
-        """Query rows of one (group, pattern) with their distance bounds to that group's boxes."""
-        box, owner, pattern, size, low, high = shared.value
-        for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
-            mine = np.flatnonzero(owner == g)
-            x = f[dims].to_numpy(dtype=float)[at]
-            chunk = max(1, KERNEL_CELLS * 4 // max(len(mine), 1))
-            for s in range(0, len(at), chunk):
-                part = at[s:s + chunk]
-                yield part, box[mine], size[mine], _gaps(x[s:s + chunk], int(mask), low[mine], high[mine], pattern[mine])
+    shared = queries.sparkSession.sparkContext.broadcast(_Rectangles(rects, group, dims))  # bounded by MAX_BOXES rectangles
 
     layout = f"id bigint, {group} string, {', '.join(f'{c} double' for c in dims)}, pattern bigint, box bigint"
 
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for part, box, size, gap in bounds(f):
-                if not gap.shape[1]:
-                    continue
-                ranked = np.where(np.isnan(gap), np.inf, gap)
-                ranked = np.where(size[None, :] >= reach, ranked, ranked + np.finfo(float).max / 4)
-                yield f.iloc[part].assign(box=box[ranked.argmin(axis=1)])[
-                    ["id", group, *dims, "pattern", "box"]]
+            for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
+                box = shared.value.home(g, int(mask), f[dims].to_numpy(dtype=float)[at], reach)
+                if box is not None:
+                    yield f.iloc[at].assign(box=box)[["id", group, *dims, "pattern", "box"]]
 
     start = durable(spread(points, "id").select("id", group, *dims, "pattern").mapInPandas(home, layout))
     first = durable(_visit(start, placed, dims, carry, reach))
@@ -329,9 +365,10 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
             f = f.reset_index(drop=True)
             worst = f["_worst"].fillna(np.inf).to_numpy()
             done = f["box"].to_numpy()
-            for part, box, _size, gap in bounds(f):
-                r, c = np.nonzero((gap <= worst[part, None]) & (box[None, :] != done[part, None]))
-                yield f.iloc[part[r]].assign(box=box[c])[["id", group, *dims, "pattern", "box"]]
+            for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
+                for r, box in shared.value.within(g, int(mask), f[dims].to_numpy(dtype=float)[at], worst[at]):
+                    r, box = at[r][box != done[at[r]]], box[box != done[at[r]]]
+                    yield f.iloc[r].assign(box=box)[["id", group, *dims, "pattern", "box"]]
 
     more = durable(spread(bounded, "id").select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
     second = _visit(more, placed, dims, carry, reach)

@@ -201,3 +201,20 @@ def test_every_column_is_filled_from_the_table_as_it_came(spark):
     for column in ("a", "b"):
         want = {r.id: r.value for r in knn_values(rows, column, ["a", "b", "c"], "id", 3).collect()}
         assert all(abs(r[column] - want[r.id]) < 1e-9 for r in both if r.id in want)
+
+
+def test_queries_pass_by_most_boxes():
+    rng = np.random.default_rng(0)
+    side = 64  # 4,096 boxes in tree order along a space-filling grid
+    cells = sorted(((i, j) for i in range(side) for j in range(side)), key=lambda c: sum(((c[0] >> b & 1) * 2 + (c[1] >> b & 1)) << 2 * b for b in range(6)))
+    rects = pd.DataFrame({"box": range(len(cells)), "g": "", "pattern": 3, "n": 100, "a_lo": [i for i, _ in cells], "a_hi": [i + 1 for i, _ in cells],
+                          "b_lo": [j for _, j in cells], "b_hi": [j + 1 for _, j in cells]})
+    found = neighbors._Rectangles(rects, "g", ["a", "b"])
+    x = rng.random((500, 2)) * side
+    home = found.home("", 3, x, 5)
+    limit = np.full(len(x), 0.01)
+    got = {(int(r), int(b)) for rows, boxes in found.within("", 3, x, limit) for r, b in zip(rows, boxes, strict=True)}
+    gap = neighbors._gaps(x, 3, rects[["a_lo", "b_lo"]].to_numpy(float), rects[["a_hi", "b_hi"]].to_numpy(float), np.full(len(cells), 3))
+    assert got == {(int(r), int(b)) for r, b in zip(*np.nonzero(gap <= 0.01), strict=True)}
+    assert (gap[np.arange(len(x)), home] == 0).all()
+    assert found.tests < len(x) * len(cells) / 10
