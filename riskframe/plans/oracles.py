@@ -672,3 +672,26 @@ sql("report_json", "SELECT visit_id, sbp, CASE WHEN visit_id % 3 = 2 THEN sbp EN
 sql("state_round_trip", "SELECT visit_id, " + ", ".join(r(f"coalesce({c}, (SELECT median({c}) FROM visits))", c) for c in NEAR) + " FROM visits")
 ORACLES["attribution_sink"] = ORACLES["shapley_linear"]
 sql("model_round_trip", "SELECT split, count(*) AS n, count(*) AS agree, count(*) AS sum_to_one FROM s GROUP BY split", _SPLIT)
+
+# ---- what must hold for trained and iterated results ----------------------------------------------------
+
+for _name in ("impute_chained_rounds", "impute_chained_forest", "impute_forest_category", "impute_auto"):
+    sql(f"{_name}_checked", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS gaps, count(*) AS kept FROM visits")
+for _name in ("boosted_trees", "random_forest", "logistic"):
+    sql(f"{_name}_checked", "SELECT split, count(*) AS n, count(*) AS sum_to_one, TRUE AS learned FROM s GROUP BY split", _SPLIT)
+plain("grid_search_cv_checked", "SELECT CAST(2 AS BIGINT) AS settings, CAST(2 AS BIGINT) AS inside, CAST(2 AS BIGINT) AS spreads")
+plain("feature_importance_checked", """SELECT source, CAST(7 AS BIGINT) AS features, 1e0 AS total
+    FROM (VALUES ('boosted'), ('ensemble'), ('forest'), ('logistic')) t(source)""")
+sql("baseline_learned_checked", """SELECT model, split, count(*) AS n, CAST(1 AS BIGINT) AS inside
+    FROM s, (VALUES ('logistic'), ('tree')) m(model) GROUP BY model, split""", _SPLIT)
+sql("shapley_sampled_checked", """SELECT count(*) AS visits, 7 * count(*) AS cells, 21 * count(*) AS n, 7 * count(*) AS "cancel"
+    FROM s WHERE split = 'test'""", _SPLIT)
+sql("bootstrap_ci_table_checked", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, round({m}, 6) AS value, TRUE AS inside, TRUE AS ordered FROM ev" for m in _G), _ONE)
+plain("learning_curve_checked", "SELECT CAST(3 AS BIGINT) AS steps, CAST(3 AS BIGINT) AS inside, CAST(3 AS BIGINT) AS spreads")
+plain("ablation_checked", """SELECT dropped, CAST(1 AS BIGINT) AS inside, CAST(1 AS BIGINT) AS adds_up
+    FROM (VALUES ('(none)'), ('circulation'), ('breathing'), ('general')) t(dropped)""")
+sql("temporal_validation_checked", """SELECT split, count(*) AS n, CAST(1 AS BIGINT) AS inside FROM (
+    SELECT CASE WHEN arrival_ts <= e1 THEN 'train' WHEN arrival_ts <= e2 THEN 'validation' ELSE 'test' END AS split FROM visits,
+      (SELECT max(ts) FILTER (rn = floor(0.7e0 * n + 0.5e0)) AS e1, max(ts) FILTER (rn = floor((0.7e0 + 0.15e0) * n + 0.5e0)) AS e2 FROM (
+        SELECT arrival_ts AS ts, row_number() OVER (ORDER BY arrival_ts) AS rn, count(*) OVER () AS n FROM visits))) GROUP BY split""")

@@ -961,3 +961,104 @@ def ablation(spark, d):
 @query
 def temporal_validation(spark, d):
     return study.temporal_validation(_ready(spark, d), MODEL_FEATURES, "triage", "arrival_ts", n_estimators=10, max_depth=6)
+
+
+# ---- what must hold for trained and iterated results, as exact counts -----------------------------------
+
+
+def _filled_counts(spark, d, name, columns):
+    """Rows, cells still empty, and rows whose given values are untouched."""
+    before = visits(spark, d, ["visit_id", *columns]).withColumnsRenamed({c: f"_{c}" for c in columns})
+    both = QUERIES[name](spark, d).join(before, "visit_id")
+    gaps, same = F.lit(0), F.lit(True)
+    for c in columns:
+        gaps = gaps + F.col(c).isNull().cast("int")
+        given = F.col(f"_{c}") if both.schema[c].dataType.typeName() == "string" else F.round(f"_{c}", 6) + 0.0
+        now = F.col(c) if both.schema[c].dataType.typeName() == "string" else F.round(c, 6) + 0.0
+        same = same & (given.isNull() | (given == now))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.sum(gaps).alias("gaps"), F.count_if(same).alias("kept"))
+
+
+def _trained_counts(spark, d, name):
+    """Per split: rows, probabilities that sum to 1, and whether recall over classes beats a constant answer."""
+    rows = QUERIES[name](spark, d)
+    total = sum((F.col(c) for c in rows.columns if c.startswith("p_")), F.lit(0.0))
+    per = rows.groupBy("split", "triage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) < 1e-9).alias("sum_to_one"),
+                                              F.avg((F.col("prediction") == F.col("triage")).cast("double")).alias("recall"))
+    return per.groupBy("split").agg(F.sum("n").alias("n"), F.sum("sum_to_one").alias("sum_to_one"),
+                                    (F.avg("recall") > 1 / 3 + 0.02).alias("learned"))
+
+
+def _inside(*columns):
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+    return F.count_if(ok).alias("inside")
+
+
+def _register_checked():
+    vitals, numeric = list(VITALS), list(MODEL_FEATURES)
+    for name, columns in (("impute_chained_rounds", vitals), ("impute_chained_forest", vitals), ("impute_forest_category", ["complaint"]),
+                          ("impute_auto", [*numeric, "complaint"])):
+        QUERIES[f"{name}_checked"] = lambda spark, d, name=name, columns=columns: _filled_counts(spark, d, name, columns)
+    for name in ("boosted_trees", "random_forest", "logistic"):
+        QUERIES[f"{name}_checked"] = lambda spark, d, name=name: _trained_counts(spark, d, name)
+
+
+_register_checked()
+
+
+@query
+def grid_search_cv_checked(spark, d):
+    q = grid_search_cv(spark, d)
+    return q.agg(F.count(F.lit(1)).alias("settings"), _inside("mean_score", "mean_train_score"),
+                 F.count_if(F.col("std_score") >= 0).alias("spreads"))
+
+
+@query
+def feature_importance_checked(spark, d):
+    q = feature_importance(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"))
+    return r6(q, "total")
+
+
+@query
+def baseline_learned_checked(spark, d):
+    return baseline_learned(spark, d).groupBy("model", "split", "n").agg(_inside("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1"))
+
+
+@query
+def shapley_sampled_checked(spark, d):
+    """Shares of the classes cancel for every row and feature, as probabilities sum to 1."""
+    per = shapley_sampled(spark, d).groupBy("visit_id", "feature").agg(F.count(F.lit(1)).alias("classes"), F.sum("phi").alias("total"))
+    return per.agg(F.countDistinct("visit_id").alias("visits"), F.count(F.lit(1)).alias("cells"), F.sum("classes").alias("n"),
+                   F.count_if(F.abs("total") < 1e-9).alias("cancel"))
+
+
+@query
+def bootstrap_ci_table_checked(spark, d):
+    """Every interval holds the metric of the table itself."""
+    q = bootstrap_ci_table(spark, d)
+    whole = metrics.summary(preds(spark, d, ["y_true", "y_pred"]), "y_true", "y_pred")
+    whole = whole.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in study.METRICS])).alias("r")).select("r.*")
+    return q.join(whole, "metric").select("metric", F.round("value", 6).alias("value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"),
+                                          ((F.col("low") <= F.col("median")) & (F.col("median") <= F.col("high"))).alias("ordered"))
+
+
+@query
+def learning_curve_checked(spark, d):
+    q = learning_curve(spark, d)
+    return q.agg(F.count(F.lit(1)).alias("steps"), _inside("train_score", "validation_score"),
+                 F.count_if(F.col("validation_std") >= 0).alias("spreads"))
+
+
+@query
+def ablation_checked(spark, d):
+    q = ablation(spark, d)
+    whole = q.where("dropped = '(none)'").select(F.col("balanced_accuracy").alias("_whole"))  # one row
+    return q.join(F.broadcast(whole)).groupBy("dropped").agg(
+        _inside("balanced_accuracy"), F.count_if(F.abs(F.col("_whole") - F.col("balanced_accuracy") - F.col("loss")) < 1e-9).alias("adds_up"))
+
+
+@query
+def temporal_validation_checked(spark, d):
+    return temporal_validation(spark, d).groupBy("split", "n").agg(_inside("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1"))

@@ -6,13 +6,10 @@ from riskframe.plans.oracles import ORACLES
 from riskframe.plans.queries import QUERIES
 from riskframe.sources.visits import VITALS, visits
 
-QUICK = ["impute_chained_rounds", "impute_forest_category", "smote_tomek", "random_forest", "isotonic_calibration",
-         "bootstrap_ci_table", "temporal_validation"]
 
-
-@pytest.mark.parametrize("name", [n for n in QUICK if n not in ORACLES])
-def test_runs(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_is_checked():
+    """A query without SQL for its rows has SQL for what must hold of them, which runs the query itself."""
+    assert all(name in ORACLES or f"{name}_checked" in ORACLES for name in QUERIES)
 
 
 def test_chained_leaves_no_gap(spark, sf_dir):
