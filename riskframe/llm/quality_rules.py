@@ -128,7 +128,7 @@ def _inverse_root(params: DataFrame) -> DataFrame:
     log_det = F.lit(0.0)
     for i in range(P):
         log_det = log_det + 2 * F.log(F.col(f"l_{i}_{i}"))
-    return params.select("key", "start", *[f"m_{i}" for i in range(P)], *[f"a_{i}_{j}" for i, j in LOWER], log_det.alias("log_det"))
+    return params.select("key", "start", *[f"m_{i}" for i in range(P)], *[f"a_{i}_{j}" for i, j in LOWER], "was", log_det.alias("log_det"))
 
 
 def _gap(i: int) -> Column:
@@ -152,14 +152,32 @@ def _moments(gap) -> list[Column]:
 
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """Parameters from the moments of the chosen rows about the old mean; ``factor`` makes the scatter consistent."""
+    """Parameters from the moments of the chosen rows about the old mean; ``factor`` makes the scatter consistent. ``was`` is the
+    old estimate's log determinant."""
     mean = [F.col(f"m_{i}") + F.col(f"t_{i}") / F.col("n") for i in range(P)]
     cov = [((F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n") / F.col("n")) * factor).alias(f"s_{i}_{j}")
            for i, j in LOWER]
-    return _inverse_root(sums.select("key", "start", *[m.alias(f"m_{i}") for i, m in enumerate(mean)], *cov))
+    return _inverse_root(sums.select("key", "start", "was", *[m.alias(f"m_{i}") for i, m in enumerate(mean)], *cov))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+#: Estimates that are broadcast, and how many of them one task makes when they are.
+FEW, EACH = 100_000, 2_000
+
+
+class Groups:
+    """How estimates meet rows: as a broadcast table while there are at most FEW of them, by a shuffle beyond."""
+
+    def __init__(self, n: int) -> None:
+        self.few, self.parts = n <= FEW, 1 + n // EACH
+
+    def meet(self, rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(F.broadcast(params) if self.few else params, "key", how)
+
+    def kept(self, params: DataFrame, label: str) -> DataFrame:
+        return stored(params.coalesce(self.parts) if self.few else params, label)
+
+
+def _starts(rows: DataFrame, groups: Groups) -> DataFrame:
     """Three scatters about the medians: the quartiles' scales, the products of tanh scores, and those of spatial signs."""
     cells = rows.select("key", F.posexplode(F.array(*NAMES)).alias("axis", "x"))
     cells = cells.groupBy("key", "axis", F.floor(F.col("x") * PER_UNIT).alias("cell")).agg(F.count("*").alias("n"))
@@ -171,8 +189,8 @@ def _starts(rows: DataFrame) -> DataFrame:
     wide = axes.groupBy("key").agg(
         *[pick(F.col("mid"), i).alias(f"m_{i}") for i in range(P)],
         *[pick(F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(FLOORS[NAMES[i]])), i).alias(f"d_{i}") for i in range(P)])
-    wide = stored(wide, "medians")
-    scaled = rows.join(small_side(wide), "key")
+    wide = groups.kept(wide, "medians")
+    scaled = groups.meet(rows, wide)
     scaled = scaled.withColumns({f"z_{i}": _gap(i) / F.col(f"d_{i}") for i in range(P)})
     norm = F.lit(1e-9)
     for i in range(P):
@@ -184,42 +202,43 @@ def _starts(rows: DataFrame) -> DataFrame:
     both = wide.join(products, "key")
     forms = []
     for start, value in enumerate((lambda i, j: F.lit(float(i == j)), lambda i, j: F.col(f"u_{i}_{j}"), lambda i, j: F.col(f"v_{i}_{j}"))):
-        forms.append(both.select("key", F.lit(start).alias("start"), *[f"m_{i}" for i in range(P)],
+        forms.append(both.select("key", F.lit(start).alias("start"), F.lit(None).cast("double").alias("was"), *[f"m_{i}" for i in range(P)],
                                  *[(value(i, j) * F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"s_{i}_{j}") for i, j in LOWER]))
-    return stored(_inverse_root(forms[0].unionByName(forms[1]).unionByName(forms[2])), "starts")
+    return groups.kept(_inverse_root(forms[0].unionByName(forms[1]).unionByName(forms[2])), "starts")
+
+
+def _centre() -> list[Column]:
+    return [*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)], F.first("was").alias("was")]
 
 
-def _concentrate(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
+def _concentrate(rows: DataFrame, params: DataFrame, support: float, groups: Groups) -> DataFrame:
     """One concentration step for every key and start."""
     cell = F.floor(F.log(F.greatest(_distance(), F.lit(1e-6))) * PER_E).cast("int")
-    cells = rows.join(small_side(params), "key").withColumn("cell", cell)
-    centre = [F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)]
-    cells = cells.groupBy("key", "start", "cell").agg(*_moments(_gap), *centre)
+    cells = groups.meet(rows, params.withColumn("was", F.col("log_det"))).withColumn("cell", cell)
+    cells = cells.groupBy("key", "start", "cell").agg(*_moments(_gap), *_centre())
     run = Window.partitionBy("key", "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
     cells = cells.withColumn("all", F.sum("n").over(Window.partitionBy("key", "start")))
     near = cells.where(F.col("before") < F.ceil(F.col("all") * support))
     sums = near.groupBy("key", "start").agg(F.sum("n").alias("n"), *[F.sum(f"t_{i}").alias(f"t_{i}") for i in range(P)],
-                                            *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in LOWER], *centre)
-    return stored(_estimate(sums, consistency(support)), "steps")
+                                            *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in LOWER], *_centre())
+    return groups.kept(_estimate(sums, consistency(support)), "steps")
 
 
-def estimates(rows: DataFrame, support: float = 0.6, trial_steps: int = 3, most_steps: int = 20) -> DataFrame:
+def estimates(rows: DataFrame, groups: Groups, support: float = 0.6, trial_steps: int = 2, most_steps: int = 20) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates of ``rows`` (key and the five statistics), one row per key."""
-    params = _starts(rows)
+    params = _starts(rows, groups)
     for _ in range(trial_steps):
-        params = _concentrate(rows, params, support)
+        params = _concentrate(rows, params, support, groups)
     best = Window.partitionBy("key").orderBy("log_det", "start")
-    params = stored(params.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank"), "best")
+    params = groups.kept(params.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank"), "best")
     for _ in range(most_steps):
-        after = _concentrate(rows, params, support)
-        moved = after.select("key", F.col("log_det").alias("to")).join(params, "key").where(F.abs(F.col("to") - F.col("log_det")) > 1e-3)
-        params = after
-        if moved.isEmpty():
+        params = _concentrate(rows, params, support, groups)
+        if params.where(F.abs(F.col("was") - F.col("log_det")) > 1e-3).isEmpty():
             break
-    near = rows.join(small_side(params), "key").where(_distance() <= chi2_quantile(0.975, P))
-    sums = near.groupBy("key", "start").agg(*_moments(_gap), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)])
-    return stored(_estimate(sums, consistency(0.975)), "estimates")
+    near = groups.meet(rows, params.withColumn("was", F.col("log_det"))).where(_distance() <= chi2_quantile(0.975, P))
+    sums = near.groupBy("key", "start").agg(*_moments(_gap), *_centre())
+    return groups.kept(_estimate(sums, consistency(0.975)), "estimates")
 
 
 def quality_rules(docs: DataFrame, min_words: int = 10, most_repeats: int = 20, least_group: int = 50, support: float = 0.6,
@@ -235,13 +254,15 @@ def quality_rules(docs: DataFrame, min_words: int = 10, most_repeats: int = 20,
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     stats = stored(stats.withColumn("base_failed", failed).withColumns(transformed()), "statistics")
     keys = stored(_keys(stats, least_group), "groups")
-    groups = small_side(keys.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
-    keyed = stats.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    named = small_side(keys.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
+    keyed = stats.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source")
     none = F.lit(None)
     levels = F.explode(F.array(_key(2, F.col("lang"), F.col("source")), _key(1, F.col("lang"), none), _key(0, none, none)))
-    fit = stats.where("not base_failed").select(levels.alias("key"), *NAMES).join(small_side(keys.select("key").distinct()), "key", "left_semi")
-    found = estimates(stored(fit, "fit"), support)
-    judged = keyed.join(small_side(found), "key", "left").withColumn("distance", F.sqrt(_distance()))
+    used = keys.select("key").distinct()
+    groups = Groups(used.count())
+    fit = groups.meet(stats.where("not base_failed").select(levels.alias("key"), *NAMES), used, "left_semi")
+    found = estimates(stored(fit, "fit"), groups, support)
+    judged = groups.meet(keyed, found, "left").withColumn("distance", F.sqrt(_distance()))
     inside = F.coalesce(F.col("distance") <= math.sqrt(chi2_quantile(quantile, P)), F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper",
                          "base_failed", "distance", "text_hash", (~F.col("base_failed") & inside).alias("kept"))
