@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (words that begin alike, once or several times in a text), mined from labelled
-rows. A generative label model explains their votes by a hidden class: each voter has its rates in both classes, and the
-strongest correlation of each voter given the class is kept as an edge of a tree, so that voters that repeat each other do not
+rows. The given label of a training row is one more voter, so that the hidden class cannot drift to a subset of the voters that
+agree among themselves, as those of one language. A generative label model explains the votes by a hidden class: each voter has
+its rates in both classes, and the strongest correlation of each voter given the class is kept as an edge of a tree, so that voters that repeat each other do not
 count twice. Expectation-maximization gives posterior labels; a linear classifier on the counts behind the votes is trained on
 these posteriors and scores every document.
 """
@@ -26,7 +27,7 @@ from riskframe.llm.tiling import APART
 LENGTHS = (0, 5, 6, 7, 8)
 #: A voter asks for a term at least so often in a text.
 TIMES = (1, 2, 3)
-VOTERS = 96
+VOTERS = 256
 #: Texts of the toxic class, and how many times likelier there, that a voter needs.
 LEAST_TEXTS, LEAST_LIFT = 5, 4.0
 
@@ -225,8 +226,9 @@ def train(rows: DataFrame, voters: int = VOTERS) -> tuple[Voters, LabelModel, Li
     if label.min() == label.max():
         return None
     votes = found.votes(counts)
-    model = LabelModel(label.mean()).fit(votes, 0.05 + 0.9 * label)
-    return found, model, fit_linear(inputs(counts, size, votes), model.posterior(votes))
+    given = np.column_stack([votes, label == 1])
+    model = LabelModel(label.mean()).fit(given, 0.05 + 0.9 * label)
+    return found, model, fit_linear(inputs(counts, size, votes), model.posterior(given))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, voters: int = VOTERS) -> DataFrame:
