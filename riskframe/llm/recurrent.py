@@ -25,7 +25,7 @@ from riskframe.llm.shared import stored
 #: Rows whose crc32(doc_id as text) leaves this remainder by FOLDS are not learned from.
 FOLDS, HELD = 7, 2
 #: Words with a count that are broadcast, at most (16 bytes each), and words that the network itself predicts.
-HEAD_WORDS, CLASSES, CLASS_WORDS = 1 << 20, 40, 50
+HEAD_WORDS, CLASSES, CLASS_WORDS = 1 << 18, 40, 50
 #: Spelling classes of the other words: last byte (comma, full stop, other mark, none) by plain ASCII or not by length.
 SPELLINGS = 24
 #: State size, steps of truncated backpropagation, documents side by side in training and scoring.
@@ -101,7 +101,7 @@ def vocabulary(counts: DataFrame, ends: int, head: int = HEAD_WORDS) -> tuple[Vo
     total = counts.agg(F.sum("n"), F.count("*")).first()
     levels = counts.groupBy("n").agg(F.count("*").alias("words"))
     # a count's words go into the head together; few distinct counts are large, so only those that fit are collected
-    ranked = levels.orderBy(F.desc("n")).limit(head).collect()
+    ranked = levels.orderBy(F.desc("n")).limit(min(head, 1 << 16)).collect()
     least, room = 1 << 62, head
     for row in ranked:
         if row["words"] > room:
@@ -109,6 +109,7 @@ def vocabulary(counts: DataFrame, ends: int, head: int = HEAD_WORDS) -> tuple[Vo
         least, room = row["n"], room - row["words"]
     rows = counts.where(F.col("n") >= least).select("word", "n", "spelling").toPandas() if room < head else pd.DataFrame({"word": [], "n": [], "spelling": []})
     hashes, n, kinds = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), rows["spelling"].to_numpy(np.int64)
+    del rows
     order = np.argsort(hashes)
     hashes, n, kinds = hashes[order], n[order], kinds[order]
     ids = np.full(len(hashes), -1, np.int32)
@@ -364,16 +365,15 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "weights": [(total / rows["tokens"].sum()).astype(np.float32).tobytes()]})
 
 
-def fit(docs: DataFrame, known: Vocabulary) -> np.ndarray:
+def fit(docs: DataFrame, shared) -> np.ndarray:
     """The network's weights: a warm start on a bounded sample, then one averaged round over a fixed share of all training
-    documents, each task on its own."""
+    documents, each task on its own. ``shared`` is the broadcast vocabulary."""
     spark = docs.sparkSession
-    net = Network.start(known)
+    net = Network.start(shared.value)
     train = docs.where(learned())
     names = train.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
     warm = stored(train.join(F.broadcast(stored(names, "warm-ids")), "doc_id").select("doc_id", "text"), "warm")
     share = train.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TRAIN_SHARE)) == 0).select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(known)
     for rows, rate, passes in ((warm.coalesce(1).sortWithinPartitions("doc_id", "text"), 0.02, 3), (share, 0.004, 1)):
         weights = spark.sparkContext.broadcast(net.flat)
         done = rows.mapInArrow(_trained(shared, weights, rate, passes), "piece int, tokens long, weights binary")
@@ -425,10 +425,11 @@ def language_scores(docs: DataFrame) -> DataFrame:
     counts = train.mapInArrow(_counts, "word long, spelling byte, n long")
     counts = stored(counts.groupBy("word").agg(F.first("spelling").alias("spelling"), F.sum("n").alias("n")), "counts")
     known, least = vocabulary(counts, train.count())
-    weights = fit(docs, known)
     send = spark.sparkContext.broadcast
+    shared = send(known)
+    weights = fit(docs, shared)
     rows = docs.withColumn("row", F.xxhash64("doc_id", "text", F.col("doc_id").isNull()))
-    scored = stored(rows.mapInArrow(_scored(send(known), send(weights)), "row long, doc_id long, n_tokens long, known long, log_counts double, "
+    scored = stored(rows.mapInArrow(_scored(shared, send(weights)), "row long, doc_id long, n_tokens long, known long, log_counts double, "
                                     "score double, tail array<long>"), "scored")
     # equal rows have one name: each text's rare words are looked up once
     once = scored.groupBy("row").agg(F.count("*").alias("copies"))
