@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ids or parameters that a join may broadcast: about 100 MB at 100 bytes a row. More rows are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes that a table with binary values may broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +43,12 @@ def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def small_blobs(df: DataFrame, column: str, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its binary ``column`` has at most ``bound`` bytes, 32 a row added. It should be stored."""
+    total = df.agg(F.sum(F.octet_length(column) + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= bound else df
+
+
 def tasks(spark: SparkSession) -> int:
     """Parts of a shuffle whose work is per row, which adaptive execution would merge by bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
