@@ -144,10 +144,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     same = Window.partitionBy("doc_id", "text_hash", "source").orderBy("start")
     found = found.withColumn("_copy", F.dense_rank().over(same)).drop("start", "turn").withColumnsRenamed(
         {"doc_id": "_id", "source": "_source", "text_hash": "_hash"})
+    found = stored(found, "taken")
     rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text", "source").orderBy(F.lit(0))))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-                     & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_copy")))
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
+    if not found.where("_copy > 1").isEmpty():  # only then are equal rows to be told apart, which deals out all texts once more
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text", "source").orderBy(F.lit(0))))
+        met = met & (F.col("_n") == F.col("_copy"))
+    rows = rows.join(found, met)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("_taken").cast("int")), " ")
     out = rows.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
