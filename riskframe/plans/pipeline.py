@@ -144,9 +144,7 @@ def evaluate(spark: SparkSession, root: str, feats: Sequence[str], best: str, s:
                                          "true_label", "predicted_label"), root, "high_risk")
     tables.write_report(study.bootstrap_from_table(test, s.target, p), root, "intervals")
     rows = tables.read_stage(spark, root, "scaled").where(F.col("split") == "test")
-    if s.explained_rows is not None:
-        rows = split.sample_n(rows, s.explained_rows, s.key, s.seed)
-    phi = explain.sampled(models.Fitted.load(spark, root, "boosted"), rows, s.key, s.background, seed=s.seed)
+    phi = explain.sampled(models.Fitted.load(spark, root, "boosted"), rows, s.key, s.background, s.explained_rows, seed=s.seed)
     tables.write_stage(phi, root, "attributions")
     tables.write_report(explain.global_importance(tables.read_stage(spark, root, "attributions")), root, "attribution_ranking")
     return metrics.summary(test, s.target, p)
