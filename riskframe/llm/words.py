@@ -48,7 +48,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``size`` bytes, at least one text each."""
     at, n = 0, len(offsets) - 1
     while at < n:
