@@ -175,8 +175,8 @@ class LabelModel:
 
 def inputs(counts: np.ndarray, size: np.ndarray, votes: np.ndarray) -> np.ndarray:
     """What the classifier reads: counts of the terms, their share of the words, the number of votes, the length."""
-    total = counts.sum(1)
-    return np.column_stack([np.log1p(counts), np.log1p(total), np.log1p(100 * total / np.maximum(size, 1)), np.log1p(votes.sum(1)), np.log1p(size)])
+    total = counts.sum(1).astype(float)
+    return np.column_stack([np.log1p(counts), np.log1p(total), np.log1p(100 * total / np.maximum(size, 1)), np.log1p(votes.sum(1)), np.log1p(size)]).astype(np.float32)
 
 
 class Linear(NamedTuple):
@@ -192,13 +192,17 @@ class Linear(NamedTuple):
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Linear:
-    """Logistic regression on soft targets by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
+    """Logistic regression on soft targets by Newton steps; the sums run over blocks of rows."""
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
+    w, penalty = np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(z @ w).clip(-50, 50)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(penalty), z.T @ (target - p) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2000):
+            z = np.column_stack([(x[at : at + 2000] - mean) / scale, np.ones(len(x[at : at + 2000]))])
+            p = 1 / (1 + np.exp(-(z @ w).clip(-50, 50)))
+            slope += z.T @ (target[at : at + 2000] - p)
+            curve += (z.T * (p * (1 - p))) @ z
+        step = np.linalg.solve(curve, slope)
         w = w + step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
@@ -218,11 +222,12 @@ def train(rows: DataFrame, voters: int = VOTERS) -> tuple[Voters, LabelModel, Li
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())],
                                              ["label", "size", "counts"])
 
-    table = rows.select("doc_id", "text", "label").mapInArrow(counted, schema).collect()  # bounded by the sample's rows
-    label = np.array([r[0] for r in table], float)
-    size, counts = np.array([r[1] for r in table]), np.frombuffer(b"".join(bytes(r[2]) for r in table), np.float32).reshape(len(table), -1)
+    table = rows.select("doc_id", "text", "label").mapInArrow(counted, schema).toArrow()  # bounded by the sample's rows
+    label, size = (table[c].to_numpy().astype(float) for c in ("label", "size"))
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.float32).reshape(len(label), -1)
+    del table
     order = np.lexsort((label, size, *counts.T))  # the same sums whatever the order of the rows
-    label, size, counts = label[order], size[order], counts[order].astype(float)
+    label, size, counts = label[order], size[order], counts[order]
     if label.min() == label.max():
         return None
     votes = found.votes(counts)
