@@ -3,8 +3,8 @@
 The output softmax is factored into classes. Frequent words form classes of equal size, and the network predicts the class and the
 word in it; every other word falls into a class that its spelling alone decides, in which it has its smoothed share of the class's
 training tokens. Counts cover all training documents: those of frequent words are broadcast (a bounded table), those of rare words
-meet the tokens in a join. Training runs truncated backpropagation over a fixed share of the training documents, in parallel from
-one warm start, and averages the weights; scoring carries the state over whole documents, many documents side by side.
+meet the tokens in a join. Training runs truncated backpropagation over all training documents, in parallel from one warm start,
+and averages the weights; scoring carries the state over whole documents, many documents side by side.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ HEAD_WORDS, CLASSES, CLASS_WORDS = 1 << 18, 40, 50
 SPELLINGS = 24
 #: State size, steps of truncated backpropagation, documents side by side in training and scoring.
 STATE, STEPS, TRAIN_LANES, LANES = 16, 16, 64, 256
-#: Training documents of the warm start, and one in so many of all for the averaged round.
-WARM_DOCS, TRAIN_SHARE = 1500, 12
+#: Training documents of the warm start; the averaged round reads all of them.
+WARM_DOCS = 1500
 
 
 def learned() -> Column:
@@ -225,7 +225,7 @@ class Network:
         s = STATE
         gates = self.enter[entry]
         before = np.zeros((*entry.shape, s), np.float32)
-        memory = []
+        memory = [np.zeros(before.shape, np.float32) for _ in range(4)] if keep else []
         for t in range(len(entry)):
             n = int(active[t])
             now = np.where(fresh[t, :n, None], np.float32(0), h[:n])
@@ -234,10 +234,10 @@ class Network:
             both = 1 / (1 + np.exp(-(gates[t, :n, : 2 * s] + inner[:, : 2 * s])))
             reset, update = both[:, :s], both[:, s:]
             new = np.tanh(gates[t, :n, 2 * s :] + reset * inner[:, 2 * s :])
-            h = h.copy() if keep else h
             h[:n] = new + update * (now - new)
             if keep:
-                memory.append((now, inner[:, 2 * s :], reset, update, new))
+                for kept, part in zip(memory, (inner[:, 2 * s :], reset, update, new), strict=True):
+                    kept[t, :n] = part
         return before, h, memory
 
     def output(self, states: np.ndarray, group: np.ndarray, word: np.ndarray, gradient: dict | None = None):
@@ -257,23 +257,27 @@ class Network:
             back = chance @ self.group.T
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if not len(own):
-                continue
-            mine = states[own]
-            logits = mine @ self.word[c].T + self.word_bias[c]
-            logits -= logits.max(1, keepdims=True)
-            chance = np.exp(logits)
-            total = chance.sum(1, keepdims=True)
-            rows = np.arange(len(own))
-            out[own] += logits[rows, word[own]] - np.log(total[:, 0])
-            if gradient is not None:
-                chance /= total
-                chance[rows, word[own]] -= 1
-                gradient["word"][c] += chance.T @ mine
-                gradient["word_bias"][c] += chance.sum(0)
-                back[own] += chance @ self.word[c]
+        order = order[: cuts[-1]]
+        held = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        if not held:
+            return out, back
+        mine, rows = states[order], np.arange(len(order))
+        logits = self.word_bias[group[order]]
+        for c, own in held:
+            logits[own] += mine[own] @ self.word[c].T
+        logits -= logits.max(1, keepdims=True)
+        chance = np.exp(logits)
+        total = chance.sum(1, keepdims=True)
+        out[order] += logits[rows, word[order]] - np.log(total[:, 0])
+        if gradient is not None:
+            chance /= total
+            chance[rows, word[order]] -= 1
+            pull = np.empty_like(mine)
+            for c, own in held:
+                gradient["word"][c] += chance[own].T @ mine[own]
+                pull[own] = chance[own] @ self.word[c]
+            gradient["word_bias"][[c for c, _ in held]] += np.add.reduceat(chance, [own.start for _, own in held], axis=0)
+            back[order] += pull
         return out, back
 
     def train(self, found: Tokens, rate: float, state: dict) -> None:
@@ -282,42 +286,59 @@ class Network:
             return
         dealt = lanes(found.bounds, TRAIN_LANES)
         h = np.zeros((dealt.place.shape[1], STATE), np.float32)
+        grad_flat, step = np.empty_like(self.flat), np.empty_like(self.flat)
+        grad = Network(grad_flat)
+        parts = {k: getattr(grad, k) for k in SHAPES}
         for at in range(0, len(dealt.place), STEPS):
             place, fresh, active = (x[at : at + STEPS] for x in dealt)
+            n = int(active[0])
+            place, fresh = place[:, :n], fresh[:, :n]
             real = place >= 0
             entry = np.where(real, found.input[place], 0)
-            before, after, memory = self.steps(entry, fresh, active, h, keep=True)
-            grad_flat = np.zeros_like(self.flat)
-            grad = Network(grad_flat)
-            parts = {k: getattr(grad, k) for k in SHAPES}
+            before, h, (inner, reset, update, new) = self.steps(entry, fresh, active, h[:n], keep=True)
+            grad_flat.fill(0)
             _, back = self.output(before[real], found.group[place[real]], found.word[place[real]], parts)
             reach = np.zeros(before.shape, np.float32)
             reach[real] = back
-            dh = np.zeros_like(h)
+            # lanes without a token keep zeros throughout
+            of_new = (1 - update) * (1 - new * new)
+            of_update = (before - new) * update * (1 - update)
+            of_reset = inner * reset * (1 - reset)
+            through = np.where(fresh[:, :, None], np.float32(0), np.float32(1))
             gates = np.zeros((*place.shape, 3 * STATE), np.float32)
+            inside = np.zeros_like(gates)
+            d = np.zeros_like(h)
             for t in range(len(place) - 1, -1, -1):
-                n = int(active[t])
-                now, inner, reset, update, new = memory[t]
-                d = dh[:n]
-                dn = d * (1 - update) * (1 - new * new)
-                dz = d * (now - new) * update * (1 - update)
-                dr = dn * inner * reset * (1 - reset)
-                gates[t, :n] = np.concatenate([dr, dz, dn], axis=1)
-                inside = np.concatenate([dr, dz, dn * reset], axis=1)
-                parts["carry"] += now.T @ inside
-                parts["bias"] += inside.sum(0)
-                dh[:n] = np.where(fresh[t, :n, None], np.float32(0), d * update + inside @ self.carry.T + reach[t, :n])
+                dn = d * of_new[t]
+                dr = dn * of_reset[t]
+                both = inside[t]
+                both[:, :STATE] = dr
+                both[:, STATE : 2 * STATE] = d * of_update[t]
+                both[:, 2 * STATE :] = dn * reset[t]
+                gates[t, :, 2 * STATE :] = dn
+                d = (d * update[t] + both @ self.carry.T + reach[t]) * through[t]
+            gates[:, :, : 2 * STATE] = inside[:, :, : 2 * STATE]
+            parts["carry"] += before.reshape(-1, STATE).T @ inside.reshape(-1, 3 * STATE)
+            parts["bias"] += inside.sum((0, 1))
             rows, flat = entry[real], gates[real]
             order = np.argsort(rows, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
             parts["enter"][rows[order][first]] = np.add.reduceat(flat[order], first, axis=0)
             grad_flat /= max(len(rows), 1)
             state["t"] += 1
-            state["m"] += 0.1 * (grad_flat - state["m"])
-            state["v"] += 0.01 * (grad_flat * grad_flat - state["v"])
-            t = state["t"]
-            self.flat -= rate * (state["m"] / (1 - 0.9**t)) / (np.sqrt(state["v"] / (1 - 0.99**t)) + 1e-6)
-            h = after
+            t, m, v = state["t"], state["m"], state["v"]
+            m *= 0.9
+            m += np.multiply(grad_flat, 0.1, out=step)
+            v *= 0.99
+            grad_flat *= grad_flat
+            grad_flat *= 0.01
+            v += grad_flat
+            np.sqrt(v, out=step)
+            step *= (1 - 0.99**t) ** -0.5
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= rate / (1 - 0.9**t)
+            self.flat -= step
 
     def score(self, found: Tokens) -> np.ndarray:
         """Natural-log probability of each token's class and word in it, the state carried over whole texts."""
@@ -366,15 +387,14 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, shared) -> np.ndarray:
-    """The network's weights: a warm start on a bounded sample, then one averaged round over a fixed share of all training
-    documents, each task on its own. ``shared`` is the broadcast vocabulary."""
+    """The network's weights: a warm start on a bounded sample, then one averaged round over all training documents, each task
+    on its own. ``shared`` is the broadcast vocabulary."""
     spark = docs.sparkSession
     net = Network.start(shared.value)
     train = docs.where(learned())
     names = train.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
     warm = stored(train.join(F.broadcast(stored(names, "warm-ids")), "doc_id").select("doc_id", "text"), "warm")
-    share = train.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TRAIN_SHARE)) == 0).select("doc_id", "text")
-    for rows, rate, passes in ((warm.coalesce(1).sortWithinPartitions("doc_id", "text"), 0.02, 3), (share, 0.004, 1)):
+    for rows, rate, passes in ((warm.coalesce(1).sortWithinPartitions("doc_id", "text"), 0.02, 3), (train.select("doc_id", "text"), 0.004, 1)):
         weights = spark.sparkContext.broadcast(net.flat)
         done = rows.mapInArrow(_trained(shared, weights, rate, passes), "piece int, tokens long, weights binary")
         mean = done.groupBy("piece").applyInPandas(_averaged, "piece int, weights binary").orderBy("piece").collect()

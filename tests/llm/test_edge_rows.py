@@ -185,6 +185,33 @@ def test_scores_of_awkward_rows(spark, awkward, nothing, score, label):
     assert score(nothing, labels).count() == 0
 
 
+def test_network_trains_on_all_learning_documents(spark, monkeypatch):
+    """Every token of every document that is not held out passes backpropagation in the averaged round."""
+    texts = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1 + i % 5))) for i in range(300)]
+    seen = spark.sparkContext.accumulator(0)
+    trained = recurrent._trained
+
+    def counted(known, weights, rate, passes):
+        run = trained(known, weights, rate, passes)
+
+        def count(batches):
+            for out in run(batches):
+                if passes == 1:
+                    seen.add(out.column("tokens")[0].as_py())
+                yield out
+
+        return count
+
+    monkeypatch.setattr(recurrent, "_trained", counted)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = docs.where(recurrent.learned()).mapInArrow(recurrent._counts, "word long, spelling byte, n long")
+    counts = counts.groupBy("word").agg({"spelling": "first", "n": "sum"}).toDF("word", "spelling", "n").cache()
+    known, _ = recurrent.vocabulary(counts, 1)
+    recurrent.fit(docs, spark.sparkContext.broadcast(known))
+    want = sum(len(WORD.findall(t)) + 1 for i, t in texts if zlib.crc32(str(i).encode()) % recurrent.FOLDS != recurrent.HELD)
+    assert seen.value == want
+
+
 def test_language_scores(awkward, nothing):
     got = recurrent.language_scores(awkward).collect()
     token = {k: [*WORD.findall((t or "").translate(LOW)), None] for k, (_, t, *_) in enumerate(ROWS)}
