@@ -40,13 +40,6 @@ GRIDS = {
 VOTE_WEIGHTS = (2.0, 2.0, 1.0)
 BLEND = {"boosted": 0.4, "forest": 0.4, "logistic": 0.2}
 
-# Small grids used by default: the full ones are thousands of fits.
-DEFAULT_GRIDS = {
-    "boosted": {"max_depth": [3, 4], "n_estimators": [10]},
-    "forest": {"max_depth": [6, 10], "n_estimators": [20]},
-    "logistic": {"C": [0.1, 1.0]},
-}
-
 
 def pack(df: DataFrame, features: Sequence[str], column: str = "features") -> DataFrame:
     """Feature vector. Gaps must be filled before: a NULL stops the job instead of being guessed."""
@@ -172,11 +165,11 @@ TRAINERS: dict[str, Callable[..., Fitted]] = {"boosted": boosted, "forest": fore
 
 def tune(df: DataFrame, kind: str, features: Sequence[str], y: str, fold: str, weight: str | None = None,
          grid: Mapping[str, Sequence] | None = None, parallelism: int = 3) -> DataFrame:
-    """Grid search over stratified folds by balanced accuracy: one row per setting, best first.
+    """Grid search over stratified folds by balanced accuracy: one row per setting, best first. Without a grid, all of GRIDS.
 
     One scoring pass per fit yields both the held-out and the training score.
     """
-    grid = grid or DEFAULT_GRIDS[kind]
+    grid = grid or GRIDS[kind]
     settings = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
     data = spread(df.select(*features, y, fold, *([weight] if weight else []))).persist()
     codec = LabelCodec.fit(data, y)
@@ -207,6 +200,14 @@ def best_settings(table: DataFrame, grid: Mapping[str, Sequence]) -> dict:
     return dict(zip(grid, list(product(*grid.values()))[at], strict=True))
 
 
+def search(df: DataFrame, kind: str, features: Sequence[str], y: str, fold: str, weight: str | None = None,
+           grid: Mapping[str, Sequence] | None = None, parallelism: int = 3) -> tuple[DataFrame, Fitted]:
+    """The table of ``tune``, and the model refitted on all folds with the best setting."""
+    grid = grid or GRIDS[kind]
+    table = tune(df, kind, features, y, fold, weight, grid, parallelism)
+    return table, TRAINERS[kind](df, features, y, weight, **best_settings(table, grid))
+
+
 # ---- combining and calibrating scores -------------------------------------------------------------------
 
 

@@ -59,3 +59,35 @@ def test_fills(calls):
     for query in ("impute_auto", "imputation_log"):
         policy = calls(query, Q.auto_impute, "auto")[0].args[3]
         assert (policy.rounds, policy.category_trees) == (10, 50)
+
+
+def test_search_covers_the_grid_and_refits(spark, monkeypatch):
+    """Without a grid every setting of GRIDS is tried on every fold, and the best is fitted again on all rows."""
+    tried = []
+
+    class Constant:
+        def __init__(self, c):
+            self.answer = "a" if c == 0.5 else "b"
+
+        def score(self, df):
+            return df.withColumn("prediction", Q.F.when(Q.F.col("x") > 0, "b").otherwise(self.answer))
+
+    def trainer(df, features, y, weight, C, codec=None):
+        tried.append((C, df.count()))
+        return Constant(C)
+
+    monkeypatch.setitem(models.TRAINERS, "logistic", trainer)
+    rows = [(float(i % 2), "ab"[i % 2], i % 4 // 2) for i in range(8)]
+    table, _ = models.search(spark.createDataFrame(rows, "x double, y string, fold int"), "logistic", ["x"], "y", "fold")
+    assert table.count() == 4
+    assert sorted(tried[:-1]) == sorted((c, 4) for c in models.GRIDS["logistic"]["C"] for _ in range(2))
+    assert tried[-1] == (0.5, 8)
+
+
+def test_registered_search(calls, monkeypatch):
+    monkeypatch.setattr(Q.metrics, "summary", MagicMock())
+    monkeypatch.setattr(Q.F, "broadcast", MagicMock())
+    kfold = MagicMock()
+    monkeypatch.setattr(Q.split, "kfold", kfold)
+    got = calls("grid_search_cv", models, "search")[0]
+    assert kfold.call_args.args[-1] == 5 and len(got.args) == 6 and not got.kwargs  # no grid of its own
