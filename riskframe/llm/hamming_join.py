@@ -3,7 +3,7 @@
 A document's signature holds ``CHUNKS * WIDTH`` symbols of 16 bits, each the low bits of one minimum over its shingles.
 Two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols have, by pigeonhole, a chunk that differs in at
 most ``ERRORS`` symbols; so every document is filed under each chunk with each choice of ``ERRORS`` symbols left out, and all
-pairs within that distance meet under a common key. At a similarity of 0.75 a pair misses all keys with probability 2e-6.
+pairs within that distance meet under a common key. At a similarity of 0.75 a pair misses all keys with probability 1.5e-6.
 Pairs that meet are confirmed on their full shingle sets, in two rounds: with a key's first document, and then all that meet and
 are not in one component yet. The second round returns no pairs to be tested: a first pass leaves the documents that have a
 likely partner in another component, each pair under the first key that its two documents share, and a second pass gets their
@@ -29,7 +29,7 @@ SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs that meet under a key and differ in more symbols are not confirmed. A pair of similarity 0.75 differs in 10 of 40
-#: symbols on average; it differs in more than 24 once in 10 million times.
+#: symbols on average; it differs in more than 24 with probability 5.9e-7, and such a pair is lost if nothing else links it.
 FARTHEST = 24
 #: Rows of a key that one task compares with each other; larger keys are cut into blocks that meet pair by pair.
 BLOCK = 2_000

@@ -185,6 +185,18 @@ def test_scores_of_awkward_rows(spark, awkward, nothing, score, label):
     assert score(nothing, labels).count() == 0
 
 
+def test_stated_rates_of_lost_pairs():
+    """What the module says of pairs of similarity 0.75 is the binomial tail, and the chance to share no key."""
+    from math import comb
+    from pathlib import Path
+
+    n, wide, said = hamming_join.SYMBOLS, hamming_join.WIDTH, Path(hamming_join.__file__).read_text()
+    far = sum(comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(hamming_join.FARTHEST + 1, n + 1))
+    meets = sum(comb(wide, k) * 0.25**k * 0.75 ** (wide - k) for k in range(hamming_join.ERRORS + 1))
+    for rate in (far, (1 - meets) ** hamming_join.CHUNKS):
+        assert f"with probability {rate:.1e}".replace("e-0", "e-") in said
+
+
 def test_network_trains_on_all_learning_documents(spark, monkeypatch):
     """Every token of every document that is not held out passes backpropagation in the averaged round."""
     texts = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1 + i % 5))) for i in range(300)]
