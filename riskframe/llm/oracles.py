@@ -31,7 +31,41 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to, url
 FROM m JOIN pages USING (page_id)"""
 
+_TRIE = """
+WITH turns AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+-- crc32 bit by bit: a byte is mixed in, then eight steps follow
+steps AS (
+  SELECT conv_id, own, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM turns),
+heads AS (
+  SELECT conv_id, own, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), ops), lambda a, o:
+      CASE WHEN o >= 0 THEN xor(a, o) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM steps),
+built AS (
+  SELECT c.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.own[1:h], []) ELSE [] END, c.own[h + 1:]) AS whole
+  FROM heads c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, len(whole) AS size, unnest(range(0, len(whole) + 1)) AS depth, whole FROM built),
+nodes AS (
+  SELECT whole[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth) AS ends
+  FROM (SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN whole ELSE [] END AS whole FROM prefixes) GROUP BY ALL),
+children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM
+  (SELECT CASE WHEN depth > 1 THEN path ELSE [] END AS path, depth FROM nodes WHERE depth > 0) GROUP BY ALL),
+full_nodes AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE strlen(n.path[n.depth].t) END AS saved
+  FROM nodes n LEFT JOIN children c USING (path, depth)),
+upward AS (
+  SELECT CASE WHEN up > 0 THEN path[1:up] ELSE [] END AS path, up AS depth, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS up FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN upward u USING (path, depth)
+LEFT JOIN full_nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = CASE WHEN n.depth > 1 THEN n.path[1:n.depth - 1] ELSE [] END"""
+
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": _TRIE,
     "op9_warc_index": _PAGES,
     "op8_minhash_hamming": _NEAR,
 }

@@ -8,14 +8,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import hamming_join, longest_factor, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
-
-
-def tokenizer_file() -> str:
-    """The vocabulary file that the token queries use."""
+from riskframe.llm import (
+    hamming_join,
+    longest_factor,
+    pairwise_quality,
+    prefix_trie,
+    quality_rules,
+    rank_merge,
+    recurrent,
+    schedule,
+    spectrum,
+    tiling,
+    token_files,
+    warc_index,
+    weak_toxicity,
+)
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file that the token queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +91,21 @@ def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.language_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens."""
+    return rank_merge.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op12_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's 16 leading components, whitened."""
+    return spectrum.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_greedy_tiling": op2_greedy_tiling,
@@ -88,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_warc_index": op9_warc_index,
     "op10_recurrent_scores": op10_recurrent_scores,
+    "op11_rank_merge": op11_rank_merge,
+    "op12_spectrum_slicing": op12_spectrum_slicing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
