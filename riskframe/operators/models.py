@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -20,16 +21,16 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint_folder, durable, slices, spread
 from ..sources import tables
-from . import metrics
+from . import grown, metrics
 from .encode import LabelCodec
 
 # The full search grids, weights of the vote and of the blended importance.
 GRIDS = {
     "boosted": {
         "max_depth": [4, 5, 6], "learning_rate": [0.03, 0.05, 0.1], "n_estimators": [150, 200, 250],
-        "min_child_weight": [3, 5, 7], "subsample": [0.7, 0.8],
+        "min_child_weight": [3, 5, 7], "subsample": [0.7, 0.8], "colsample": [0.7, 0.8],
     },
     "forest": {
         "n_estimators": [150, 200, 250], "max_depth": [15, 18, 20, 30], "min_samples_leaf": [5, 8, 10],
@@ -109,19 +110,24 @@ def _labelled(df: DataFrame, features: Sequence[str], y: str, codec: LabelCodec,
 
 
 def boosted(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, max_depth: int = 4,
-            learning_rate: float = 0.1, n_estimators: int = 20, min_child_weight: int = 3, subsample: float = 0.8,
-            seed: int = 42, codec: LabelCodec | None = None) -> Fitted:
-    """Gradient-boosted trees, one binary booster per class over one cached training table."""
+            learning_rate: float = 0.1, n_estimators: int = 200, min_child_weight: int = 3, subsample: float = 0.8,
+            colsample: float = 0.8, seed: int = 42, codec: LabelCodec | None = None) -> Fitted:
+    """Gradient-boosted trees, one binary booster per class over one cached training table; the classes train side by side.
+
+    ``colsample`` is the share of the features that a node tries.
+    """
     codec = codec or LabelCodec.fit(df, y)
     data = _labelled(df, features, y, codec, weight)
+
+    def fit(i: int):
+        gbt = GBTClassifier(maxDepth=max_depth, stepSize=learning_rate, maxIter=n_estimators, featureSubsetStrategy=str(colsample),
+                            minInstancesPerNode=min_child_weight, subsamplingRate=subsample, seed=seed)
+        gbt = gbt.setWeightCol(weight) if weight else gbt
+        return gbt.fit(data.withColumn("label", (F.col("label") == i).cast("double")))
+
     try:
-        parts = []
-        for i in range(len(codec.classes)):
-            gbt = GBTClassifier(maxDepth=max_depth, stepSize=learning_rate, maxIter=n_estimators,
-                                minInstancesPerNode=min_child_weight, subsamplingRate=subsample, seed=seed)
-            if weight:
-                gbt = gbt.setWeightCol(weight)
-            parts.append(gbt.fit(data.withColumn("label", (F.col("label") == i).cast("double"))))
+        with ThreadPool(len(codec.classes)) as pool:  # a booster's small jobs leave cores free for the others
+            parts = pool.map(fit, range(len(codec.classes)))
     finally:
         data.unpersist()
     return Fitted("boosted", codec.classes, tuple(features), tuple(parts))
@@ -138,12 +144,18 @@ def _single(kind: str, estimator, df, features, y, weight, codec) -> Fitted:
         data.unpersist()
 
 
-def forest(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, n_estimators: int = 50,
-           max_depth: int = 10, min_samples_leaf: int = 5, max_features: str = "sqrt", max_samples: float = 0.8,
+#: MB that a task may use for the histograms of one pass over the rows: a level of a forest is one pass, not several.
+HISTOGRAM_MB = 512
+
+
+def forest(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, n_estimators: int = 200,
+           max_depth: int = 18, min_samples_leaf: int = 5, max_features: str = "sqrt", max_samples: float = 0.8,
            seed: int = 42, codec: LabelCodec | None = None) -> Fitted:
+    """Each row's node in each tree is kept between levels instead of walking down the trees again; its lineage is cut every ten."""
+    checkpoint_folder(df.sparkSession)
     return _single("forest", RandomForestClassifier(
-        numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
-        featureSubsetStrategy=max_features, subsamplingRate=max_samples, seed=seed), df, features, y, weight, codec)
+        numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features,
+        subsamplingRate=max_samples, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=HISTOGRAM_MB, seed=seed), df, features, y, weight, codec)
 
 
 def logistic(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, C: float = 1.0,
@@ -163,11 +175,46 @@ def tree(df: DataFrame, features: Sequence[str], y: str, weight: str | None = No
 TRAINERS: dict[str, Callable[..., Fitted]] = {"boosted": boosted, "forest": forest, "logistic": logistic, "tree": tree}
 
 
+#: What a forest setting means where the grid does not name it.
+FOREST_DEFAULTS = {"n_estimators": 200, "max_depth": 18, "min_samples_leaf": 5, "max_features": "sqrt", "max_samples": 0.8}
+
+
+def forest_plots(settings: Sequence[Mapping], folds: Sequence[int], features: int) -> tuple[list[grown.Plot], dict[int, list[tuple[int, int, int]]]]:
+    """One fit per fold and way to grow trees, and for each fit the settings read from it: (setting, trees, depth).
+
+    Settings that differ in their number of trees or depth only, or in the name of the same number of features, share a fit.
+    """
+    ways: dict[tuple, list] = {}
+    for at, given in enumerate(settings):
+        s = {**FOREST_DEFAULTS, **given}
+        way = (s["min_samples_leaf"], grown.picked(s["max_features"], features), s["max_samples"])
+        ways.setdefault(way, []).append((at, s["n_estimators"], s["max_depth"]))
+    plots, read = [], {}
+    for way, members in ways.items():
+        for fold in folds:
+            read[len(plots)] = members
+            plots.append(grown.Plot(len(plots), fold, 0, *way, tuple(sorted({m[1] for m in members})), tuple(sorted({m[2] for m in members}))))
+    return plots, read
+
+
+def _tuned_together(data: DataFrame, settings: Sequence[Mapping], folds: Sequence[int], features, y: str, fold: str, weight: str | None,
+                    codec: LabelCodec) -> list[tuple]:
+    """(setting, fold, held-out score, training score) of every forest setting, from shared fits."""
+    plots, read = forest_plots(settings, folds, len(features))
+    rows = data.where(F.col(y).isNotNull()).withColumn("_label", codec.encode(y))
+    cells = grown.evaluate(rows, features, "_label", plots, fold, weight=weight, classes=len(codec.classes))
+    found = {(r["plot"], r["trees"], r["depth"], r["held"]): r["balanced_accuracy"]
+             for r in metrics.from_counts(cells, ["plot", "trees", "depth", "held"]).collect()}  # a row per fit, prefix and depth
+    return [(at, p.fold, found.get((p.at, trees, depth, True)), found.get((p.at, trees, depth, False)))
+            for p in plots for at, trees, depth in read[p.at]]
+
+
 def tune(df: DataFrame, kind: str, features: Sequence[str], y: str, fold: str, weight: str | None = None,
-         grid: Mapping[str, Sequence] | None = None, parallelism: int = 3) -> DataFrame:
+         grid: Mapping[str, Sequence] | None = None, parallelism: int = 3, shared_rows: int = grown.ROWS) -> DataFrame:
     """Grid search over stratified folds by balanced accuracy: one row per setting, best first. Without a grid, all of GRIDS.
 
-    One scoring pass per fit yields both the held-out and the training score.
+    Forests over at most ``shared_rows`` rows share fits (see ``grown``); other kinds and larger tables have a distributed fit
+    per setting and fold, whose one scoring pass yields both the held-out and the training score.
     """
     grid = grid or GRIDS[kind]
     settings = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
@@ -183,8 +230,11 @@ def tune(df: DataFrame, kind: str, features: Sequence[str], y: str, fold: str, w
         return at, held, found.get(True), found.get(False)
 
     try:
-        with ThreadPool(parallelism) as pool:  # several Spark jobs at once; the fits themselves run on executors
-            rows = pool.map(run, list(product(range(len(settings)), folds)))
+        if kind == "forest" and set(grid) <= set(FOREST_DEFAULTS) and data.count() <= shared_rows:
+            rows = _tuned_together(data, settings, folds, features, y, fold, weight, codec)
+        else:
+            with ThreadPool(parallelism) as pool:  # several Spark jobs at once; the fits themselves run on executors
+                rows = pool.map(run, list(product(range(len(settings)), folds)))
     finally:
         data.unpersist()
     long = df.sparkSession.createDataFrame(
@@ -221,6 +271,50 @@ def soft_vote(df: DataFrame, models: Sequence[str], classes: Sequence[str],
     return out.withColumn("prediction", arg_max({c: F.col(f"{prefix}_{c}") for c in classes}))
 
 
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pools of rising means of (class, low, high, hits, weight) rows sorted by class and low: a pool joins the one before as long as its mean is not above.
+
+    Pooling is associative: the pools of several ranges, pooled again, are those of all their rows.
+    """
+    name, stack = None, []
+
+    def done() -> pa.RecordBatch:
+        columns = list(zip(*stack, strict=True)) if stack else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(stack), pa.string()), *[pa.array(c, pa.float64()) for c in columns]],
+                                          ["class", "low", "high", "hits", "weight"])
+
+    for batch in batches:
+        for c, low, high, hits, weight in zip(*(batch.column(k).to_pylist() for k in ("class", "low", "high", "hits", "weight")), strict=True):
+            if c != name:
+                if stack:
+                    yield done()
+                name, stack = c, []
+            while stack and stack[-1][2] * weight >= hits * stack[-1][3]:  # counts are whole, so the comparison is exact
+                low, hits, weight = stack[-1][0], stack[-1][2] + hits, stack[-1][3] + weight
+                stack.pop()
+            stack.append((low, high, hits, weight))
+    if stack:
+        yield done()
+
+
+POOLS = "class string, low double, high double, hits double, weight double"
+
+
+def isotonic_pools(df: DataFrame, y: str, scores: Mapping[str, str]) -> DataFrame:
+    """POOLS of every class: the isotonic regression of ``y == class`` on its score, in one job for all classes.
+
+    Rows collapse to distinct scores; ranges of them are pooled in their tasks, and what is left, a few thousand pools for any
+    number of rows (0/1 labels leave at most about n^(2/3)), is pooled once more in one task per class. No pool passes the driver.
+    """
+    long = df.where(F.col(y).isNotNull()).select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("class"), F.col(c).cast("double").alias("low"), (F.col(y) == name).cast("double").alias("hit"))
+        for name, c in scores.items()])).alias("r")).select("r.*").where(F.col("low").isNotNull() & ~F.isnan("low"))
+    steps = long.groupBy("class", "low").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).cast("double").alias("weight"))
+    steps = durable(steps.select("class", "low", F.col("low").alias("high"), "hits", "weight"))
+    ranges = steps.repartitionByRange(slices(df.sparkSession), "class", "low").sortWithinPartitions("class", "low").mapInArrow(pooled, POOLS)
+    return ranges.repartition(len(scores), "class").sortWithinPartitions("class", "low").mapInArrow(pooled, POOLS)
+
+
 @dataclass(frozen=True)
 class Calibrator:
     """One isotonic step function per class."""
@@ -230,13 +324,16 @@ class Calibrator:
 
     @classmethod
     def fit(cls, df: DataFrame, y: str, scores: Mapping[str, str]) -> Calibrator:
-        """Rows collapse to distinct scores with weights first, so the isotonic fit sees the smaller table."""
-        parts = []
-        for name, c in scores.items():
-            steps = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("features")).agg(
-                F.avg((F.col(y) == name).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-            parts.append(IsotonicRegression(weightCol="weight").fit(steps))
-        return cls(tuple(scores), tuple(parts))
+        """The pools of all classes come first; MLlib's model is then made from their ends, which rise already."""
+        pools = durable(isotonic_pools(df, y, scores))
+        ends = pools.select("class", F.explode(F.array_distinct(F.array("low", "high"))).alias("features"), F.try_divide("hits", "weight").alias("label"),
+                            "weight")
+
+        def model(name: str):
+            return IsotonicRegression(weightCol="weight").fit(ends.where(F.col("class") == name).coalesce(1))
+
+        with ThreadPool(len(scores)) as pool:
+            return cls(tuple(scores), tuple(pool.map(model, scores)))
 
     def apply(self, df: DataFrame, scores: Mapping[str, str], prefix: str = "cal") -> DataFrame:
         """Calibrated, renormalised probabilities; equal shares where every class gets 0."""

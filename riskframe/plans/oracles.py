@@ -597,11 +597,13 @@ sql("shapley_by_class", f"SELECT class, feature, {r('avg(abs(x))', 'importance')
 
 # ---- study ----------------------------------------------------------------------------------------------
 
-_STEPS_P = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
-_BLOCK = "md5('42|' || CAST(rep // 4 AS VARCHAR) || '|' || CAST(visit_id AS VARCHAR))"
-_REPS = f"""bw AS (SELECT rep, y_true AS y, y_pred AS p, {' + '.join(f'CAST(u >= {s}e0 AS INTEGER)' for s in _STEPS_P)} AS w
-    FROM (SELECT *, CAST(('0x' || substr({_BLOCK}, 1 + 8 * (rep % 4), 8)) AS BIGINT) / 4294967296e0 AS u
-      FROM preds, range(1000) t(rep)))"""
+_REPS = f"""bk AS (SELECT y, p, bucket, count(*) AS m FROM (
+        SELECT y_true AS y, y_pred AS p, {hash32("42", "CAST(visit_id AS VARCHAR)")} % 16 AS bucket FROM preds) GROUP BY ALL),
+    cdf AS (SELECT y, p, bucket, k, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY y, p, bucket ORDER BY k) AS upto FROM (
+        SELECT *, unnest(range(greatest(0, CAST(floor(m - 12 * sqrt(m) - 30) AS BIGINT)), CAST(floor(m + 12 * sqrt(m) + 61) AS BIGINT))) AS k FROM bk)),
+    dr AS (SELECT *, {hash32("42", "concat_ws('|', CAST(rep AS VARCHAR), y, p, CAST(bucket AS VARCHAR))")} / 4294967296e0 AS u FROM bk, range(1000) t(rep)),
+    bw AS (SELECT rep, y, p, sum(w) AS w FROM (SELECT dr.rep, dr.y, dr.p, coalesce(cdf.k + 1, greatest(0, CAST(floor(m - 12 * sqrt(m) - 30) AS BIGINT))) AS w
+        FROM dr ASOF LEFT JOIN cdf ON dr.y = cdf.y AND dr.p = cdf.p AND dr.bucket = cdf.bucket AND dr.u >= cdf.upto) GROUP BY ALL)"""
 sql("bootstrap_ci", "SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{m}' AS metric, {r(f'avg({m})', 'mean')}, {r(f'quantile_cont({m}, 0.025)', 'low')},
     {r(f'quantile_cont({m}, 0.5)', '"median"')}, {r(f'quantile_cont({m}, 0.975)', 'high')} FROM ev""" for m in _G) + ")",
@@ -679,7 +681,11 @@ for _name in ("impute_chained_rounds", "impute_chained_forest", "impute_forest_c
     sql(f"{_name}_checked", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS gaps, count(*) AS kept FROM visits")
 for _name in ("boosted_trees", "random_forest", "logistic"):
     sql(f"{_name}_checked", "SELECT split, count(*) AS n, count(*) AS sum_to_one, TRUE AS learned FROM s GROUP BY split", _SPLIT)
-plain("grid_search_cv_checked", "SELECT CAST(2 AS BIGINT) AS settings, CAST(2 AS BIGINT) AS inside, CAST(2 AS BIGINT) AS spreads")
+plain("grid_search_cv_checked", """SELECT CAST(row_number() OVER (ORDER BY n, d, l, r <> 'sqrt', s) - 1 AS INTEGER) AS setting,
+    '{''n_estimators'': ' || n || ', ''max_depth'': ' || d || ', ''min_samples_leaf'': ' || l || ', ''max_features'': ''' || r ||
+    ''', ''max_samples'': ' || s || '}' AS params, TRUE AS inside, TRUE AS learned, TRUE AS refit_is_best
+    FROM (VALUES (150), (200), (250)) a(n), (VALUES (15), (18), (20), (30)) b(d), (VALUES (5), (8), (10)) c(l),
+         (VALUES ('sqrt'), ('log2')) e(r), (VALUES (0.7), (0.8), (0.9)) f(s)""")
 plain("feature_importance_checked", """SELECT source, CAST(7 AS BIGINT) AS features, 1e0 AS total
     FROM (VALUES ('boosted'), ('ensemble'), ('forest'), ('logistic')) t(source)""")
 sql("baseline_learned_checked", """SELECT model, split, count(*) AS n, CAST(1 AS BIGINT) AS inside
@@ -688,7 +694,7 @@ sql("shapley_sampled_checked", """SELECT count(*) AS visits, 7 * count(*) AS cel
     FROM s WHERE split = 'test'""", _SPLIT)
 sql("bootstrap_ci_table_checked", " UNION ALL ".join(
     f"SELECT '{m}' AS metric, round({m}, 6) AS value, TRUE AS inside, TRUE AS ordered FROM ev" for m in _G), _ONE)
-plain("learning_curve_checked", "SELECT CAST(3 AS BIGINT) AS steps, CAST(3 AS BIGINT) AS inside, CAST(3 AS BIGINT) AS spreads")
+plain("learning_curve_checked", "SELECT CAST(10 AS BIGINT) AS steps, CAST(10 AS BIGINT) AS inside, CAST(10 AS BIGINT) AS spreads, TRUE AS rises")
 plain("ablation_checked", """SELECT dropped, CAST(1 AS BIGINT) AS inside, CAST(1 AS BIGINT) AS adds_up
     FROM (VALUES ('(none)'), ('circulation'), ('breathing'), ('general')) t(dropped)""")
 sql("temporal_validation_checked", """SELECT split, count(*) AS n, CAST(1 AS BIGINT) AS inside FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
@@ -668,7 +668,7 @@ def grid_search_cv(spark, d):
     folds = _folds(spark, d, 5)
     table, model = models.search(folds, "forest", MODEL_FEATURES, "triage", "fold", "weight")
     refit = metrics.summary(model.score(folds), "triage", "prediction").select(F.col("balanced_accuracy").alias("refit_score"))
-    best = table.limit(1).select("setting").join(F.broadcast(refit))
+    best = table.limit(1).select("setting").crossJoin(F.broadcast(refit))  # one row each
     return table.join(F.broadcast(best), "setting", "left").select(*table.columns, "refit_score").orderBy(F.desc("mean_score"), "setting")
 
 
@@ -1018,11 +1018,13 @@ _register_checked()
 
 @query
 def grid_search_cv_checked(spark, d):
-    """Its SQL holds for two settings, so the operator runs on those; ``grid_search_cv`` has the whole grid."""
-    grid = {"max_depth": [4, 8], "n_estimators": [10]}
-    q = models.tune(_folds(spark, d, 3), "forest", MODEL_FEATURES, "triage", "fold", "weight", grid)
-    return q.agg(F.count(F.lit(1)).alias("settings"), _inside("mean_score", "mean_train_score"),
-                 F.count_if(F.col("std_score") >= 0).alias("spreads"))
+    """Every setting of the search, whether its scores are shares, and whether only the best one has a refit."""
+    q = grid_search_cv(spark, d)
+    ok = F.col("mean_score").between(0.0, 1.0) & F.col("mean_train_score").between(0.0, 1.0) & (F.col("std_score") >= 0)
+    # no setting of at least 150 trees answers as badly as a constant does
+    best = F.col("mean_score") == F.max("mean_score").over(Window.partitionBy("model"))
+    return q.select("setting", "params", ok.alias("inside"), (F.col("mean_score") > 1 / 3 + 0.05).alias("learned"),
+                    (F.col("refit_score").isNull() | best).alias("refit_is_best"))
 
 
 @query
@@ -1056,17 +1058,19 @@ def bootstrap_ci_table_checked(spark, d):
 
 @query
 def learning_curve_checked(spark, d):
-    """Its SQL holds for three sizes, so the operator runs on those; ``learning_curve`` has all ten."""
-    q = study.learning_curve(_ready(spark, d), MODEL_FEATURES, "triage", "visit_id", (0.2, 0.6, 1.0), 2, n_estimators=10, max_depth=6)
-    return q.agg(F.count(F.lit(1)).alias("steps"), _inside("train_score", "validation_score"),
-                 F.count_if(F.col("validation_std") >= 0).alias("spreads"))
+    """All ten sizes of the curve: whether scores are shares, and whether more rows taught more than a tenth of them did."""
+    q = learning_curve(spark, d)
+    ends = q.agg(F.max_by("validation_score", "share").alias("_last"), F.min_by("validation_score", "share").alias("_first"))
+    return q.crossJoin(F.broadcast(ends)).agg(F.count(F.lit(1)).alias("steps"), _inside("train_score", "validation_score"),
+                                              F.count_if(F.col("validation_std") >= 0).alias("spreads"),
+                                              F.bool_and(F.col("_last") >= F.col("_first") - 0.02).alias("rises"))
 
 
 @query
 def ablation_checked(spark, d):
     q = ablation(spark, d)
     whole = q.where("dropped = '(none)'").select(F.col("balanced_accuracy").alias("_whole"))  # one row
-    return q.join(F.broadcast(whole)).groupBy("dropped").agg(
+    return q.crossJoin(F.broadcast(whole)).groupBy("dropped").agg(
         _inside("balanced_accuracy"), F.count_if(F.abs(F.col("_whole") - F.col("balanced_accuracy") - F.col("loss")) < 1e-9).alias("adds_up"))
 
 

@@ -26,7 +26,8 @@ def local_session(cores: str | int = 8, partitions: int = 8, memory: str = "12g"
     return spark
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> None:
+    """See that checkpoints have a folder: the one that ``spark.checkpoint.dir`` names, in local mode a temporary one if it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -43,7 +44,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        _checkpoint_folder(spark)
+        checkpoint_folder(spark)
         folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -68,5 +69,5 @@ def durable(df: DataFrame) -> DataFrame:
     Used where a table is read by several later stages or grows inside a loop; a lost executor then
     costs a re-read of the written blocks, not a re-run of the history.
     """
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
