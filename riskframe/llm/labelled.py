@@ -21,10 +21,13 @@ def held_out(folds: int = FOLDS, held: int = HELD) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold.
 
-    A document with several labels counts as 1 if any is 1; null labels and ids are left out.
+    A document with several labels counts as 1 if any is 1; null labels and ids are left out. An id that several rows have stands
+    for one of them, that with the smallest hash of its text, so that ``rows`` bounds the rows, too.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
     # bounded by ``rows``, so it may be broadcast
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "sample")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    order = F.struct(F.xxhash64("text"), "text")
+    return stored(found.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), order).alias("r")).select("doc_id", "r.*"), "sample")

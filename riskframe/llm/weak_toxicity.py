@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (words that begin alike, once or several times in a text), mined from labelled
-rows. The given label of a training row is one more voter, so that the hidden class cannot drift to a subset of the voters that
-agree among themselves, as those of one language. A generative label model explains the votes by a hidden class: each voter has
-its rates in both classes, and the strongest correlation of each voter given the class is kept as an edge of a tree, so that voters that repeat each other do not
-count twice. Expectation-maximization gives posterior labels; a linear classifier on the counts behind the votes is trained on
-these posteriors and scores every document.
+rows: greedily the one that speaks most for the toxic texts which few voters cover yet, so that a rare language has its own before
+a common one has all of its words in all their forms. A voter that finds nothing abstains, which says nothing of the class: no
+text is clean for lack of another language's words. Three voters have no term: the given label where it is 1, the given label
+where it is 0, and finding no term at all. A generative label model explains the votes by a hidden class: each voter has its rates
+in both classes, and the strongest correlation of each term's voter given the class is kept as an edge of a tree, so that voters
+that repeat each other do not count twice. Expectation-maximization gives posterior labels; a linear classifier on the counts
+behind the votes is trained on these posteriors and scores every document.
 """
 
 from __future__ import annotations
@@ -24,12 +26,17 @@ from riskframe.llm.labelled import SAMPLE_ROWS, held_out, sample
 from riskframe.llm.tiling import APART
 
 #: Bytes of a word's beginning that make a pattern; 0 stands for the whole word.
-LENGTHS = (0, 5, 6, 7, 8)
+LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 #: A voter asks for a term at least so often in a text.
 TIMES = (1, 2, 3)
-VOTERS = 256
-#: Texts of the toxic class, and how many times likelier there, that a voter needs.
-LEAST_TEXTS, LEAST_LIFT = 5, 4.0
+#: Voters at least, and labelled rows that allow another one.
+VOTERS, ROWS_A_VOTER = 256, 50
+#: How many times likelier in the toxic class a voter is, and the toxic texts that it needs: so many, or this share of them.
+LEAST_LIFT, LEAST_TEXTS, LEAST_SHARE = 4.0, 2, 0.001
+#: The share that the first beliefs keep in the label model's steps.
+ANCHOR = 0.5
+#: A voter speaks for the equivalent of so many toxic texts that no other covers.
+LEAST_GAIN = 1.0
 
 
 def terms(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,29 +99,72 @@ class Voters(NamedTuple):
         return counts[:, self.term] >= self.times
 
 
+def covering(text: np.ndarray, term: np.ndarray, telling: np.ndarray, voters: int) -> np.ndarray:
+    """Terms in the order they are chosen. ``text``, ``term``: which toxic text has which term; ``telling``: each term's log lift.
+
+    A text that c chosen terms cover counts 1 / (1 + c)^2; a term's gain is what its texts count, times its log lift over the
+    largest one. Equal gains go by the term's place.
+    """
+    order = np.argsort(term, kind="stable")
+    text, term = text[order], term[order]
+    names, first = np.unique(term, return_index=True)
+    ends = np.append(first[1:], len(term))
+    covered = np.zeros(int(text.max()) + 1 if len(text) else 0)
+    worth, free, chosen = telling[names] / max(telling.max(initial=0.0), 1e-9), np.ones(len(names), bool), []
+    while len(chosen) < min(voters, len(names)):
+        gain = np.where(free, np.add.reduceat(1 / (1 + covered[text]) ** 2, first) * worth, -1.0)
+        k = int(gain.argmax())
+        if gain[k] < LEAST_GAIN * min(1.0, worth[k]):
+            break
+        free[k] = False
+        chosen.append(names[k])
+        covered[text[first[k] : ends[k]]] += 1
+    return np.array(chosen, np.int64)
+
+
 def mine(rows: DataFrame, voters: int = VOTERS) -> Voters:
-    """The voters whose presence speaks most for the toxic class; equal evidence goes by term."""
+    """The voters that cover the toxic texts best (see ``covering``); their number grows with the labelled rows.
+
+    What the driver holds is bounded by the sample: its telling terms, and which toxic text has which.
+    """
     totals = rows.agg(F.sum("label"), F.count("*")).first()
     ones, others = float(totals[0] or 0), float(totals[1] - (totals[0] or 0))
     found = rows.select("text", "label").mapInArrow(_mined, "term long, times int, toxic long, other long")
-    found = found.groupBy("term", "times").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= LEAST_TEXTS)
+    found = found.groupBy("term", "times").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = ((F.col("toxic") + 0.5) / (ones + 1)) / ((F.col("other") + 0.5) / (others + 1))
-    found = found.withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
+    found = found.where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * ones)).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
     # of a term's thresholds the most telling stays; evidence is the toxic texts times the log lift
-    evidence = (F.col("toxic") * F.log("lift")).alias("evidence")
-    best = found.select("term", "times", evidence).groupBy("term").agg(F.max(F.struct("evidence", (-F.col("times")).alias("fewest"))).alias("b"))
-    top = best.orderBy(F.desc("b.evidence"), "term").limit(voters).collect()  # bounded by ``voters``
-    names = np.array([r["term"] for r in top], np.int64).view(np.uint64)
+    telling = F.struct((F.col("toxic") * F.log("lift")).alias("evidence"), (-F.col("times")).alias("fewest"), F.log("lift").alias("telling"))
+    best = found.groupBy("term").agg(F.max(telling).alias("b")).select("term", "b.*").toArrow()
+    names = best["term"].to_numpy().view(np.uint64)
     order = np.argsort(names)
-    times = np.array([-r["b"]["fewest"] for r in top], np.int64)
-    return Voters(names[order], np.arange(len(top)), times[order])
+    names, times, log_lift = names[order], -best["fewest"].to_numpy()[order], best["telling"].to_numpy()[order]
+
+    def has(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for text, name, _, _ in terms(batch):
+                at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                hit = names[at] == name
+                pair, count = np.unique(text[hit] * len(names) + at[hit], return_counts=True)
+                text, at = pair // len(names), pair % len(names)
+                enough = count >= times[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text[enough]]), pa.array(at[enough])], ["doc_id", "at"])
+
+    if not len(names):
+        return Voters(names, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    pairs = rows.where("label = 1").select("doc_id", "text").mapInArrow(has, "doc_id long, at long").toArrow()
+    text = np.unique(pairs["doc_id"].to_numpy(), return_inverse=True)[1]
+    chosen = np.sort(covering(text, pairs["at"].to_numpy(), log_lift, max(voters, int(ones + others) // ROWS_A_VOTER)))
+    return Voters(names[chosen], np.arange(len(chosen)), times[chosen].astype(np.int64))
 
 
 class LabelModel:
-    """Two hidden classes, voters' rates in each, and a tree of the strongest correlations given the class."""
+    """Two hidden classes, voters' rates in each, and a tree of the strongest correlations of term voters given the class."""
 
-    def __init__(self, prior: float, rounds: int = 25) -> None:
-        self.prior, self.rounds = prior, rounds
+    def __init__(self, prior: float, plain: int = 0, rounds: int = 25) -> None:
+        """``plain``: the last voters, which have no edge, as they exclude one another."""
+        self.prior, self.plain, self.rounds = prior, plain, rounds
 
     @staticmethod
     def _tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -144,32 +194,35 @@ class LabelModel:
                 best[closer], source[closer] = info[k][closer], k
         return parent
 
-    def _tables(self, votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Log probability of a vote given the parent's vote and the class: [class, parent's vote, vote, voter]."""
-        given = np.where(self.parent[None] >= 0, votes[:, self.parent], False)
-        out = np.zeros((2, 2, 2, votes.shape[1]))
+    def _given(self, votes: np.ndarray) -> np.ndarray:
+        return np.where(self.parent[None] >= 0, votes[:, self.parent], False)
+
+    def _rates(self, votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log probability of a vote in each class given whether the parent voted: [class, parent's vote, voter]."""
+        given = self._given(votes)
+        out = np.zeros((2, 2, votes.shape[1]))
         for c, w in enumerate((1 - weight, weight)):
             rate = (w @ votes + 0.1) / (w.sum() + 1)
             for g in (0, 1):
                 mine = w[:, None] * (given == g)
-                yes = ((mine * votes).sum(0) + 2 * rate) / (mine.sum(0) + 2)  # two rows' worth of the voter's own rate
-                out[c, g] = np.log(np.stack([1 - yes, yes]).clip(1e-9))
+                out[c, g] = np.log((((mine * votes).sum(0) + 2 * rate) / (mine.sum(0) + 2)).clip(1e-9))  # two rows' worth of its own rate
         return out
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of the toxic class."""
-        given = np.where(self.parent[None] >= 0, votes[:, self.parent], False).astype(int)
-        log = np.log([1 - self.prior, self.prior])[:, None] + np.stack(
-            [self.tables[c][given, votes.astype(int), np.arange(votes.shape[1])].sum(1) for c in (0, 1)])
-        return 1 / (1 + np.exp((log[0] - log[1]).clip(-50, 50)))
+        """Probability of the toxic class; abstentions do not count."""
+        lift = self.rates[1] - self.rates[0]
+        odds = np.log(self.prior / (1 - self.prior)) + (votes * np.where(self._given(votes), lift[1], lift[0])).sum(1)
+        return 1 / (1 + np.exp(-odds.clip(-50, 50)))
 
     def fit(self, votes: np.ndarray, start: np.ndarray) -> LabelModel:
-        weight = start
+        """Rates by expectation-maximization from the beliefs ``start``, which keep their share of every step: as abstentions do not
+        count, the class would else become "any vote at all"."""
+        weight, terms = start, votes.shape[1] - self.plain
         for k in range(self.rounds):
             if k % 5 == 0:
-                self.parent = self._tree(votes, weight)
-            self.tables = self._tables(votes, weight)
-            weight = self.posterior(votes)
+                self.parent = np.append(self._tree(votes[:, :terms], weight), np.full(self.plain, -1))
+            self.rates = self._rates(votes, weight)
+            weight = ANCHOR * start + (1 - ANCHOR) * self.posterior(votes)
         return self
 
 
@@ -231,8 +284,8 @@ def train(rows: DataFrame, voters: int = VOTERS) -> tuple[Voters, LabelModel, Li
     if label.min() == label.max():
         return None
     votes = found.votes(counts)
-    given = np.column_stack([votes, label == 1])
-    model = LabelModel(label.mean()).fit(given, 0.05 + 0.9 * label)
+    given = np.column_stack([votes, label == 1, label == 0, ~votes.any(1)])
+    model = LabelModel(label.mean(), plain=3).fit(given, 0.05 + 0.9 * label)
     return found, model, fit_linear(inputs(counts, size, votes), model.posterior(given))
 
 

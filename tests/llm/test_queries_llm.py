@@ -12,7 +12,7 @@ from compare import connect, differences
 from llm_rows import prose
 
 import corpus_pipeline
-from riskframe.llm import hamming_join, longest_factor, quality_rules, tiling
+from riskframe.llm import hamming_join, longest_factor, quality_rules, tiling, weak_toxicity
 from riskframe.llm.oracles import ORACLES
 from riskframe.llm.queries import QUERIES, tokenizer_file
 
@@ -229,12 +229,67 @@ def test_schedule_spreads_every_source(spark):
         assert np.abs(own - share * np.arange(1, 991)).max() < 6
 
 
-@pytest.mark.parametrize("name, label, least", [("op5_weak_toxicity", "toxic", 0.9), ("op7_pairwise_quality", "quality", 0.97)])
-def test_held_out_labels(name, label, least, spark):
-    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
-    rows = [r for r in QUERIES[name](spark, LARGER).collect() if r.held_out and r.doc_id in labels]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) >= least
-    assert all(r.predicted == int(r.score >= (0.5 if label == "toxic" else 0.3)) for r in rows)
+def test_held_out_quality(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op7_pairwise_quality"](spark, LARGER).collect() if r.held_out and r.doc_id in labels]
+    assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) >= 0.97
+    assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_held_out_toxicity(spark):
+    """Caught at 0.90 of the clean left alone, in all and in every language: a constant answer catches none."""
+    folder = os.path.join(os.path.dirname(LARGER), "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in weak_toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    clean = np.sort([r.score for r in rows if label[r.doc_id] == 0])
+    cut = clean[int(0.9 * len(clean))]
+    for own in (None, "en", "de", "fr", "es"):
+        toxic = [r.score > cut for r in rows if label[r.doc_id] == 1 and own in (None, lang[r.doc_id])]
+        assert np.mean(toxic) >= 0.9, own
+
+
+def test_label_model_finds_rates_and_correlations():
+    """Simulated voters: two languages that never meet, some voters that copy another, wrong labels among the given."""
+    r = np.random.default_rng(7)
+    n = 8000
+    truth, second = r.random(n) < 0.15, r.random(n) < 0.2
+    rate = np.array([0.7, 0.6, 0.5, 0.6, 0.7, 0.6])
+    own = np.where(np.arange(6)[None] < 3, ~second[:, None], second[:, None])
+    votes = (r.random((n, 6)) < np.where(truth[:, None], rate, 0.01)) & own
+    copies = votes[:, :2] & (r.random((n, 2)) < 0.95)
+    label = np.where(r.random(n) < 0.02, ~truth, truth)
+    votes = np.column_stack([votes, copies])
+    given = np.column_stack([votes, label, ~label, ~votes.any(1)])
+    model = weak_toxicity.LabelModel(label.mean(), plain=3).fit(given, 0.05 + 0.9 * label)
+    found = model.posterior(given)
+    assert np.mean((found > 0.5) == truth) > 0.96
+    assert np.mean(found[truth & second] > 0.5) > 0.9 and np.mean(found[truth & ~second] > 0.5) > 0.9  # neither language takes the class
+    assert {frozenset(p) for p in enumerate(model.parent) if p[1] >= 0} >= {frozenset((0, 6)), frozenset((1, 7))}
+    rates = np.exp(model.rates[:, 0, :3])  # those without a parent's vote
+    assert (rates[1] > 10 * rates[0]).all()
+
+
+def test_covering_gives_rare_texts_their_voters():
+    """Many terms for 100 texts, two for 5 others: both groups are covered before any has its tenth voter."""
+    pairs = [(t, k) for t in range(100) for k in range(30)] + [(100 + t, 30 + k) for t in range(5) for k in range(2)]
+    text, term = (np.array(x) for x in zip(*pairs, strict=True))
+    chosen = weak_toxicity.covering(text, term, np.ones(32), 10)
+    assert {30, 31} <= set(chosen.tolist()) and len(chosen) <= 10
+    assert len(weak_toxicity.covering(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 5)) == 0
+
+
+def test_sample_is_one_row_per_id(spark):
+    """A hot id among the labelled ones does not widen the sample."""
+    from riskframe.llm import labelled
+
+    docs = spark.range(4000).selectExpr("id % 4 as doc_id", "concat('t', id) as text")
+    labels = spark.range(4).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = labelled.sample(docs, labels, "toxic", rows=2).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 2
 
 
 def test_language_scores_beat_the_base(spark):
