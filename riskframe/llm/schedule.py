@@ -2,8 +2,9 @@
 
 The slots of the mix are the points of a golden-ratio sequence, mapped through the sources' cumulative shares: at any length the
 mix is within a few slots of its targets. A source's slots are ranked in schedule order; its documents, shuffled by a keyed hash,
-lie end to end on a line of words that repeats, and the r-th slot takes the r-th block of that line. Ranks and places on the
-line are running sums over many small ranges, never over a whole source in one task.
+lie end to end on a line of words that repeats, and the r-th slot takes the r-th block of that line. A source gets the slots that
+points fell on, no more and no fewer, and the mix is read in the order of its slots. Ranks and places on the line are running sums
+over many small ranges, never over a whole source in one task.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.shared import small_side, stored
+from riskframe.llm.shared import small_side, stored, tasks
 
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-#: Slots of a mix, about: a block has the total over so many words, at least one.
-SLOTS = 1 << 18
+#: Words of a slot's block, and the slots that a small mix has at least: the schedule grows with the corpus, blocks do not.
+BLOCK, LEAST_SLOTS = 256, 1 << 16
 #: Cells of [0, 1) by which points meet the sources whose share reaches into theirs.
 CELLS = 1024
 #: Rows of a range whose running sums one task makes.
@@ -62,47 +63,40 @@ def running(df: DataFrame, by: str, order: list[str], value: str, out: str, rang
             .withColumn(out, F.col("_base") + F.col("_inside")).drop("_by", "_range", "_base", "_inside"))
 
 
-def slots(goals: DataFrame, block: int, count: int) -> DataFrame:
-    """(slot, place, rank): the schedule. ``goals``: place, target, from, to (the source's share of [0, 1)), quota (its slots).
-
-    A source's slots beyond its quota fall out; what it lacks at the schedule's end, a few slots by the discrepancy of the
-    sequence, is appended, so that every source gets its quota.
-    """
-    spark = goals.sparkSession
-    points = spark.range(count).withColumn("point", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
+def slots(goals: DataFrame, count: int) -> DataFrame:
+    """(slot, place, rank): the schedule. ``goals``: place, and the source's share of [0, 1), from ``low`` to ``high``."""
+    points = goals.sparkSession.range(count).withColumn("point", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS).cast("long"))
     cells = F.sequence(F.floor(F.col("low") * CELLS).cast("long"), F.floor(F.col("high") * CELLS).cast("long"))
-    spread = stored(goals.select("place", "low", "high", "quota", F.explode(cells).alias("cell")), "cells")
+    spread = stored(goals.where("high > low").select("place", "low", "high", F.explode(cells).alias("cell")), "cells")
     points = points.join(small_side(spread), "cell").where("point >= low and point < high")
     points = points.withColumn("one", F.lit(1)).withColumn("range", F.floor(F.col("id") / RANGE_ROWS))
-    ranked = running(points, "place", ["id"], "one", "rank", "range").where("rank < quota").select(F.col("id").alias("slot"), "place", "rank")
-    ranked = stored(ranked, "slots")
-    given = ranked.groupBy("place").agg(F.count("*").alias("given"))
-    rest = goals.join(given, "place", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < quota")
-    rest = rest.select("place", F.explode(F.sequence(F.col("given"), F.col("quota") - 1)).alias("rank"))
-    return ranked.unionByName(rest.select((F.lit(count) + F.col("rank")).alias("slot"), "place", "rank"))
+    ranked = running(points, "place", ["id"], "one", "rank", "range")
+    return stored(ranked.select(F.col("id").alias("slot"), "place", F.col("rank").cast("long").alias("rank")), "slots")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11, slots_wanted: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11, block: int | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, slot, first, taken): what each slot takes of each document.
 
     ``first`` is the first word taken, ``taken`` their number; a document that no slot takes has one row with a null slot and
-    0 taken. A source's words taken add up to its target, rounded down; a document is taken at most ``most`` times. Null texts
-    have no words, null sources are one source, repeated rows lie on the line one after the other; an empty table gives an empty
-    table. The same rows give the same mix, whatever their order and partitions.
+    0 taken. A source's words taken are those of the slots that the schedule gives it, a few blocks of ``block`` words from its
+    target; a document is taken at most ``most`` times. Null texts have no words, null sources are one source, repeated rows lie
+    on the line one after the other; an empty table gives an empty table. The same rows give the same mix, whatever their order
+    and partitions.
     """
     sized = stored(sizes(docs.select("doc_id", "source", "text")).select(
         "doc_id", "source", "size", F.xxhash64("text").alias("text_hash")), "sizes")
     goals = stored(targets(sized, weights, most), "targets")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, -(-total // slots_wanted))
-    count = max(1, -(-total // block))
+    block = block or max(1, min(BLOCK, total // LEAST_SLOTS))
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    goals = goals.withColumn("place", F.row_number().over(order) - 1).withColumn("words", F.floor("target").cast("long"))
+    goals = goals.withColumn("place", F.row_number().over(order) - 1)
     goals = goals.withColumn("high", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / max(total, 1))
-    goals = goals.withColumn("low", F.lag("high", 1, 0.0).over(order)).withColumn("quota", F.ceil(F.col("words") / block).cast("long"))
-    goals = stored(goals, "goals")
-    plan = slots(goals.where("quota > 0"), block, count)
+    goals = stored(goals.withColumn("low", F.lag("high", 1, 0.0).over(order)), "shares")
+    plan = slots(goals, -(-total // block))
+    given = plan.groupBy("place").agg((F.count("*") * block).alias("given"))
+    goals = goals.join(F.broadcast(given), "place", "left")  # a row per source
+    goals = stored(goals.withColumn("words", F.least(F.coalesce("given", F.lit(0)), most * F.col("source_size"))), "goals")
     ranges = max(1, sized.count() // RANGE_ROWS)
     named = small_side(goals.select(F.col("source").alias("_source"), "place", "source_size", "target", "words"))
     lined = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -124,36 +118,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per row of ``docs``."""
+    """(doc_id, size, source_size, target, taken, slot), one row per row of ``docs``; ``slot`` is the first one that takes it."""
     found = mix(docs, weights, most, seed)
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", "slot"]
     own = found.where("slot is not null").groupBy("doc_id", "text_hash", "source", "start").agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.sum("taken").alias("taken"))
+        F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
     return own.select(columns).unionByName(found.where("slot is null").select(columns))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11) -> DataFrame:
-    """The mix as documents: a row of ``docs`` for each turn in which slots take it.
+    """The mix as documents: a row of ``docs`` for each turn in which slots take it, in the order of the first such slot.
 
-    A text that the target's end cuts holds its first words, joined by spaces, and ``n_chars`` is set anew if there is one.
+    A text that the last slot cuts holds its first words, joined by spaces, and ``n_chars`` is set anew if there is one. Rows are
+    carried whole, so columns of any name keep their values.
     """
     found = mix(docs, weights, most, seed).where("slot is not null").groupBy("doc_id", "text_hash", "source", "start", "turn").agg(
-        F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
+        F.sum("taken").alias("taken"), F.first("size").alias("size"), F.min("slot").alias("slot"))
     # equal rows: each has its own place on the line, and any of them may stand for any other
     same = Window.partitionBy("doc_id", "text_hash", "source").orderBy("start")
-    found = found.withColumn("_copy", F.dense_rank().over(same)).drop("start", "turn").withColumnsRenamed(
-        {"doc_id": "_id", "source": "_source", "text_hash": "_hash"})
+    found = found.withColumn("copy", F.dense_rank().over(same)).drop("start", "turn").withColumnsRenamed(
+        {"doc_id": "id", "source": "from", "text_hash": "hash"})
     found = stored(found, "taken")
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    if not found.where("_copy > 1").isEmpty():  # only then are equal rows to be told apart, which deals out all texts once more
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text", "source").orderBy(F.lit(0))))
-        met = met & (F.col("_n") == F.col("_copy"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("row_hash", F.xxhash64("row.text"))
+    met = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")) & F.col("row.source").eqNullSafe(F.col("from"))
+    if not found.where("copy > 1").isEmpty():  # only then are equal rows to be told apart, which deals out all texts once more
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("row.doc_id", "row_hash", "row.source").orderBy(F.lit(0))))
+        met = met & (F.col("n") == F.col("copy"))
     rows = rows.join(found, met)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("_taken").cast("int")), " ")
-    out = rows.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(cut))
+    whole = F.col("taken") == F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("taken").cast("int")), " ")
+    text = F.when(whole, F.col("row.text")).otherwise(cut)
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_taken") == F.col("_size"), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        values["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    ordered = rows.repartitionByRange(tasks(docs.sparkSession), "slot").sortWithinPartitions("slot")
+    return ordered.select([v.alias(c) for c, v in values.items()])

@@ -145,18 +145,21 @@ def _write(folder: str, path: str, dtype: str):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, parts: int | None = None) -> tuple[str, str, DataFrame]:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, parts: int | None = None, order: list[str] | None = None
+          ) -> tuple[str, str, DataFrame]:
     """Write ``docs`` (doc_id, text) as token files; returns the folder, the files' number type and their manifest.
 
     The manifest has a row per file: part, n_docs, n_tokens and ``base``, the ids of all files before. Null ids come first, rows
     with equal ids follow their text's hash; null and empty texts hold the end id alone; an empty table writes no file. Ids take
-    16 bits where the vocabulary fits, else 32.
+    16 bits where the vocabulary fits, else 32. ``order`` names other columns whose order the files follow.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     dtype = _width(tokenizer)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(parts or tasks(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    keys = [F.col(c).alias(f"key{k}") for k, c in enumerate(order)] if order else [F.col("doc_id").cast("long").alias("key0")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys)
+    names = [f"key{k}" for k in range(len(keys))]
+    rows = rows.repartitionByRange(parts or tasks(spark), *names).sortWithinPartitions(*names, F.xxhash64("text"), "text").drop(*names)
     done = stored(rows.mapInArrow(_write(folder, tokenizer, dtype), "part int, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return folder, dtype, done.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))

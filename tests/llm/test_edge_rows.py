@@ -113,9 +113,9 @@ def test_encoder_agrees_with_the_whole_tokenizer():
     assert [ids[a : b - 1].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("wanted", [1 << 18, 7])
+@pytest.mark.parametrize("wanted", [1, 7])
 def test_mix(awkward, nothing, wanted):
-    pieces = schedule.mix(awkward, slots_wanted=wanted).collect()
+    pieces = schedule.mix(awkward, block=wanted).collect()
     by = Counter()
     for r in pieces:
         by[r.source] += r.taken
@@ -134,7 +134,7 @@ def test_mix(awkward, nothing, wanted):
         stopped |= more
     for s in names:
         want = 3 * target[s][0] if s in stopped else level * weight[s]
-        assert abs(target[s][1] - want) < 1e-6 and by[s] == int(target[s][1] + 1e-9)
+        assert abs(target[s][1] - want) < 1e-6 and abs(by[s] - target[s][1]) <= 5 * (wanted or 1) and by[s] <= 3 * target[s][0]
     assert all(r.taken <= 3 * r.size for r in rows)
     assert schedule.taken(nothing).count() == 0
 

@@ -12,7 +12,7 @@ from compare import connect, differences
 from llm_rows import prose
 
 import corpus_pipeline
-from riskframe.llm import hamming_join, longest_factor, quality_rules, tiling, weak_toxicity
+from riskframe.llm import hamming_join, longest_factor, quality_rules, schedule, tiling, weak_toxicity
 from riskframe.llm.oracles import ORACLES
 from riskframe.llm.queries import QUERIES, tokenizer_file
 
@@ -211,22 +211,35 @@ def test_mix_of_the_tables(spark, sf_dir):
         took[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
         assert r.taken <= 3 * r.size
-    assert all(abs(took[s] - target[s]) <= 1 for s in target)
+    assert all(abs(took[s] - target[s]) <= 5 for s in target)  # blocks of one word here
     assert abs(sum(target.values()) - sum(r.size for r in rows)) < 1e-6
 
 
 def test_schedule_spreads_every_source(spark):
     """Any run of slots holds each source near its share."""
-    from riskframe.llm import schedule
-
-    goals = spark.createDataFrame([(0, 0.0, 0.2, 200), (1, 0.2, 0.5, 300), (2, 0.5, 1.0, 500)], "place int, low double, high double, quota long")
-    plan = sorted((r.slot, r.place, r["rank"]) for r in schedule.slots(goals, 1, 1000).collect())
-    assert Counter(p for _, p, _ in plan) == {0: 200, 1: 300, 2: 500}
+    goals = spark.createDataFrame([(0, 0.0, 0.2), (1, 0.2, 0.5), (2, 0.5, 1.0), (3, 1.0, 1.0)], "place int, low double, high double")
+    plan = sorted((r.slot, r.place, r["rank"]) for r in schedule.slots(goals, 1000).collect())
+    assert [s for s, _, _ in plan] == list(range(1000))
     for place, share in ((0, 0.2), (1, 0.3), (2, 0.5)):
         ranks = [k for _, p, k in plan if p == place]
-        assert ranks == list(range(len(ranks)))
-        own = np.cumsum([p == place for _, p, _ in plan[:990]])
-        assert np.abs(own - share * np.arange(1, 991)).max() < 6
+        assert ranks == list(range(len(ranks))) and abs(len(ranks) - 1000 * share) < 4
+        own = np.cumsum([p == place for _, p, _ in plan])
+        assert np.abs(own - share * np.arange(1, 1001)).max() < 4
+
+
+def test_the_sequence_makes_the_mix(spark, sf_dir, monkeypatch):
+    """Another sequence gives other words: all points at 0 give every slot to the first source; slots order the mixed rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = schedule.taken(docs).collect()
+    found = sorted((r.slot, r.doc_id) for r in schedule.mix(docs).groupBy("doc_id", "turn").agg({"slot": "min"}).toDF("doc_id", "turn", "slot")
+                   .where("slot is not null").collect())
+    assert [r.doc_id for r in schedule.mixed(docs).collect()] == [i for _, i in found]
+    monkeypatch.setattr(schedule, "GOLDEN", 0.0)
+    other = schedule.taken(docs).collect()
+    first = min(r.source for r in docs.select("source").collect() if r.source is not None)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    assert sum(r.taken for r in other if source[r.doc_id] != first) == 0 < sum(r.taken for r in rows if source[r.doc_id] != first)
+    assert all(r.taken <= 3 * r.size for r in other)
 
 
 def test_held_out_quality(spark):
@@ -372,3 +385,25 @@ def test_pipeline_of_awkward_rows(spark, awkward, nothing, sf_dir):
             docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
         assert docs.count() >= 0
+
+
+def test_token_files_follow_the_schedule(spark, sf_dir, tmp_path):
+    mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    mixed.write.parquet(str(tmp_path / "mix"))
+    order = [r.doc_id for r in mixed.select("doc_id").collect()]
+    out = corpus_pipeline.token_output(spark, spark.read.parquet(str(tmp_path / "mix")), sf_dir).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == order
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    """Names that the stages use themselves keep their values; equal rows of one id are one document."""
+    names = ["_text", "_n", "_id", "_source", "_hash", "_copy", "_taken", "_size", "row", "hash", "id", "slot", "taken", "row_hash", "from", "file_name"]
+    docs = spark.createDataFrame([(i, prose(i, 60), "en", "ab"[i % 2], 5, *[f"{c}{i}" for c in names]) for i in range(12)],
+                                 f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{c}` string' for c in names)}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names), name
+    twice = docs.unionByName(docs)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, twice, sf_dir).collect()) == list(range(12))
+    assert corpus_pipeline.token_output(spark, docs, sf_dir).count() == 12
