@@ -29,8 +29,8 @@ SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs that meet under a key and differ in more symbols are not confirmed. A pair of similarity 0.75 differs in 10 of 40
-#: symbols on average; it differs in more than 24 with probability 5.9e-7, and such a pair is lost if nothing else links it.
-FARTHEST = 24
+#: symbols on average; it differs in more than 32 with probability 3.6e-14, against 1.5e-6 for sharing no key at all.
+FARTHEST = 32
 #: Rows of a key that one task compares with each other; larger keys are cut into blocks that meet pair by pair.
 BLOCK = 2_000
 _factors = np.random.default_rng(7).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
