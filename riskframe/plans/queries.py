@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from ..operators import (
     features,
     impute,
     knn_impute,
+    lsh,
     metrics,
     models,
+    neighbors,
     outliers,
     profile,
     rank,
@@ -222,6 +226,44 @@ def impute_knn(spark, d):
     return r6(knn_impute.knn(v, "dbp", ["dbp", "hr", "sbp", "spo2", "gcs", "age"], "visit_id"), "dbp")
 
 
+_KNN = ["dbp", "hr", "sbp", "spo2", "gcs", "age"]
+
+
+@query
+def impute_knn_lsh(spark, d):
+    """The approximate search; ``impute_knn_lsh_checked`` measures it against the exact one."""
+    return r6(knn_impute.knn(visits(spark, d, ["visit_id", *_KNN]), "dbp", _KNN, "visit_id", method="lsh"), "dbp")
+
+
+@query
+def impute_knn_lsh_checked(spark, d):
+    """Visits without a value, those with five neighbours, and whether 95 % of these neighbours are as near as the true ones."""
+    rows = durable(visits(spark, d, ["visit_id", *_KNN]).select(F.col("visit_id").alias("id"), *_KNN))
+    queries, donors, dims = rows.where("dbp is null"), rows.where("dbp is not null"), _KNN[1:]
+    true = neighbors.nearest(queries, donors, dims, 5).select("id", F.element_at("near", -1)["d2"].alias("limit"), F.size("near").alias("true"))
+    both = true.join(lsh.nearest_lsh(queries, donors, dims, 5).select("id", "near"), "id", "left")
+    hits = F.coalesce(F.size(F.filter("near", lambda p: p["d2"] <= F.col("limit") + 1e-9)), F.lit(0))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("near") == 5).alias("answered"),
+                    (F.sum(hits) >= 0.95 * F.sum("true")).alias("recalled"))
+
+
+@query
+def label_encode_customers(spark, d):
+    """Codes of a column with a value for every few rows: customers of orders."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return encode.with_codes(orders, "o_custkey", encode.code_table(orders, "o_custkey"))
+
+
+@query
+def one_hot_customers(spark, d):
+    """The sum of the sparse one-hot vectors: a count per place of the vector."""
+    orders = table(spark, d, "orders").select("o_custkey")
+    codes = encode.code_table(orders, "o_custkey")
+    hot = encode.one_hot_sparse(orders, "o_custkey", codes)
+    total = hot.select(Summarizer.sum(F.col("vector")).alias("s"))
+    return total.select(F.posexplode(vector_to_array("s")).alias("code", "value")).select(F.col("code").cast("bigint").alias("code"), F.col("value").cast("bigint").alias("n"))
+
+
 @query
 def impute_chained_linear(spark, d):
     v = visits(spark, d, ["visit_id", "hr", "spo2", "temp"])
