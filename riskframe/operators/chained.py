@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, spread
+from ..session import exists, remove, spread, work_folder
 from . import encode, impute, quantiles
 
 MIN_KNOWN = 10
@@ -20,12 +21,12 @@ MIN_FEATURES = 3
 
 
 def _order(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], dict[str, float], dict[str, int]]:
-    """Columns with gaps by ascending number of gaps, column means, gap counts: one scan."""
+    """Columns with gaps by ascending number of gaps, column means (0 without a value), counts of known values: one scan."""
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"{c}_n") for c in columns],
                  *[F.avg(c).alias(f"{c}_m") for c in columns]).first()
-    gaps = {c: row["_n"] - row[f"{c}_n"] for c in columns}
+    known = {c: row[f"{c}_n"] for c in columns}
     means = {c: row[f"{c}_m"] if row[f"{c}_m"] is not None else 0.0 for c in columns}
-    return sorted((c for c in columns if gaps[c]), key=lambda c: (gaps[c], list(columns).index(c))), means, gaps
+    return sorted((c for c in columns if known[c] < row["_n"]), key=lambda c: (-known[c], list(columns).index(c))), means, known
 
 
 def _start(df: DataFrame, columns: Sequence[str], means: Mapping[str, float]) -> DataFrame:
@@ -139,29 +140,70 @@ def _pattern_products(df: DataFrame, columns: Sequence[str], means: Mapping[str,
     return out
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``; one that an earlier run finished is used again."""
+    spark = df.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def chained_forest(df: DataFrame, columns: Sequence[str], rounds: int = 10, trees: int = 10, depth: int = 5,
-                   seed: int = 42) -> DataFrame:
-    """The same chain with a forest per column and round."""
-    columns = list(columns)
-    order, means, _ = _order(df, columns)
-    state = durable(_start(spread(df), columns, means))
-    for _ in range(rounds):
-        for c in order:
-            others = [o for o in columns if o != c]
-            packed = VectorAssembler(inputCols=others, outputCol="_x").transform(state)
-            forest = RandomForestRegressor(featuresCol="_x", labelCol=c, predictionCol="_p", numTrees=trees,
-                                           maxDepth=depth, seed=seed)
-            model = forest.fit(packed.where(~F.col(f"_gap_{c}")))
-            state = durable(model.transform(packed).withColumn(
-                c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p"))
-    return state.drop(*[f"_gap_{c}" for c in columns])
+                   seed: int = 42, key: str | None = None, root: str | None = None) -> DataFrame:
+    """The same chain with a forest per column and round; the columns come out as doubles.
+
+    Only rows with gaps ever change, and inside a round each column is a projection on the round's first rows. So a round writes
+    one file: the rows with gaps, with their key and the chained columns alone. The file of the round before is then deleted, and
+    the disk holds the narrow table and at most two such files, for any number of rounds or other columns.
+
+    ``key`` names a column with a value of its own in every row. Without one, the table is written once with row numbers. A run that
+    was stopped goes on after its last whole round if it gets the same ``root`` (files of other columns, counts or settings have
+    another name there). A column without any value is 0, a single column is filled with its mean.
+    """
+    columns, spark = list(columns), df.sparkSession
+    order, means, known = _order(df, columns)
+    plain = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
+    learned = [c for c in order if known[c]]
+    if not learned or rounds < 1 or len(columns) < 2:
+        return plain
+    job = repr((columns, sorted(known.items()), df.count(), trees, depth, seed, key))
+    home = f"{root.rstrip('/')}/chain-{hashlib.sha256(job.encode()).hexdigest()[:16]}" if root else work_folder(spark, "chain")
+    if key is None:
+        key = "_row"
+        while key in df.columns:
+            key += "_"
+        df = _written(df.withColumn(key, F.monotonically_increasing_id()), f"{home}/rows")
+    narrow = _written(spread(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])), f"{home}/narrow")
+    if narrow.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"{key} does not tell rows apart")
+    gap = F.greatest(*[F.col(c).isNull() for c in columns])
+    whole = narrow.where(~gap).select(*columns)
+    last = 0
+    for done in range(1, rounds + 1):
+        if exists(spark, f"{home}/round_{done}/_SUCCESS"):
+            last = done
+    for turn in range(last + 1, rounds + 1):
+        state = spark.read.parquet(f"{home}/round_{turn - 1}") if turn > 1 else _start(narrow.where(gap), columns, means)
+        for c in learned:
+            pack = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="_x")
+            forest = RandomForestRegressor(featuresCol="_x", labelCol=c, predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed)
+            present = state.where(~F.col(f"_gap_{c}")).select(*columns)
+            model = forest.fit(pack.transform(whole.unionByName(present)).select("_x", c))
+            state = model.transform(pack.transform(state)).withColumn(
+                c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p")
+        state.write.mode("overwrite").parquet(f"{home}/round_{turn}")
+        if turn > 1:
+            remove(spark, f"{home}/round_{turn - 1}")
+    filled = spark.read.parquet(f"{home}/round_{rounds}").select(key, *[F.col(c).alias(f"_filled_{c}") for c in columns])
+    values = {c: F.coalesce(F.col(f"_filled_{c}"), F.col(c).cast("double")) for c in columns}
+    return df.join(filled, key, "left").withColumns(values).select(*plain.columns)
 
 
 def chained(df: DataFrame, columns: Sequence[str], rounds: int = 10, estimator: str = "linear", trees: int = 10,
-            seed: int = 42) -> DataFrame:
+            seed: int = 42, depth: int = 5, key: str | None = None, root: str | None = None) -> DataFrame:
     if estimator == "linear":
         return ChainedLinear.fit(df, columns, rounds).apply(df)
-    return chained_forest(df, columns, rounds, trees, seed=seed)
+    return chained_forest(df, columns, rounds, trees, depth, seed, key, root)
 
 
 def forest_category(df: DataFrame, column: str, target: str | None = None, keys: Sequence[str] = (),

@@ -49,6 +49,23 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    system, target = _located(spark, path)
+    return system.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the caller wrote itself."""
+    system, target = _located(spark, path)
+    system.delete(target, True)
+
+
 def slices(spark: SparkSession) -> int:
     """How many parts compute-heavy stages are cut into: the cluster's shuffle setting, at least its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import exists
+
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 
 
@@ -17,7 +19,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     suffix = path[path.rfind("."):].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if suffix not in FORMATS:
         raise ValueError(f"unsupported file type {suffix or '(none)'}: expected one of {sorted(FORMATS)}")
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     reader = spark.read
     if schema is not None:
@@ -29,12 +31,6 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.format(FORMATS[suffix]).load(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def write_stage(df: DataFrame, root: str, stage: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> str:
     """Hand a table to the next stage; parquet unless CSV is asked for."""
