@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import ratio
 from . import quantiles
@@ -22,23 +23,83 @@ def dataset_info(df: DataFrame) -> DataFrame:
             .select("n_rows", "n_columns", "f.*"))
 
 
+def cells(df: DataFrame) -> DataFrame:
+    """What a profile needs of a table, to be stored and added to: ``(column, word, value, bits, n)``.
+
+    Whole numbers, booleans, dates and timestamps are bits of 64-bit words (``word`` is the number divided by 64), anything else is
+    its text (``value``); ``n`` counts rows, and a null has neither word nor value. Rows are combined in each task before the shuffle,
+    so dense columns shrink to a 64th of their values and short lists to themselves. NaN is a value, as is each distinct time;
+    0.0 and -0.0 are one.
+    """
+    kinds = {"byte", "short", "integer", "long", "boolean", "date", "timestamp", "timestamp_ntz"}
+    facts = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        number = text = None
+        if kind == "date":
+            number = F.unix_date(c)
+        elif kind.startswith("timestamp"):
+            number = F.unix_micros(c.cast("timestamp"))
+        elif kind in kinds:
+            number = c
+        elif kind in ("double", "float"):
+            text = (c + F.lit(0.0)).cast("string")
+        elif kind == "binary":
+            text = F.hex(c)
+        elif kind in ("array", "map", "struct", "variant"):
+            text = F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+        else:
+            text = c.cast("string")
+        number = F.lit(None).cast("long") if number is None else number.cast("long")
+        facts.append(F.struct(F.lit(f.name).alias("column"), number.alias("number"),
+                              (F.lit(None).cast("string") if text is None else text).alias("value")))
+    bit = F.expr("shiftleft(1L, cast(number & 63 AS int))")
+    return (df.select(F.explode(F.array(*facts)).alias("f")).select("f.*")
+            .groupBy("column", F.shiftright("number", 6).alias("word"), "value")
+            .agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n")))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The ``cells`` of tables with the same columns as those of all their rows."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("column", "word", "value").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+
+
+def _profile(counts: DataFrame) -> DataFrame:
+    """Shares and marks from (column, dtype, n, present, distinct_values)."""
+    pct = ratio((F.col("n") - F.col("present")) * F.lit(100.0), F.col("n"))
+    return counts.select("column", "dtype", (F.col("n") - F.col("present")).alias("missing_count"), pct.alias("missing_pct"),
+                         "distinct_values", F.coalesce(pct > CRITICAL_PCT, F.lit(False)).alias("critical")
+                         ).orderBy(F.desc("missing_pct"), "column")
+
+
+def missing_from(found: DataFrame, schema: StructType) -> DataFrame:
+    """The profile of ``missing`` from the stored ``cells`` of a table with this schema."""
+    there = F.col("value").isNotNull() | F.col("word").isNotNull()
+    counts = found.groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("present"),
+        F.sum(F.when(F.col("value").isNotNull(), 1).otherwise(F.coalesce(F.bit_count("bits"), F.lit(0)))).alias("distinct_values"))
+    zero = F.lit(0).cast("long")
+    columns = found.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.fields], "column string, dtype string")
+    return _profile(columns.join(F.broadcast(counts), "column", "left").select(  # a row per column
+        "column", "dtype", *[F.coalesce(F.col(c), zero).alias(c) for c in ("n", "present", "distinct_values")]))
+
+
 def missing(df: DataFrame, approx: bool = False) -> DataFrame:
     """Missing count and share, distinct values and a critical mark per column, worst first.
 
-    One scan. Distinct counts are exact; ``approx`` swaps them for sketches on wide tables.
+    One scan. Distinct counts are exact (see ``cells``); ``approx`` swaps them for sketches on wide tables.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    if not approx:
+        return missing_from(cells(df), df.schema)
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"{c}_n") for c in df.columns],
-                  *[distinct(F.col(c)).alias(f"{c}_u") for c in df.columns])
+                  *[F.approx_count_distinct(F.col(c)).alias(f"{c}_u") for c in df.columns])
     rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
                      F.col(f"{f.name}_n").alias("present"), F.col(f"{f.name}_u").alias("distinct_values"))
             for f in df.schema.fields]
-    pct = ratio((F.col("_n") - F.col("r.present")) * F.lit(100.0), F.col("_n"))
-    return (wide.select("_n", F.explode(F.array(*rows)).alias("r"))
-            .select("r.column", "r.dtype", (F.col("_n") - F.col("r.present")).alias("missing_count"),
-                    pct.alias("missing_pct"), "r.distinct_values",
-                    F.coalesce(pct > CRITICAL_PCT, F.lit(False)).alias("critical"))
-            .orderBy(F.desc("missing_pct"), "column"))
+    return _profile(wide.select(F.col("_n").alias("n"), F.explode(F.array(*rows)).alias("r")).select("n", "r.*"))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, int]]:

@@ -148,8 +148,9 @@ _TYPE = dict(_TYPES)
 _MISSING = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", '{_TYPE[c]}' AS dtype, count(*) - count({c}) AS missing_count, count(*) AS n,
     count(DISTINCT {c}) AS distinct_values FROM visits""" for c in PROFILED)
-sql("missing_profile", f"""SELECT "column", dtype, missing_count, {r("100e0 * missing_count / n", "missing_pct")},
-    distinct_values, missing_count * 100e0 / n > 50 AS critical FROM m""", f"m AS ({_MISSING})")
+for _name in ("missing_profile", "missing_profile_added"):
+    sql(_name, f"""SELECT "column", dtype, missing_count, {r("100e0 * missing_count / n", "missing_pct")},
+        distinct_values, missing_count * 100e0 / n > 50 AS critical FROM m""", f"m AS ({_MISSING})")
 sql("missing_totals", f"""SELECT CAST(sum(n) AS BIGINT) AS total_cells, CAST(sum(missing_count) AS BIGINT) AS missing_cells,
     {r("100e0 * sum(missing_count) / sum(n)", "missing_pct")},
     CAST(count(*) FILTER (missing_count > 0) AS INTEGER) AS columns_with_missing,

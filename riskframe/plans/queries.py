@@ -180,6 +180,16 @@ def missing_profile(spark, d):
     return r6(profile.missing(visits(spark, d, PROFILED)), "missing_pct")
 
 
+@query
+def missing_profile_added(spark, d):
+    """The profile of all visits from the stored cells of two parts."""
+    v, root = visits(spark, d, ["visit_id", *PROFILED]), work_folder(spark, "out")
+    for i in (0, 1):
+        tables.write_stage(profile.cells(v.where(F.col("visit_id") % 2 == i).select(*PROFILED)), root, f"cells_{i}")
+    stored = profile.merged(*[tables.read_stage(spark, root, f"cells_{i}") for i in (0, 1)])
+    return r6(profile.missing_from(stored, v.select(*PROFILED).schema), "missing_pct")
+
+
 @query
 def missing_totals(spark, d):
     return r6(profile.missing_totals(visits(spark, d, PROFILED)), "missing_pct")
