@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import exists, remove, spread, work_folder
@@ -207,35 +207,37 @@ def chained(df: DataFrame, columns: Sequence[str], rounds: int = 10, estimator:
 
 
 def forest_category(df: DataFrame, column: str, target: str | None = None, keys: Sequence[str] = (),
-                    trees: int = 50, depth: int = 5, seed: int = 42) -> tuple[DataFrame, str]:
+                    trees: int = 50, depth: int = 5, seed: int = 42, learn: Column | None = None) -> tuple[DataFrame, str]:
     """Gaps of a text column predicted by a forest from well-filled columns; the mode when that cannot work.
 
-    Returns the table and the method used. The target never serves as predictor.
+    Returns the table and the method used. The target never serves as predictor. ``learn`` marks the rows that everything is fitted
+    on, as the training rows; all rows are by default.
     """
     from .schema import roles
 
     found = roles(df, target, keys)
-    n, gaps = impute.missing_counts(df)
+    base = df if learn is None else df.where(learn)
+    n, gaps = impute.missing_counts(base)
     numeric = [c for c in found.numeric if n - gaps[c] > 0.8 * n]
     text = [c for c in found.text if c != column and gaps[c] / n < 0.1] if n else []
-    values = {c: encode.levels(df, c) for c in text}
+    values = {c: encode.levels(base, c) for c in text}
     dummies = [f"{c}_{v}" for c in text for v in values[c]]
     if n - gaps[column] <= MIN_KNOWN or len(numeric) + len(dummies) < MIN_FEATURES:
-        return impute.fit_mode(df, [column]).apply(df), "mode"
-    fills = {c: 0.0 if m is None else m for c, m in quantiles.medians(df, [c for c in numeric if gaps[c]]).items()}
-    classes = encode.LabelCodec.fit(df, column)
+        return impute.fit_mode(base, [column]).apply(df), "mode"
+    fills = {c: 0.0 if m is None else m for c, m in quantiles.medians(base, numeric).items()}
+    classes = encode.LabelCodec.fit(base, column)
 
     def packed(rows: DataFrame) -> DataFrame:
         ready = encode.one_hot(rows, text, values) if text else rows
         names = []
         for i, c in enumerate(numeric):
-            ready = ready.withColumn(f"_n{i}", F.coalesce(F.col(c), F.lit(fills[c])) if c in fills else F.col(c))
+            ready = ready.withColumn(f"_n{i}", F.coalesce(F.col(c), F.lit(fills[c])))
             names.append(f"_n{i}")
         return VectorAssembler(inputCols=[*names, *dummies], outputCol="_x").transform(ready).drop(*names, *dummies)
 
-    known, unknown = spread(df.where(F.col(column).isNotNull())), df.where(F.col(column).isNull())
+    known, unknown = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees,
                                     maxDepth=depth, seed=seed)
-    model = forest.fit(packed(known).withColumn("_y", classes.encode(column).cast("double")))
+    model = forest.fit(packed(spread(base.where(F.col(column).isNotNull()))).withColumn("_y", classes.encode(column).cast("double")))
     filled = model.transform(packed(unknown)).withColumn(column, classes.decode("_p")).select(*df.columns)
     return known.unionByName(filled), "forest"
