@@ -10,7 +10,7 @@ the smaller id. The work is a partitioned join in two rounds:
    only boxes whose bounding rectangle comes within that bound are searched in the second round.
 
 No donor is skipped unless its box provably holds nothing nearer, so results are exact. Only box
-rectangles reach the driver (a number limited by ``MAX_BOXES``); the distance kernel runs inside tasks
+rectangles reach the driver (at most about ``MAX_BOXES``, and one for each group and pattern); the distance kernel runs inside tasks
 on one box and one slice of its queries.
 """
 
@@ -18,19 +18,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, slices, spread
+from ..sources import tables
 
 BOX_ROWS = 4_096  # donors aimed at per box
 MAX_BOXES = 1 << 16  # boxes grow beyond BOX_ROWS rather than exceed it
 BLOCK_BOXES = 64  # boxes that a query passes by with one comparison
 SAMPLE_PER_BOX = 24
 SLICE_QUERIES = 20_000  # query visits per task and box, at least
+PART_DONORS = 65_536  # donors of a box that one task holds; a larger box is searched in parts
 PART_ROWS = 512  # donors per part inside a box
 KERNEL_CELLS = 1 << 18  # distances held at once (2 MB: stays in cache)
 
@@ -91,9 +94,8 @@ def _leaf(nodes: list[tuple[int, float]], x: np.ndarray) -> np.ndarray:
     return at
 
 
-def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str], box_rows: int
-           ) -> tuple[DataFrame, pd.DataFrame]:
-    """Donors with a ``box`` number, and the rectangle of every box (driver side)."""
+def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str], box_rows: int) -> DataFrame:
+    """Donors with a ``box`` number."""
     keys = donors.groupBy(by, "pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # groups x patterns
     total = sum(k["n"] for k in keys)
     box_rows = max(box_rows, math.ceil(total / MAX_BOXES))  # larger boxes, not more of them; a box is cut again when it is searched
@@ -116,7 +118,7 @@ def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str]
     for key, nodes in trees.items():
         base[key] = first
         first += 2 * len(nodes) + 1
-    shared = donors.sparkSession.sparkContext.broadcast((trees, base))  # bounded by MAX_BOXES splits
+    shared = donors.sparkSession.sparkContext.broadcast((trees, base))  # a split per box
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, base = shared.value
@@ -128,12 +130,15 @@ def _boxes(donors: DataFrame, dims: Sequence[str], by: str, carry: Sequence[str]
             yield f.assign(box=box)
 
     numbers = ", ".join(f"{c} double" for c in [*columns, *map(_carried, carry)])
-    placed = durable(donors.select("id", by, "pattern", *columns, *map(_carried, carry)).mapInPandas(
-        place, f"id bigint, {by} string, pattern bigint, {numbers}, box bigint"))
-    rects = placed.groupBy("box", by, "pattern").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"{c}_lo") for c in columns],
-        *[F.max(c).alias(f"{c}_hi") for c in columns]).toPandas()
-    return placed, rects.sort_values("box").reset_index(drop=True)
+    return donors.select("id", by, "pattern", *columns, *map(_carried, carry)).mapInPandas(
+        place, f"id bigint, {by} string, pattern bigint, {numbers}, box bigint")
+
+
+def _rectangles(placed: DataFrame, dims: Sequence[str], by: str) -> pd.DataFrame:
+    """The rectangle of every box, on the driver."""
+    return placed.groupBy("box", by, "pattern").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"{c}_lo") for c in dims],
+        *[F.max(c).alias(f"{c}_hi") for c in dims]).toPandas().sort_values("box").reset_index(drop=True)
 
 
 # ---- kernel ---------------------------------------------------------------------------------------------
@@ -226,16 +231,19 @@ def _search(x: np.ndarray, masks: np.ndarray, y: np.ndarray, donor_mask: int, di
 
 
 def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Sequence[str], k: int) -> DataFrame:
-    """Search ``queries(id, dims, pattern, box, slices)`` against the donors of their box, slice by slice."""
+    """Search ``queries(id, dims, pattern, box)`` against the donors of their box: a slice of the queries and a part of the donors a task."""
     columns = list(dims)
     # a slice holds about as many visits as its box has donors, so donors repeat no more than visits do
     sizes = donors.groupBy("box").agg(F.count(F.lit(1)).alias("_donors"))
     plan = durable(queries.groupBy("box").agg(F.count(F.lit(1)).alias("_visits")).join(sizes, "box").select(
-        "box", F.ceil(F.col("_visits") / F.greatest(F.col("_donors"), F.lit(SLICE_QUERIES))).cast("int").alias("_slices")))
-    tasks = plan.agg(F.sum("_slices")).first()[0] or 0
-    left = queries.join(F.broadcast(plan), "box").withColumn(  # at most MAX_BOXES rows
-        "slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
-    right = donors.join(F.broadcast(plan), "box").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+        "box", F.ceil(F.col("_donors") / PART_DONORS).cast("int").alias("_parts"),
+        F.ceil(F.col("_visits") / F.greatest(F.least("_donors", F.lit(PART_DONORS)), F.lit(SLICE_QUERIES))).cast("int").alias("_slices")))
+    shape = plan.agg(F.sum(F.col("_slices") * F.col("_parts")), F.max("_parts")).first()
+    tasks, split = shape[0] or 0, (shape[1] or 1) > 1
+    left = queries.join(F.broadcast(plan), "box").withColumns({  # a row per box
+        "slice": F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))})
+    right = donors.join(F.broadcast(plan), "box").withColumns({
+        "slice": F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)), "part": F.pmod(F.xxhash64("id", F.lit(1)), F.col("_parts")).cast("int")})
     extra = [_carried(c) for c in carry]
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -249,15 +257,22 @@ def _visit(queries: DataFrame, donors: DataFrame, dims: Sequence[str], carry: Se
     pairs = ", ".join(["id bigint, did bigint, d2 double", *[f"{c} double" for c in extra]])
     base = slices(queries.sparkSession)
     parts = max(base, min(8 * base, tasks))  # several boxes per part even out
-    left, right = (spread(t, "box", "slice", parts=parts) for t in (left, right))
-    return left.groupBy("box", "slice").cogroup(right.groupBy("box", "slice")).applyInPandas(search, pairs)
+    cell = ["box", "slice", "part"]
+    left, right = (spread(t, *cell, parts=parts) for t in (left, right))
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(search, pairs)
+    return _nearest_pairs(found, k) if split else found  # without parts a box returns k pairs a query at most
 
 
-def _best(pairs: DataFrame, carry: Sequence[str], k: int) -> DataFrame:
-    """k best pairs per query as one sorted array; each task keeps its k best before the shuffle."""
+def _nearest_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best pairs per query; each task keeps its k best before the shuffle."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy("d2", "did"))
-    best = pairs.withColumn("_nth", nth).where(F.col("_nth") <= k)
-    return best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d2", "did", *[F.col(_carried(c)).alias(c) for c in carry]))).alias("near"))
+    return pairs.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
+
+
+def _best(pairs: DataFrame, carry: Sequence[str], k: int) -> DataFrame:
+    """k best pairs per query as one sorted array."""
+    return _nearest_pairs(pairs, k).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("d2", "did", *[F.col(_carried(c)).alias(c) for c in carry]))).alias("near"))
 
 
 class _Rectangles:
@@ -314,6 +329,103 @@ class _Rectangles:
 # ---- public ---------------------------------------------------------------------------------------------
 
 
+def _tidy(df: DataFrame, dims: Sequence[str], group: str, carry: Sequence[str] = (), everywhere: bool = False) -> DataFrame:
+    mine = F.lit("") if everywhere or group == "_all" else F.col(group).cast("string")
+    return df.select(F.col("id").cast("bigint").alias("id"), mine.alias(group), *[F.col(c).cast("double").alias(c) for c in dims],
+                     *[F.col(c).cast("double").alias(_carried(c)) for c in carry]).withColumn("pattern", _pattern(dims))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Donors in boxes, built once and searched any number of times, within each query's group or everywhere.
+
+    ``reach`` is the largest number of neighbours that a search may ask for (one more with ``exclude_self``): of equal points in a
+    group no more are kept. ``save`` writes the boxes; ``load`` reads them again and only sums up their rectangles.
+    """
+
+    placed: DataFrame
+    rects: pd.DataFrame
+    dims: tuple[str, ...]
+    carry: tuple[str, ...]
+    group: str
+    reach: int
+
+    @classmethod
+    def fit(cls, donors: DataFrame, dims: Sequence[str], reach: int, by: str | None = None, carry: Sequence[str] = (),
+            box_rows: int = BOX_ROWS) -> Index:
+        """``donors`` hold ``id``, ``dims`` (doubles, NULL allowed), ``carry`` (numbers) and the group ``by`` (never NULL)."""
+        group = by or "_all"
+        nth = F.row_number().over(Window.partitionBy(group, *dims).orderBy("id"))
+        # the rank filter is applied per task before the shuffle too, so copies of a point never travel together
+        pool = _tidy(donors, dims, group, carry).withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth")
+        # filtered once stored: as part of the plan above, a condition over all coordinates makes planning explode
+        pool = durable(spread(pool, "id")).where(F.col("pattern") != 0)
+        placed = durable(_boxes(pool, dims, group, carry, box_rows))
+        return cls(placed, _rectangles(placed, dims, group), tuple(dims), tuple(carry), group, reach)
+
+    def save(self, root: str, name: str) -> None:
+        tables.write_stage(self.placed, root, name)
+        facts = {"dims": self.dims, "carry": self.carry, "group": self.group, "reach": self.reach}
+        tables.save_state(self.placed.sparkSession, facts, root, name)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, name: str) -> Index:
+        facts, placed = tables.load_state(spark, root, name), tables.read_stage(spark, root, name)
+        rects = _rectangles(placed, facts["dims"], facts["group"])
+        return cls(placed, rects, tuple(facts["dims"]), tuple(facts["carry"]), facts["group"], facts["reach"])
+
+    def nearest(self, queries: DataFrame, k: int, exclude_self: bool = False, carry: Sequence[str] | None = None,
+                everywhere: bool = False) -> DataFrame:
+        """``(id, near)`` as of ``nearest``; ``everywhere`` ignores the groups, ``carry`` narrows what is brought along."""
+        dims, group, placed = list(self.dims), self.group, self.placed
+        carry = list(self.carry if carry is None else carry)
+        reach = k + 1 if exclude_self else k
+        if reach > self.reach:
+            raise ValueError(f"the index keeps {self.reach} equal points, {reach} are needed")
+        rects = self.rects.assign(**{group: ""}) if everywhere else self.rects
+        rows = _tidy(queries, dims, group, everywhere=everywhere)
+        point = [group, *dims]
+        points = rows.groupBy(*point, "pattern").agg(F.min("id").alias("id"))  # equal points share one search
+        shared = queries.sparkSession.sparkContext.broadcast(_Rectangles(rects, group, dims))  # a rectangle per box
+
+        layout = f"id bigint, {group} string, {', '.join(f'{c} double' for c in dims)}, pattern bigint, box bigint"
+
+        def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
+                    box = shared.value.home(g, int(mask), f[dims].to_numpy(dtype=float)[at], reach)
+                    if box is not None:
+                        yield f.iloc[at].assign(box=box)[["id", group, *dims, "pattern", "box"]]
+
+        start = durable(spread(points, "id").select("id", group, *dims, "pattern").mapInPandas(home, layout))
+        first = durable(_visit(start, placed, dims, carry, reach))
+        limit = first.groupBy("id").agg(F.max("d2").alias("_worst"), F.count(F.lit(1)).alias("_got"))
+        bounded = start.join(limit, "id", "left").withColumn(
+            "_worst", F.when(F.col("_got") >= reach, F.col("_worst"))).drop("_got")
+
+        def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                f = f.reset_index(drop=True)
+                worst = f["_worst"].fillna(np.inf).to_numpy()
+                done = f["box"].to_numpy()
+                for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
+                    for r, box in shared.value.within(g, int(mask), f[dims].to_numpy(dtype=float)[at], worst[at]):
+                        r, box = at[r][box != done[at[r]]], box[box != done[at[r]]]
+                        yield f.iloc[r].assign(box=box)[["id", group, *dims, "pattern", "box"]]
+
+        more = durable(spread(bounded, "id").select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
+        second = _visit(more, placed, dims, carry, reach)
+        answers = _best(first.unionByName(second), carry, reach)
+        keyed = start.select("id", *point).join(answers, "id")
+        same = F.lit(True)
+        for c in point:
+            same = same & rows[c].eqNullSafe(keyed[c])
+        out = rows.join(keyed.drop("id"), same).select(rows["id"], "near")  # AQE splits hot points
+        if exclude_self:
+            out = out.withColumn("near", F.slice(F.filter("near", lambda p: p["did"] != F.col("id")), 1, k))
+        return out
+
+
 def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int, by: str | None = None,
             exclude_self: bool = False, carry: Sequence[str] = (), box_rows: int = BOX_ROWS) -> DataFrame:
     """``(id, near)`` for every query row: ``near`` is an array of (d2, did, carry...), nearest first.
@@ -322,62 +434,4 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
     the same value of that column; ``exclude_self`` leaves a row out of its own answer; ``carry`` names
     numeric donor columns to bring along, which saves joining them back by donor id.
     """
-    dims, carry, group = list(dims), list(carry), by or "_all"
-    if by is None:
-        queries, donors = queries.withColumn(group, F.lit("")), donors.withColumn(group, F.lit(""))
-    point = [group, *dims]
-    reach = k + 1 if exclude_self else k
-
-    def tidy(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return df.select(F.col("id").cast("bigint").alias("id"), F.col(group).cast("string").alias(group),
-                         *[F.col(c).cast("double").alias(c) for c in dims],
-                         *[F.col(c).cast("double").alias(_carried(c)) for c in extra],
-                         ).withColumn("pattern", _pattern(dims))
-
-    nth = F.row_number().over(Window.partitionBy(*point).orderBy("id"))
-    # the rank filter is applied per task before the shuffle too, so copies of a point never travel together
-    pool = durable(spread(tidy(donors, carry).withColumn("_nth", nth).where(F.col("_nth") <= reach).drop("_nth"), "id"))
-    # filtered once stored: as part of the plan above, a condition over all coordinates makes planning explode
-    pool = pool.where(F.col("pattern") != 0)
-    placed, rects = _boxes(pool, dims, group, carry, box_rows)
-
-    rows = tidy(queries)
-    points = rows.groupBy(*point, "pattern").agg(F.min("id").alias("id"))  # equal points share one search
-    shared = queries.sparkSession.sparkContext.broadcast(_Rectangles(rects, group, dims))  # bounded by MAX_BOXES rectangles
-
-    layout = f"id bigint, {group} string, {', '.join(f'{c} double' for c in dims)}, pattern bigint, box bigint"
-
-    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
-                box = shared.value.home(g, int(mask), f[dims].to_numpy(dtype=float)[at], reach)
-                if box is not None:
-                    yield f.iloc[at].assign(box=box)[["id", group, *dims, "pattern", "box"]]
-
-    start = durable(spread(points, "id").select("id", group, *dims, "pattern").mapInPandas(home, layout))
-    first = durable(_visit(start, placed, dims, carry, reach))
-    limit = first.groupBy("id").agg(F.max("d2").alias("_worst"), F.count(F.lit(1)).alias("_got"))
-    bounded = start.join(limit, "id", "left").withColumn(
-        "_worst", F.when(F.col("_got") >= reach, F.col("_worst"))).drop("_got")
-
-    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.reset_index(drop=True)
-            worst = f["_worst"].fillna(np.inf).to_numpy()
-            done = f["box"].to_numpy()
-            for (g, mask), at in f.groupby([group, "pattern"], sort=False).indices.items():
-                for r, box in shared.value.within(g, int(mask), f[dims].to_numpy(dtype=float)[at], worst[at]):
-                    r, box = at[r][box != done[at[r]]], box[box != done[at[r]]]
-                    yield f.iloc[r].assign(box=box)[["id", group, *dims, "pattern", "box"]]
-
-    more = durable(spread(bounded, "id").select("id", group, *dims, "pattern", "box", "_worst").mapInPandas(others, layout))
-    second = _visit(more, placed, dims, carry, reach)
-    answers = _best(first.unionByName(second), carry, reach)
-    keyed = start.select("id", *point).join(answers, "id")
-    same = F.lit(True)
-    for c in point:
-        same = same & rows[c].eqNullSafe(keyed[c])
-    out = rows.join(keyed.drop("id"), same).select(rows["id"], "near")  # AQE splits hot points
-    if exclude_self:
-        out = out.withColumn("near", F.slice(F.filter("near", lambda p: p["did"] != F.col("id")), 1, k))
-    return out
+    return Index.fit(donors, dims, k + 1 if exclude_self else k, by, carry, box_rows).nearest(queries, k, exclude_self)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, uniform, word
 from ..session import durable
-from .neighbors import nearest
+from .neighbors import Index, nearest
 from .split import Cuts
 
 
@@ -24,8 +24,8 @@ def _quota(seeds: DataFrame, name: str, needed: int, n: int, key: str, y: str, s
 
 
 def _synthesize(seeds: DataFrame, pool: DataFrame, y: str, features: Sequence[str],
-                targets: Mapping[str, tuple[int, int]], key: str, k: int, seed: int) -> DataFrame:
-    """x + u (neighbour - x) with neighbours from the same class in ``pool``."""
+                targets: Mapping[str, tuple[int, int]], key: str, k: int, seed: int, index: Index | None = None) -> DataFrame:
+    """x + u (neighbour - x) with neighbours from the same class in ``pool``, or in an index of it by class."""
     raised = {c: t - n for c, (n, t) in targets.items() if t > n}
     sizes = {r[y]: r["n"] for r in seeds.where(F.col(y).isin(list(raised))).groupBy(y)
              .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -38,9 +38,10 @@ def _synthesize(seeds: DataFrame, pool: DataFrame, y: str, features: Sequence[st
         quotas = quotas.unionByName(p)
     quotas = quotas.where(F.col("_quota") > 0)
     own = [y, *features]
-    near = nearest(quotas.select(F.col(key).alias("id"), *own),
-                   pool.where(F.col(y).isin(list(sizes))).select(F.col(key).alias("id"), *own),
-                   features, k, by=y, exclude_self=True, carry=features)
+    queries = quotas.select(F.col(key).alias("id"), *own)
+    if index is None:
+        index = Index.fit(pool.where(F.col(y).isin(list(sizes))).select(F.col(key).alias("id"), *own), features, k + 1, y, features)
+    near = index.nearest(queries.withColumnRenamed(y, index.group), k, exclude_self=True, carry=features)
     copies = (quotas.join(near.withColumnRenamed("id", key), key)
               .where(F.size("near") > 0)
               .select(y, key, *features, "near", F.explode(F.sequence(F.lit(0), F.col("_quota") - 1)).alias("copy")))
@@ -61,28 +62,40 @@ def regular(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[str
     return _synthesize(rows, rows, y, features, targets, key, k, seed)
 
 
-def danger(df: DataFrame, y: str, classes: Sequence[str], features: Sequence[str], key: str, m: int = 10) -> DataFrame:
-    """Rows of ``classes`` with at least half, but not all, of their m nearest rows in other classes."""
+def _indexed(df: DataFrame, y: str, features: Sequence[str], key: str, reach: int) -> Index:
+    """All rows in boxes by class; a row brings its features and the number of its class."""
+    names = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect())  # class names
     code = F.lit(None).cast("double")
-    names = [r[0] for r in df.select(y).distinct().collect()]  # class names
-    for i, c in enumerate(sorted(names)):
+    for i, c in enumerate(names):
         code = F.when(F.col(y) == c, float(i)).otherwise(code)
-    rows = df.select(F.col(key).alias("id"), *features, code.alias("_code"), y)
-    mine = rows.where(F.col(y).isin(list(classes)))
-    near = nearest(mine, rows, features, m, exclude_self=True, carry=["_code"])
-    marked = near.join(mine.select("id", y, F.col("_code").alias("_own")), "id")
+    rows = df.select(F.col(key).alias("id"), *features, code.alias("_code"), F.coalesce(F.col(y).cast("string"), F.lit("")).alias("_class"))
+    return Index.fit(rows, features, reach, "_class", [*features, "_code"])
+
+
+def danger(df: DataFrame, y: str, classes: Sequence[str], features: Sequence[str], key: str, m: int = 10,
+           index: Index | None = None) -> DataFrame:
+    """Rows of ``classes`` with at least half, but not all, of their m nearest rows in other classes."""
+    index = index or _indexed(df, y, features, key, m + 1)
+    names = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect())  # class names
+    mine = df.where(F.col(y).isin(list(classes))).select(F.col(key).alias("id"), *features, y)
+    near = index.nearest(mine, m, exclude_self=True, carry=["_code"], everywhere=True)
+    own = F.lit(None).cast("double")
+    for c in classes:
+        own = F.when(F.col(y) == c, float(names.index(c)) if c in names else None).otherwise(own)
+    marked = near.join(mine.select("id", y, own.alias("_own")), "id")
     others = F.size(F.filter("near", lambda p: p["_code"] != F.col("_own")))
     return (marked.select(F.col("id").alias(key), y, others.alias("others"), F.size("near").alias("m"))
             .where((F.col("others") * 2 >= F.col("m")) & (F.col("others") < F.col("m"))))
 
 
 def borderline(df: DataFrame, y: str, features: Sequence[str], targets: Mapping[str, tuple[int, int]], key: str,
-               k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
-    """Like ``regular``, but only endangered rows seed new ones."""
+               k: int = 5, m: int = 10, seed: int = 42, index: Index | None = None) -> DataFrame:
+    """Like ``regular``, but only endangered rows seed new ones. Both searches use one index of the rows."""
     classes = [c for c, (n, t) in targets.items() if t > n]
     rows = durable(df.select(key, y, *features))
-    seeds = durable(rows.join(danger(rows, y, classes, features, key, m).select(key), key, "left_semi"))
-    return _synthesize(seeds, rows, y, features, targets, key, k, seed)
+    index = index or _indexed(rows, y, features, key, max(k, m) + 1)
+    seeds = durable(rows.join(danger(rows, y, classes, features, key, m, index).select(key), key, "left_semi"))
+    return _synthesize(seeds, rows, y, features, targets, key, k, seed, index)
 
 
 def tomek_links(df: DataFrame, y: str, features: Sequence[str], key: str) -> DataFrame:

@@ -140,6 +140,31 @@ def test_nearest_splits_busy_boxes(spark, monkeypatch):
     assert got == brute(df.toPandas(), df.toPandas(), ["a"], 3, exclude=True)
 
 
+def test_nearest_searches_large_boxes_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PART_DONORS", 40)
+    df = spark.range(300).select("id", (F.col("id") * 7 % 101).cast("double").alias("a"))
+    got = {r["id"]: [(p["d2"], p["did"]) for p in r["near"]]
+           for r in neighbors.nearest(df, df, ["a"], 3, exclude_self=True, box_rows=200).collect()}
+    assert got == brute(df.toPandas(), df.toPandas(), ["a"], 3, exclude=True)
+
+
+def test_stored_index_within_and_across_groups(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": np.arange(400), "a": rng.integers(0, 9, 400).astype(float), "b": rng.normal(size=400),
+                        "g": rng.choice(["x", "y", "z"], 400, p=[0.8, 0.15, 0.05])})
+    pdf.loc[:150, ["a", "b"]] = [3.0, 0.0]
+    df = spark.createDataFrame(pdf)
+    neighbors.Index.fit(df, ["a", "b"], 7, "g", ["b"], box_rows=16).save(str(tmp_path), "index")
+    index = neighbors.Index.load(spark, str(tmp_path), "index")
+    for k, everywhere in ((6, True), (4, False), (2, True)):
+        rows = index.nearest(df, k, exclude_self=True, everywhere=everywhere).collect()
+        got = {r["id"]: [(p["d2"], p["did"]) for p in r["near"]] for r in rows}
+        assert got == brute(pdf, pdf, ["a", "b"], k, None if everywhere else "g", True)
+        assert all(p["b"] == pdf["b"][p["did"]] for r in rows for p in r["near"])
+    with pytest.raises(ValueError):
+        index.nearest(df, 7, exclude_self=True)
+
+
 @pytest.mark.parametrize("whole_rows", [0, 200_000])
 def test_split_of_numeric_and_missing_classes(spark, monkeypatch, whole_rows):
     """Class names that look like numbers, one class large and one small, and rows without a class."""
