@@ -636,7 +636,6 @@ plain("stratified_split_labels", f"""SELECT doc_id, toxic, split FROM ({three_wa
     '(SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN toxic END AS toxic FROM labels)', 'doc_id', 'toxic')})""")
 plain("stratified_split_lines", f"""SELECT l_orderkey, lines, split FROM ({three_way(
     '(SELECT l_orderkey, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey)', 'l_orderkey', 'lines')})""")
-plain("temporal_split_empty", "SELECT event_id, CAST(NULL AS VARCHAR) AS split FROM events WHERE event_id < 0")
 plain("vif_dependent", f"""WITH p AS (
   SELECT sum(a*a) AS aa, sum(b*b) AS bb, sum(c*c) AS cc, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*c) AS bc FROM (
     SELECT CAST(l_extendedprice AS DOUBLE) AS a, CAST(l_quantity AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c FROM lineitem)),
@@ -647,7 +646,7 @@ SELECT feature, {r('v', 'vif')}, CASE WHEN v <= 5 THEN 'Low (<5)' WHEN v <= 10 T
   ELSE 'Severe (>100)' END AS vif_category FROM v""")
 plain("drop_collinear_table", """SELECT round(sum(CAST(l_extendedprice AS DOUBLE)), 2) AS l_extendedprice,
     round(sum(2 * CAST(l_quantity AS DOUBLE)), 2) AS twice, round(sum(CAST(l_discount AS DOUBLE)), 2) AS l_discount FROM lineitem""")
-_FEW = """few AS (SELECT triage, CASE WHEN triage = 'RED' THEN 3 ELSE count(*) END AS n FROM visits GROUP BY triage),
+_FEW = """few AS (SELECT triage, count(*) AS n FROM visits GROUP BY triage),
     f AS (SELECT max(n) / CAST(min(n) AS DOUBLE) AS ir FROM few)"""
 sql("quality_checks_failed", """SELECT * FROM (
     SELECT 'synthetic_share' AS "check", 'PASS' AS status, 0e0 AS value

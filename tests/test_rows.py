@@ -2,6 +2,7 @@
 
 import pytest
 
+from riskframe.operators import split
 from riskframe.plans.oracles import ORACLES
 from riskframe.plans.queries import QUERIES
 from riskframe.sources.visits import VITALS, visits
@@ -27,3 +28,9 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_temporal_split_of_no_rows(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts").where("event_id < 0")
+    out = split.temporal(events, "ts")
+    assert out.columns == ["event_id", "ts", "split"] and out.count() == 0
