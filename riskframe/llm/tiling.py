@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import words as W
-from riskframe.llm.shared import stored
+from riskframe.llm.shared import new_folder, stored
 
 LEAST = 5
-#: Bytes of benchmark text that one scan of the documents broadcasts.
+#: Bytes of benchmark text that one scan of the documents broadcasts; blocks are scanned one after the other.
 BLOCK_BYTES = 8_000_000
 #: ASCII punctuation separates words here, so that a passage is found whatever marks follow its words.
 APART = W.SPACE.copy()
@@ -128,16 +128,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
-    items = stored(items.withColumn("bytes", F.octet_length("text")), "items")
-    parts = max(1, -(-(items.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
-    out = None
-    for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in block.select("item_id", "text").collect()]))
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _leaks(shared, percent), "doc_id long, item_id long, n_words long, n_covered long, n_tiles long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    layout = "doc_id long, item_id long, n_words long, n_covered long, n_tiles long"
+    folder = new_folder(spark, "leaks")
+    items, blocks = _blocks(items)
+    for block in range(blocks):
+        rows = items.where(F.col("block") == block).select("item_id", "text").collect()  # BLOCK_BYTES, or one longer item
+        shared = spark.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in rows]))
+        texts.mapInArrow(_leaks(shared, percent), layout).write.parquet(f"{folder}/block={block}")
+        shared.destroy()
+    if not blocks:
+        return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).parquet(*[f"{folder}/block={block}" for block in range(blocks)])
+
+
+def _blocks(items: DataFrame) -> tuple[DataFrame, int]:
+    """Items with the number of their block, and how many blocks there are.
+
+    Items are dealt by hash into cells; cells in a row fill a block up to ``BLOCK_BYTES``, and an item too long to share one has a
+    block to itself. The sums are over cells, and over the few items that are long.
+    """
+    sized = items.withColumn("bytes", F.octet_length("text").cast("long"))
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    cells = max(1, 16 * total // BLOCK_BYTES)
+    long = F.col("bytes") * 16 > BLOCK_BYTES
+    cell = F.when(long, F.xxhash64("item_id", "text").cast("string")).otherwise(
+        F.concat(F.lit("c"), F.pmod(F.xxhash64("item_id", "text"), F.lit(cells)).cast("string")))
+    sized = stored(sized.withColumn("cell", cell), "items")
+    number, filled, blocks = 0, 0, {}
+    for row in sized.groupBy("cell").agg(F.sum("bytes").alias("bytes")).orderBy("cell").collect():  # 16 cells a block
+        if filled and filled + row["bytes"] > BLOCK_BYTES:
+            number, filled = number + 1, 0
+        blocks[row["cell"]], filled = number, filled + row["bytes"]
+    if not blocks:
+        return sized.withColumn("block", F.lit(0)), 0
+    table = items.sparkSession.createDataFrame(list(blocks.items()), "cell string, block int")
+    return stored(sized.join(F.broadcast(table), "cell").select("item_id", "text", "block"), "blocks"), number + 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import hamming_join, longest_factor, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
 from riskframe.llm.queries import tokenizer_file
@@ -145,6 +146,20 @@ def test_mixed_rows_hold_the_words_taken(awkward):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in schedule.taken(awkward).collect())
 
 
+def test_leaks_in_blocks(spark, awkward, monkeypatch):
+    bench = spark.createDataFrame([(i, f"{w} two three four five six seven") for i, w in enumerate("abcdefgh")] + [(8, "w " * 40), (8, "w " * 40)],
+                                  "item_id int, text string")
+    docs = spark.createDataFrame([(i, f"x {w} two three four five six seven") for i, w in enumerate("abcdefgh")] + [(9, "w " * 50), (None, None)],
+                                 "doc_id long, text string")
+    whole = Counter(map(tuple, tiling.leaks(docs, bench).collect()))
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 100)
+    blocks, n = tiling._blocks(bench.withColumn("item_id", F.col("item_id").cast("long")))
+    sizes = blocks.groupBy("block").agg(F.sum(F.octet_length("text")).alias("b"), F.count_distinct("item_id").alias("n")).collect()
+    assert len(sizes) == n > 2 and blocks.count() == bench.count() and all(r.b <= 100 or r.n == 1 for r in sizes)
+    assert Counter(map(tuple, tiling.leaks(docs, bench).collect())) == whole and len(whole) >= 9
+    assert tiling.leaks(docs, bench.where("false")).count() == 0
+
+
 def test_leaks(spark, awkward, nothing):
     text = dict((i, t) for i, t, *_ in ROWS)[9].split()
     items = [(1, " ".join(text[100:140])), (2, " ".join(text[520:540] + text[500:520])), (3, " ".join(text[10:20]) + " no no no no no no no no no"),
