@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.llm import hamming_join, longest_factor, pairwise_quality, quality_rules, recurrent, schedule, tiling, token_files, warc_index, weak_toxicity
+from riskframe.llm.shared import stored
 from riskframe.llm.queries import tokenizer_file
 from llm_rows import awkward_rows
 
@@ -146,6 +147,19 @@ def test_mixed_rows_hold_the_words_taken(awkward):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in schedule.taken(awkward).collect())
 
 
+def test_numbers_by_ranges(spark, monkeypatch):
+    rows = spark.range(200_000).select(F.when(F.col("id") != 77, F.col("id") % 150_000).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    kept = []
+    monkeypatch.setattr(longest_factor, "stored", lambda df, label: (kept.append(stored(df, label)), kept[-1])[1])
+    found = longest_factor._numbered(rows).toPandas()
+    sizes = [r["count"] for r in kept[0].groupBy("range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 100_000
+    ordered = found.sort_values("doc").reset_index(drop=True)
+    assert ordered["doc"].tolist() == list(range(1, 200_001)) and ordered["doc_id"].isna().tolist() == [False] * 199_999 + [True]
+    pairs = list(zip(ordered["doc_id"][:-1], ordered["digest"][:-1], strict=True))
+    assert pairs == sorted(pairs)
+
+
 def test_leaks_in_blocks(spark, awkward, monkeypatch):
     bench = spark.createDataFrame([(i, f"{w} two three four five six seven") for i, w in enumerate("abcdefgh")] + [(8, "w " * 40), (8, "w " * 40)],
                                   "item_id int, text string")
