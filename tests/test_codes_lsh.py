@@ -68,3 +68,32 @@ def test_lsh_answers_odd_rows_exactly(spark):
         knn_impute.knn(donors, "v", ["v", *dims], "id", method="other")
     full = knn_impute.knn(donors.withColumn("v", F.when(F.col("id") != 3, F.col("v"))), "v", ["v", *dims], "id", method="lsh")
     assert full.where("v is null").isEmpty() and full.count() == donors.count()
+
+
+def test_lsh_plan_does_not_grow_with_the_cuts(spark):
+    """Cells of many cuts are searched in the tasks; the plan held a comparison per cut before."""
+    dims = ["a", "b"]
+    df = frame(spark, [[float(i), float(i * i % 97), 0.0, 0.0] for i in range(200)])
+    sizes = []
+    for parts in (4, 300):
+        edges = {(t, x): [k / 2 - 40 for k in range(parts - 1)] for t in range(2) for x in "xy"}
+        cells, _ = lsh._cells(df, dims, 2, parts, 42, {"a": 1.0, "b": 2.0}, edges)
+        out = df.select("a", "b", cells.alias("c"))
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+    assert sizes[1] < 1.5 * sizes[0]
+    first = np.random.default_rng(42).standard_normal((2, 2))[0]
+    for r in out.collect():
+        assert r.c[0]["x"] == sum(r.a * first[0] + r.b * first[1] > e for e in edges[0, "x"])
+
+
+def test_lsh_blocks_hold_all_cells_around(spark, monkeypatch):
+    """Cells of a few rows make many blocks: a probe at the edge of its block still meets the cells beyond."""
+    monkeypatch.setattr(lsh, "CELL_ROWS", 4)
+    dims = ["a", "b", "c", "d"]
+    donors, queries = frame(spark, points(3, 600, 0)), frame(spark, points(4, 60, 0), 10_000)
+    got = {}
+    for block, most in ((3, 4096), (64, 3)):
+        monkeypatch.setattr(lsh, "BLOCK", block)
+        monkeypatch.setattr(lsh, "DONORS", most)
+        got[block] = sorted((r.id, [tuple(p) for p in r.near]) for r in lsh.nearest_lsh(queries, donors, dims, 5).collect())
+    assert got[3] == got[64] and len(got[3]) == 60
