@@ -117,3 +117,21 @@ def test_pools_are_those_of_the_library(spark):
     assert out.where("abs(cal_a + cal_b - 1) > 1e-9").isEmpty()
     assert models.isotonic_pools(df.limit(0), "y", {"a": "s"}).count() == 0
     assert metrics.summary(out.withColumn("p", models.arg_max({c: F.col(f"cal_{c}") for c in "ab"})).where("y is not null"), "y", "p").count() == 1
+
+
+def test_bootstrap_draws_every_row(spark):
+    """Each row has its own draw in each replicate: two rows of one cell weigh what their keys' digests say."""
+    from hashlib import md5
+
+    df = spark.createDataFrame([(7, "a", "a"), (8, "a", "a"), (9, "b", "a"), (9, "b", "a"), (None, "b", "b"), (1, None, "a")], "id long, y string, p string")
+    steps = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+
+    def draw(rep, key):
+        u = int(md5(f"42|{rep // 4}|{key}".encode()).hexdigest()[8 * (rep % 4):8 * (rep % 4) + 8], 16) / 2**32
+        return sum(u >= s for s in steps)
+
+    got = {(r.rep, r.y, r.p): r.n for r in study.bootstrap_counts(df, "y", "p", "id", 30).collect()}
+    want = {}
+    for rep in range(30):
+        want |= {(rep, "a", "a"): draw(rep, 7) + draw(rep, 8), (rep, "b", "a"): 2 * draw(rep, 9)}
+    assert got == {k: v for k, v in want.items() if v}
