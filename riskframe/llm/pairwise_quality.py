@@ -7,7 +7,7 @@ differences. A quantile of the training texts' scores is the cut; scores are ret
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import words as W
-from riskframe.llm.labelled import SAMPLE_ROWS, held_out, sample
+from riskframe.llm.labelled import held_out, whole
+from riskframe.llm.shared import stored, tasks
 
 #: The returned score of a text at the cut.
 AT = 0.3
 #: Opponents that each text of the rarer label meets.
 OPPONENTS = 25
+#: Labelled texts of a group, about, within which pairs are drawn; pairs held at once; edges that scores are counted by for the cut.
+GROUP_ROWS, PAIRS, EDGES = 20_000, 100_000, 65_536
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "symbol": b"#*$%&|<>", "shout": b"!?", "stop": b".,;:", "line": b"\n",
             "bar": b"|", "quote": b"\"'()[]{}", "link": b"/@=_", "other": range(128, 192)}
 
@@ -73,35 +76,92 @@ class Ranking(NamedTuple):
         return 1 / (1 + np.exp(-(self.raw(x) - self.cut + np.log(AT / (1 - AT))).clip(-50, 50)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, seed: int = 5, ridge: float = 1e-3, rounds: int = 40) -> Ranking | None:
-    """Bradley-Terry weights, and the score quantile that parts the labels best (the two classes weigh the same)."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
+class _Tasks:
+    """Sums over the groups of labelled texts, a row per group: its features and labels, in the order of its ids."""
+
+    def __init__(self, groups: DataFrame) -> None:
+        self.groups = groups
+
+    def each(self, work: Callable[[int, np.ndarray, np.ndarray], Sequence[np.ndarray]]) -> list[list[np.ndarray]]:
+        """What ``work`` (group, features, labels) makes of every group, in the groups' order: arrays whose size rows do not change."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, x, label in zip(*(batch.column(c).to_pylist() for c in ("group", "x", "label")), strict=True):
+                    label = np.frombuffer(label, np.int8)
+                    made = work(group, np.frombuffer(x, np.float64).reshape(len(label), -1), label)
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([[np.asarray(m, np.float64).tobytes() for m in made]], pa.list_(pa.binary()))],
+                                                     ["group", "made"])
+
+        found = self.groups.mapInArrow(run, "group long, made array<binary>").collect()  # a few KB per GROUP_ROWS rows
+        return [[np.frombuffer(m, np.float64) for m in r["made"]] for r in sorted(found, key=lambda r: r["group"])]
+
+
+def _pairs(label: np.ndarray, rare: int, group: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(winners, losers) of a group: each text of the rarer label meets OPPONENTS of the other."""
+    few, often = np.flatnonzero(label == rare), np.flatnonzero(label == 1 - rare)
+    if not len(few) or not len(often):
+        return few[:0], few[:0]
+    met = np.random.default_rng(seed + group).choice(often, (len(few), OPPONENTS))
+    win, lose = (met.ravel(), np.repeat(few, OPPONENTS))
+    return (win, lose) if rare == 0 else (lose, win)
+
+
+def fit(groups: DataFrame, seed: int = 5, ridge: float = 1e-3, rounds: int = 40) -> Ranking | None:
+    """Bradley-Terry weights, and the score quantile that parts the labels best (the two classes weigh the same).
+
+    Every sum runs over all labelled texts, group by group in tasks; a step of Newton's method is one scan of their features.
+    """
+    sums = _Tasks(groups)
+    facts = sums.each(lambda g, x, label: [np.array([len(x), (label == 1).sum(), (label == 0).sum()]), x.sum(0)])
+    if not facts:
         return None
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = ((x - mean) / scale).clip(-8, 8)
-    rng = np.random.default_rng(seed)
-    rare, often = (bad, good) if len(bad) <= len(good) else (good, bad)
-    met = rng.choice(often, (len(rare), OPPONENTS))
-    win, lose = (met.ravel(), np.repeat(rare, OPPONENTS)) if rare is bad else (np.repeat(rare, OPPONENTS), met.ravel())
-    gap = z[win] - z[lose]
-    w, n = np.zeros(z.shape[1]), len(gap)
+    n, n_good, n_bad = np.sum([f[0] for f in facts], 0)
+    if not n_good or not n_bad:
+        return None
+    mean = np.sum([f[1] for f in facts], 0) / n
+    scale = np.sqrt(np.sum([f[0] for f in sums.each(lambda g, x, label: [((x - mean) ** 2).sum(0)])], 0) / n) + 1e-6
+    rare, d = (0 if n_bad <= n_good else 1), len(mean)
+    w = np.zeros(d)
+
+    def slopes(group: int, x: np.ndarray, label: np.ndarray) -> Sequence[np.ndarray]:
+        win, lose = _pairs(label, rare, group, seed)
+        z = ((x - mean) / scale).clip(-8, 8)
+        first, second, met = np.zeros(d), np.zeros((d, d)), 0
+        for s in range(0, len(win), PAIRS):
+            gap = z[win[s:s + PAIRS]] - z[lose[s:s + PAIRS]]
+            p = 1 / (1 + np.exp(-(gap @ w).clip(-50, 50)))
+            first, second, met = first + gap.T @ (1 - p), second + (gap.T * (p * (1 - p))) @ gap, met + len(gap)
+        return [first, second.ravel(), np.array([met])]
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(gap @ w).clip(-50, 50)))
-        step = np.linalg.solve((gap.T * (p * (1 - p))) @ gap / n + ridge * np.eye(len(w)), gap.T @ (1 - p) / n - ridge * w)
+        first, second, met = (np.sum(parts, 0) for parts in zip(*sums.each(slopes), strict=True))
+        step = np.linalg.solve(second.reshape(d, d) / met[0] + ridge * np.eye(d), first / met[0] - ridge * w)
         w = w + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    raw = z @ w
-    shares = np.arange(1, 1000) / 1000
-    cuts = np.quantile(raw, shares)
-    ones, zeros = np.sort(raw[good]), np.sort(raw[bad])
-    right = (1 - np.searchsorted(ones, cuts, "left") / len(ones)) + np.searchsorted(zeros, cuts, "left") / len(zeros)
-    return Ranking(mean, scale, w, float(cuts[right.argmax()]))
+
+    def raw(x: np.ndarray) -> np.ndarray:
+        return ((x - mean) / scale).clip(-8, 8) @ w
+
+    ends = sums.each(lambda g, x, label: [np.array([raw(x).min(), raw(x).max()])])
+    edges = np.linspace(min(e[0][0] for e in ends), max(e[0][1] for e in ends), EDGES)
+
+    def below(group: int, x: np.ndarray, label: np.ndarray) -> Sequence[np.ndarray]:
+        score = raw(x)
+        return [np.bincount(np.searchsorted(edges, score[label == c], "right"), minlength=EDGES + 1) for c in (0, 1)]
+
+    counts = [np.zeros(EDGES + 1), np.zeros(EDGES + 1)]
+    for made in sums.each(below):
+        counts = [a + b for a, b in zip(counts, made, strict=True)]
+    zeros, ones = (np.concatenate([[0], np.cumsum(c[1:-1])]) + c[0] for c in counts)  # rows of each label below each edge
+    at = np.searchsorted(zeros + ones, np.arange(1, 1000) / 1000 * n, "left").clip(max=EDGES - 1)
+    right = (1 - ones[at] / n_good) + zeros[at] / n_bad
+    return Ranking(mean, scale, w, float(edges[at[right.argmax()]]))
 
 
 def train(rows: DataFrame) -> Ranking | None:
-    """A ranking from (doc_id, text, label), a bounded table; None without both labels."""
+    """A ranking from all rows of (doc_id, text, label); None without both labels."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,22 +169,29 @@ def train(rows: DataFrame) -> Ranking | None:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())],
                                              ["doc_id", "label", "x"])
 
-    table = rows.select("doc_id", "text", "label").mapInArrow(read, "doc_id long, label int, x binary").collect()  # bounded by the sample
-    table = sorted((r[0], r[1], bytes(r[2])) for r in table)
-    if not table:
-        return None
-    x = np.frombuffer(b"".join(r[2] for r in table), np.float64).reshape(len(table), -1)
-    return fit(x, np.array([r[1] for r in table]))
+    read_rows = stored(rows.select("doc_id", "text", "label").mapInArrow(read, "doc_id long, label int, x binary").where("label in (0, 1)"), "features")
+    n = read_rows.count()
+    many = max(1, -(-n // GROUP_ROWS))
+
+    def packed(table: pa.Table) -> pa.Table:
+        own = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("x").to_pylist(), strict=True))
+        return pa.table([pa.array([table.column("group")[0].as_py()], pa.int64()), pa.array([b"".join(r[2] for r in own)], pa.binary()),
+                         pa.array([np.array([r[1] for r in own], np.int8).tobytes()], pa.binary())], ["group", "x", "label"])
+
+    dealt = read_rows.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(many)))
+    parts = min(many, tasks(rows.sparkSession))
+    groups = dealt.repartition(parts, "group").groupBy("group").applyInArrow(packed, "group long, x binary, label binary")
+    return fit(stored(groups, "groups"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs`` (doc_id, text).
 
-    Only texts are read for a score. ``labels`` (doc_id, quality) trains on at most ``rows`` rows outside the held-out fold. Null
+    Only texts are read for a score. ``labels`` (doc_id, quality) trains on all rows outside the held-out fold. Null
     and empty texts score as texts without words; a null doc_id counts as held out; repeated rows score alike. Without labels of
     both classes every score is 0.
     """
-    ranking = train(sample(docs, labels, "quality", rows))
+    ranking = train(whole(docs, labels, "quality"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

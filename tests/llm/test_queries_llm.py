@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from llm_rows import prose
 
 import corpus_pipeline
-from riskframe.llm import hamming_join, longest_factor, quality_rules, schedule, tiling, weak_toxicity
+from riskframe.llm import hamming_join, longest_factor, pairwise_quality, quality_rules, schedule, tiling, weak_toxicity
 from riskframe.llm.oracles import ORACLES
 from riskframe.llm.queries import QUERIES, tokenizer_file
 
@@ -407,3 +408,27 @@ def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
     twice = docs.unionByName(docs)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, twice, sf_dir).collect()) == list(range(12))
     assert corpus_pipeline.token_output(spark, docs, sf_dir).count() == 12
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More labelled texts than the 20,000 that a sample once held: all that are not held out reach the fit, in groups."""
+    docs = spark.range(27_000).selectExpr("id as doc_id", "concat('a text of ', id) as text")
+    labels = spark.range(27_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(pairwise_quality, "fit", lambda groups: seen.append(groups.selectExpr("count(*)", "sum(octet_length(label))").first()))
+    assert pairwise_quality.quality(docs, labels).limit(1).count() == 1
+    assert tuple(seen[0]) == (2, sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(27_000))) and seen[0][1] > 20_000
+
+
+def test_quality_fit_over_groups(spark, monkeypatch):
+    """Sums over groups are those of one group: the means are equal, and both rankings part the texts."""
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id % 3 = 0, concat('### $$$ ', id, ' | | |'), concat('plain words of row ', id)) as text")
+    rows = docs.selectExpr("doc_id", "text", "cast(doc_id % 3 != 0 as int) as label")
+    one = pairwise_quality.train(rows)
+    monkeypatch.setattr(pairwise_quality, "GROUP_ROWS", 60)
+    many = pairwise_quality.train(rows)
+    assert np.allclose(one.mean, many.mean) and np.allclose(one.scale, many.scale)
+    texts = pa.array([r.text for r in rows.orderBy("doc_id").collect()])
+    for ranking in (one, many):
+        assert [int(s >= 0.3) for s in ranking.score(pairwise_quality.features(texts))] == [int(i % 3 != 0) for i in range(400)]
+    assert pairwise_quality.train(rows.where("label = 1")) is None and pairwise_quality.train(rows.limit(0)) is None
