@@ -105,3 +105,27 @@ def test_gaps_and_empty_tables_stop_the_job(spark):
     model = models.forest(df, FEATURES, "y", n_estimators=2)
     with pytest.raises(Exception, match="must be filled"):
         model.score(df.withColumn("f1", F.lit(None).cast("double"))).collect()
+
+
+@pytest.mark.parametrize("scored", [128 << 20, 1])
+def test_search_beyond_the_shared_rows_agrees_with_shared_fits(spark, monkeypatch, scored):
+    """Prefixes, depths, folds and steps of fits by all tasks against fits of a task each, whose draws differ."""
+    small_sizes(monkeypatch)
+    monkeypatch.setattr(forests, "SCORED", scored)
+    df = frame(spark, 1500).withColumn("fold", F.pmod(F.hash("f0", "f1", "f2"), F.lit(3))).withColumn("step", F.pmod(F.xxhash64("f0", "f1", "f2"), F.lit(2)))
+    plots = [grown.Plot(0, 0, 1, 5, 2, 0.8, (6, 12), (2, 7)), grown.Plot(1, 1, 0, 5, 2, 0.8, (12,), (7,))]
+    one, other = ({(r["plot"], r["trees"], r["depth"], r["held"]): r for r in
+                   metrics.from_counts(run.evaluate(df, FEATURES, "label", plots, "fold", "step"), ["plot", "trees", "depth", "held"]).collect()}
+                  for run in (grown, forests))
+    assert one.keys() == other.keys() and len(one) == 10
+    assert all(one[k]["n"] == other[k]["n"] and abs(one[k]["balanced_accuracy"] - other[k]["balanced_accuracy"]) < 0.08 for k in one)
+
+
+def test_large_searches_have_no_fit_per_setting(spark, monkeypatch):
+    """A table beyond ``shared_rows`` shares its fits: nine settings that differ in trees and depth are one fit a fold."""
+    grown_plots = []
+    whole = forests.grow
+    monkeypatch.setattr(forests, "grow", lambda rows, sizes, plot, *a: grown_plots.append(plot) or whole(rows, sizes, plot, *a))
+    df = frame(spark, 600).withColumn("fold", F.pmod(F.hash("f0", "f1", "f2"), F.lit(2)))
+    table = models.tune(df, "forest", FEATURES, "y", "fold", "w", {"n_estimators": [2, 4, 6], "max_depth": [2, 3, 4]}, shared_rows=0)
+    assert table.count() == 9 and len(grown_plots) == 2 and table.first()["mean_score"] > 0.5
