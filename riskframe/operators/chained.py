@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import exists, remove, spread, work_folder
-from . import encode, impute, quantiles
+from . import encode, forests, impute, quantiles, regressor
 
 MIN_KNOWN = 10
 MIN_FEATURES = 3
@@ -152,6 +151,8 @@ def chained_forest(df: DataFrame, columns: Sequence[str], rounds: int = 10, tree
                    seed: int = 42, key: str | None = None, root: str | None = None) -> DataFrame:
     """The same chain with a forest per column and round; the columns come out as doubles.
 
+    Trees grow from summed histograms over cuts at quantiles of the values present (see ``regressor``).
+
     Only rows with gaps ever change, and inside a round each column is a projection on the round's first rows. So a round writes
     one file: the rows with gaps, with their key and the chained columns alone. The file of the round before is then deleted, and
     the disk holds the narrow table and at most two such files, for any number of rounds or other columns.
@@ -178,19 +179,19 @@ def chained_forest(df: DataFrame, columns: Sequence[str], rounds: int = 10, tree
         raise ValueError(f"{key} does not tell rows apart")
     gap = F.greatest(*[F.col(c).isNull() for c in columns])
     whole = narrow.where(~gap).select(*columns)
+    cuts = dict(zip(columns, forests.bounds(narrow, columns), strict=True))
     last = 0
     for done in range(1, rounds + 1):
         if exists(spark, f"{home}/round_{done}/_SUCCESS"):
             last = done
     for turn in range(last + 1, rounds + 1):
         state = spark.read.parquet(f"{home}/round_{turn - 1}") if turn > 1 else _start(narrow.where(gap), columns, means)
+        models: list[tuple[str, regressor.Model]] = []
         for c in learned:
-            pack = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="_x")
-            forest = RandomForestRegressor(featuresCol="_x", labelCol=c, predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed)
-            present = state.where(~F.col(f"_gap_{c}")).select(*columns)
-            model = forest.fit(pack.transform(whole.unionByName(present)).select("_x", c))
-            state = model.transform(pack.transform(state)).withColumn(
-                c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p")
+            forest = regressor.SummedForest([o for o in columns if o != c], cuts, means[c], labelCol=c, numTrees=trees, maxDepth=depth, seed=seed)
+            present = regressor.filled(state, models).where(~F.col(f"_gap_{c}")).select(*columns)
+            models.append((c, forest.fit(whole.unionByName(present))))
+        state = regressor.filled(state, models)
         state.write.mode("overwrite").parquet(f"{home}/round_{turn}")
         if turn > 1:
             remove(spark, f"{home}/round_{turn - 1}")

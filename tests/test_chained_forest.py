@@ -4,9 +4,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import functions as F
 
-from riskframe.operators import chained
+from riskframe.operators import chained, forests, regressor, summed
 from riskframe.session import remove
 
 
@@ -79,3 +81,35 @@ def test_edges(spark):
         chained.chained(df, ["a", "c"], 1, "forest", 2, key="id")
     assert chained.chained(df.limit(0), ["a", "c"], 1, "forest").count() == 0
     assert chained.chained(df, ["_row"], 1, "forest").count() == 3
+
+
+def test_forest_of_summed_histograms(spark):
+    """It tells as much as MLlib's from the same rows, and a fit is at most a job a level."""
+    draw, names = np.random.default_rng(5), list("abcdef")  # two of six are tried, and most of them tell something
+    a, b, c = draw.normal(size=(3, 4000))
+    rows = [tuple(map(float, r)) for r in zip(a, b, c, a + b, a - b, a * b, a * b + 2 * a + 40, strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in [*names, "y"])).repartition(4)
+    cuts = dict(zip(names, forests.bounds(df, names), strict=True))
+    spark.sparkContext.setJobGroup("summed-forest", "")
+    model = regressor.SummedForest(names, cuts, 40.0, labelCol="y", numTrees=20, maxDepth=5, seed=42).fit(df)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("summed-forest")) <= 6
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = df.toPandas()
+    mine = np.mean((model.predict({k: got[k].to_numpy() for k in names}) - got["y"].to_numpy())**2)
+    packed = VectorAssembler(inputCols=names, outputCol="_x").transform(df)
+    other = RandomForestRegressor(featuresCol="_x", labelCol="y", numTrees=20, maxDepth=5, seed=42).fit(packed).transform(packed).toPandas()
+    theirs = np.mean((other["prediction"] - other["y"])**2)
+    assert mine < 1.4 * theirs < 0.6 * got["y"].var()
+    with pytest.raises(Exception, match="must be filled"):
+        regressor.SummedForest(names, cuts, 40.0, labelCol="y").fit(df.withColumn("c", F.lit(float("nan"))))
+
+
+def test_fills_in_turn(spark):
+    """A later column is filled from what an earlier one was filled with; rows without gaps stay."""
+    cuts = {"a": [0.5], "b": [0.5]}
+    nodes = summed.Nodes(np.array([0]), np.zeros(3, int), np.array([0, 32, 32]), np.array([1, 1, 2]), np.array([0.0, -1.0, 1.0]), 1)
+    one, two = regressor.Model(["b"], cuts, nodes, 0.0), regressor.Model(["a"], cuts, nodes, 10.0)
+    df = spark.createDataFrame([("x", 0.0, 0.0, True, True), ("y", 0.0, 1.0, True, True), ("z", 5.0, 5.0, False, False)],
+                               "id string, a double, b double, _gap_a boolean, _gap_b boolean")
+    got = {r.id: (r.a, r.b) for r in regressor.filled(df, [("a", one), ("b", two)]).collect()}
+    assert got == {"x": (-1.0, 9.0), "y": (1.0, 11.0), "z": (5.0, 5.0)}
