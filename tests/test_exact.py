@@ -243,3 +243,13 @@ def test_queries_pass_by_most_boxes():
     assert got == {(int(r), int(b)) for r, b in zip(*np.nonzero(gap <= 0.01), strict=True)}
     assert (gap[np.arange(len(x)), home] == 0).all()
     assert found.tests < len(x) * len(cells) / 10
+
+
+def test_first_search_passes_by_the_wide_boxes_of_rare_patterns():
+    cells = [(i, j) for i in range(8) for j in range(8)]
+    rects = pd.DataFrame({"box": range(64), "g": "", "pattern": 3, "n": 4000, "a_lo": [10.0 * i for i, _ in cells], "a_hi": [10.0 * i + 10 for i, _ in cells],
+                          "b_lo": [10.0 * j for _, j in cells], "b_hi": [10.0 * j + 10 for _, j in cells]})
+    few = pd.DataFrame({"box": [64], "g": "", "pattern": 1, "n": 20, "a_lo": 0.0, "a_hi": 80.0, "b_lo": np.nan, "b_hi": np.nan})
+    found = neighbors._Rectangles(pd.concat([rects, few], ignore_index=True), "g", ["a", "b"])
+    x = np.random.default_rng(0).random((200, 2)) * 80  # each inside one small box, and inside the wide one
+    assert (found.home("", 3, x, 5) == np.floor(x[:, 0] / 10) * 8 + np.floor(x[:, 1] / 10)).all()
