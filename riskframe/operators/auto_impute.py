@@ -29,6 +29,7 @@ class Policy:
 def auto(df: DataFrame, target: str, key: str, policy: Policy = Policy(), skip: Sequence[str] = ()
          ) -> tuple[DataFrame, DataFrame]:
     """The filled table with missing-indicators, and the log. Target and keys are left alone."""
+    df = durable(df)  # every step reads it
     found = roles(df, target, [key, *skip])
     n, gaps = missing_counts(df)
     marks = [c for c in [*found.numeric, *found.text]

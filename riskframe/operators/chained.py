@@ -91,19 +91,18 @@ class ChainedLinear:
     def apply(self, df: DataFrame) -> DataFrame:
         """A pure projection, also for new rows or a stream."""
         d = len(self.columns)
-        centred = [F.coalesce(F.col(c) - F.lit(self.means[c]), F.lit(0.0)) for c in self.columns]
         if d > TABLE_COLUMNS:
             return self._apply_steps(df)
-        width = d * (d + 1)
-        table = F.lit(np.stack([self.equations(p) for p in range(1 << d)]).ravel())
-        marked = df.withColumn("_eq", F.slice(table, _gap_pattern(self.columns) * width + 1, width))  # this row's equations
+        # higher-order functions: d * (d + 1) sums written out make code too long to be compiled
+        present = F.array(F.lit(1.0), *[F.coalesce(F.col(c) - F.lit(self.means[c]), F.lit(0.0)) for c in self.columns])
+        table = np.stack([self.equations(p) for p in range(1 << d)])
         filled = {}
         for i, c in enumerate(self.columns):
-            value = F.lit(self.means[c]) + F.get("_eq", F.lit(i * (d + 1)))
-            for j in range(d):
-                value = value + F.get("_eq", F.lit(i * (d + 1) + j + 1)) * centred[j]
-            filled[c] = F.coalesce(F.col(c), value)
-        return marked.withColumns(filled).drop("_eq")
+            row = F.slice(F.lit(table[:, i].ravel()), F.col("_gaps") * (d + 1) + 1, d + 1)  # this row's equation
+            terms = F.zip_with(row, "_present", lambda w, x: w * x)
+            value = F.aggregate(terms, F.lit(self.means[c]).cast("double"), lambda total, term: total + term)
+            filled[c] = F.when(F.col(c).isNull(), value).otherwise(F.col(c))
+        return df.withColumns({"_gaps": _gap_pattern(self.columns), "_present": present}).withColumns(filled).drop("_gaps", "_present")
 
     def _apply_steps(self, df: DataFrame) -> DataFrame:
         out = _start(df, self.columns, self.means)

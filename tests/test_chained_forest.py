@@ -1,6 +1,7 @@
 """The forest chain: rounds as small files, and going on after a stop."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from riskframe.operators import chained, forests, regressor, summed
+from riskframe.operators import auto_impute, chained, forests, regressor, summed
 from riskframe.session import remove
 
 
@@ -113,3 +114,31 @@ def test_fills_in_turn(spark):
                                "id string, a double, b double, _gap_a boolean, _gap_b boolean")
     got = {r.id: (r.a, r.b) for r in regressor.filled(df, [("a", one), ("b", two)]).collect()}
     assert got == {"x": (-1.0, 9.0), "y": (1.0, 11.0), "z": (5.0, 5.0)}
+
+
+def test_linear_chain_fills_in_compiled_code(spark, capsys):
+    """Six columns; methods above 8,000 bytes of code are interpreted by the JVM."""
+    names = list("abcdef")
+    df = spark.range(200).select("id", *[F.when(F.col("id") % (i + 3) != 0, (F.col("id") * (i + 2) % 31).cast("double")).alias(c) for i, c in enumerate(names)])
+    chain = chained.ChainedLinear.fit(df, names, 3)
+    out = chain.apply(df)
+    wide = {r.id: r for r in chain._apply_steps(df).collect()}
+    assert all(abs(r[c] - wide[r.id][c]) < 1e-9 for r in out.collect() for c in names)
+    out.explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_auto_reads_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    df = spark.range(120).selectExpr("id", "cast(id % 7 as double) as hr", "case when id % 5 != 1 then cast(id % 11 as double) end as spo2",
+                                     "case when id % 6 != 0 then cast(id % 4 as string) end as c", "cast(id % 2 as string) as y")
+    filled, _ = auto_impute.auto(df.mapInPandas(counted, df.schema), "y", "id", auto_impute.Policy(category_trees=2))
+    assert filled.where("spo2 is null or c is null").count() == 0
+    assert seen.value == 120
