@@ -29,9 +29,15 @@ HEAD_WORDS, CLASSES, CLASS_WORDS = 1 << 18, 40, 50
 #: Spelling classes of the other words: last byte (comma, full stop, other mark, none) by plain ASCII or not by length.
 SPELLINGS = 24
 #: State size, steps of truncated backpropagation, documents side by side in training and scoring.
-STATE, STEPS, TRAIN_LANES, LANES = 16, 16, 64, 256
-#: Training documents of the warm start; the averaged round reads all of them.
-WARM_DOCS = 1500
+STATE, STEPS, TRAIN_LANES, LANES = 16, 16, 128, 256
+#: Tokens after which training begins a long document's state again, so that one document does not keep a lane busy alone.
+TRAIN_PIECE = 2048
+#: Logits up to this have exponentials that floats hold.
+MOST_LOGIT = 60
+#: Training documents of the warm start, and of them side by side; the averaged round reads all documents.
+WARM_DOCS, WARM_LANES = 1500, 64
+#: Documents that a training task has in memory.
+TRAIN_DOCS = 4000
 
 
 def learned() -> Column:
@@ -87,13 +93,34 @@ class Vocabulary(NamedTuple):
     distinct: int
     ends: int
     class_of_spelling: np.ndarray  # log10 of tokens + distinct words + 1 of each spelling class
+    starts: np.ndarray  # place of the first hash with each run of upper bits
+
+    def network(self) -> Vocabulary:
+        """The same with the network's own words alone."""
+        own = self.ids >= 0
+        return self._replace(hashes=self.hashes[own], counts=self.counts[own], ids=self.ids[own], starts=_starts(self.hashes[own]))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash in the head, or -1."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        upper = (hashes >> np.uint64(65 - len(self.starts).bit_length())).astype(np.int32)
+        at, end = self.starts[upper], self.starts[upper + 1]
+        out = np.full(len(hashes), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):  # few hashes share their upper bits
+            place = at[open_]
+            same = self.hashes[place] == hashes[open_]
+            out[open_[same]] = place[same]
+            at[open_] += 1
+            open_ = open_[~same & (place + 1 < end[open_])]
+        return out
+
+
+def _starts(hashes: np.ndarray) -> np.ndarray:
+    """For each value of the upper bits, four values a hash, the place of the first of the sorted hashes with it."""
+    bits = max(len(hashes), 1).bit_length() + 1
+    return np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
 
 def vocabulary(counts: DataFrame, ends: int, head: int = HEAD_WORDS) -> tuple[Vocabulary, int]:
@@ -118,7 +145,7 @@ def vocabulary(counts: DataFrame, ends: int, head: int = HEAD_WORDS) -> tuple[Vo
     by = {r["spelling"]: (r["n"], r["words"]) for r in counts.groupBy("spelling").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     sums = np.array([sum(by.get(k, (0, 0))) for k in range(SPELLINGS)], float)
     sums -= np.bincount(kinds[best], n[best] + 1, SPELLINGS)[:SPELLINGS]
-    return Vocabulary(hashes, n, ids, int(total[0] or 0) + ends, int(total[1]) + (ends > 0), ends, np.log10(sums + 1)), least
+    return Vocabulary(hashes, n, ids, int(total[0] or 0) + ends, int(total[1]) + (ends > 0), ends, np.log10(sums + 1), _starts(hashes)), least
 
 
 class Tokens(NamedTuple):
@@ -186,6 +213,13 @@ def lanes(bounds: np.ndarray, most: int) -> Lanes:
     return Lanes(place, fresh, (place >= 0).sum(1))
 
 
+def pieces(bounds: np.ndarray, most: int) -> np.ndarray:
+    """Bounds of the texts cut into pieces of at most ``most`` tokens."""
+    n = -(-np.diff(bounds) // most)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.append(np.repeat(bounds[:-1], n) + within * most, bounds[-1])
+
+
 SHAPES = {"enter": (CLASSES * CLASS_WORDS + SPELLINGS, 3 * STATE), "carry": (STATE, 3 * STATE), "bias": (3 * STATE,),
           "group": (STATE, GROUPS), "group_bias": (GROUPS,), "word": (CLASSES, CLASS_WORDS, STATE), "word_bias": (CLASSES, CLASS_WORDS)}
 
@@ -221,37 +255,62 @@ class Network:
         return new
 
     def steps(self, entry: np.ndarray, fresh: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States before each token of a window, the state after it, and (``keep``) what backpropagation needs."""
-        s = STATE
-        gates = self.enter[entry]
-        before = np.zeros((*entry.shape, s), np.float32)
-        memory = [np.zeros(before.shape, np.float32) for _ in range(4)] if keep else []
+        """States before each token of a window, the state after it, and (``keep``) what backpropagation needs: reset, update and
+        carried part, and the new state. Lanes are the last axis in memory, so that each part of a gate is one stretch."""
+        s, h = STATE, np.ascontiguousarray(h.T)
+        gates = np.ascontiguousarray(self.enter[entry].transpose(0, 2, 1))
+        # a logistic function is a hyperbolic tangent of half its argument
+        gates[:, : 2 * s] += self.bias[: 2 * s, None]
+        gates[:, : 2 * s] *= 0.5
+        carry, bias = self.carry.T.copy(), self.bias[2 * s :, None]
+        carry[: 2 * s] *= 0.5
+        begins = fresh.any(1)
+        before = np.zeros((len(entry), s, entry.shape[1]), np.float32)
+        memory = (np.zeros(gates.shape, np.float32), np.zeros(before.shape, np.float32)) if keep else ()
         for t in range(len(entry)):
             n = int(active[t])
-            now = np.where(fresh[t, :n, None], np.float32(0), h[:n])
-            before[t, :n] = now
-            inner = now @ self.carry + self.bias
-            both = 1 / (1 + np.exp(-(gates[t, :n, : 2 * s] + inner[:, : 2 * s])))
-            reset, update = both[:, :s], both[:, s:]
-            new = np.tanh(gates[t, :n, 2 * s :] + reset * inner[:, 2 * s :])
-            h[:n] = new + update * (now - new)
+            now = np.where(fresh[t, :n], np.float32(0), h[:, :n]) if begins[t] else h[:, :n]
+            before[t, :, :n] = now
+            inner = carry @ now
+            both, carried = inner[: 2 * s], inner[2 * s :]
+            both += gates[t, : 2 * s, :n]
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            carried += bias
+            new = both[:s] * carried
+            new += gates[t, 2 * s :, :n]
+            np.tanh(new, out=new)
+            after = now - new
+            after *= both[s:]
+            after += new
+            h[:, :n] = after
             if keep:
-                for kept, part in zip(memory, (inner[:, 2 * s :], reset, update, new), strict=True):
-                    kept[t, :n] = part
-        return before, h, memory
+                memory[0][t, :, :n] = inner
+                memory[1][t, :, :n] = new
+        return before.transpose(0, 2, 1), h.T, memory
+
+    @staticmethod
+    def _chances(logits: np.ndarray, pick: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the logits, their sums, and the picked places' log probability; logits are overwritten. States are
+        within 1, so logits below ``bound`` by weight need no search for the largest."""
+        if bound > MOST_LOGIT:
+            logits -= logits.max(1, keepdims=True)
+        rows = np.arange(0, logits.size, logits.shape[1]) + pick
+        out = logits.ravel()[rows]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], np.float32)
+        return rows, total, out - np.log(total)
 
     def output(self, states: np.ndarray, group: np.ndarray, word: np.ndarray, gradient: dict | None = None):
         """Natural-log probability of each token; with ``gradient``, that of the loss is added and the states' returned."""
-        logits = states @ self.group + self.group_bias
-        logits -= logits.max(1, keepdims=True)
-        chance = np.exp(logits)
-        total = chance.sum(1, keepdims=True)
-        rows = np.arange(len(group))
-        out = logits[rows, group] - np.log(total[:, 0])
+        chance = states @ self.group
+        chance += self.group_bias
+        rows, total, out = self._chances(chance, group, float((np.abs(self.group).sum(0) + np.abs(self.group_bias)).max()))
         back = None
         if gradient is not None:
-            chance /= total
-            chance[rows, group] -= 1
+            chance *= (1 / total)[:, None]
+            chance.ravel()[rows] -= 1
             gradient["group"] += states.T @ chance
             gradient["group_bias"] += chance.sum(0)
             back = chance @ self.group.T
@@ -261,17 +320,16 @@ class Network:
         held = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
         if not held:
             return out, back
-        mine, rows = states[order], np.arange(len(order))
-        logits = self.word_bias[group[order]]
+        mine = states[order]
+        chance = np.empty((len(order), CLASS_WORDS), mine.dtype)
         for c, own in held:
-            logits[own] += mine[own] @ self.word[c].T
-        logits -= logits.max(1, keepdims=True)
-        chance = np.exp(logits)
-        total = chance.sum(1, keepdims=True)
-        out[order] += logits[rows, word[order]] - np.log(total[:, 0])
+            part = np.matmul(mine[own], self.word[c].T, out=chance[own])
+            part += self.word_bias[c]
+        rows, total, named = self._chances(chance, word[order], float((np.abs(self.word).sum(2) + np.abs(self.word_bias)).max()))
+        out[order] += named
         if gradient is not None:
-            chance /= total
-            chance[rows, word[order]] -= 1
+            chance *= (1 / total)[:, None]
+            chance.ravel()[rows] -= 1
             pull = np.empty_like(mine)
             for c, own in held:
                 gradient["word"][c] += chance[own].T @ mine[own]
@@ -280,13 +338,13 @@ class Network:
             back[order] += pull
         return out, back
 
-    def train(self, found: Tokens, rate: float, state: dict) -> None:
+    def train(self, found: Tokens, rate: float, state: dict, most: int = TRAIN_LANES) -> None:
         """One pass of truncated backpropagation with Adam over a batch of texts."""
         if len(found.bounds) < 2:
             return
-        dealt = lanes(found.bounds, TRAIN_LANES)
+        dealt = lanes(pieces(found.bounds, TRAIN_PIECE), most)
         h = np.zeros((dealt.place.shape[1], STATE), np.float32)
-        grad_flat, step = np.empty_like(self.flat), np.empty_like(self.flat)
+        grad_flat, words = np.empty_like(self.flat), self.enter.size
         grad = Network(grad_flat)
         parts = {k: getattr(grad, k) for k in SHAPES}
         for at in range(0, len(dealt.place), STEPS):
@@ -295,50 +353,63 @@ class Network:
             place, fresh = place[:, :n], fresh[:, :n]
             real = place >= 0
             entry = np.where(real, found.input[place], 0)
-            before, h, (inner, reset, update, new) = self.steps(entry, fresh, active, h[:n], keep=True)
-            grad_flat.fill(0)
-            _, back = self.output(before[real], found.group[place[real]], found.word[place[real]], parts)
-            reach = np.zeros(before.shape, np.float32)
-            reach[real] = back
+            before, h, (gates, new) = self.steps(entry, fresh, active, h[:n], keep=True)
+            grad_flat[words:] = 0
+            own = place[real]
+            _, back = self.output(before[real], found.group[own], found.word[own], parts)
+            before, reach = before.transpose(0, 2, 1), np.zeros(new.shape, np.float32)
+            reach.transpose(0, 2, 1)[real] = back
             # lanes without a token keep zeros throughout
+            reset, update, carried = (gates[:, k * STATE : (k + 1) * STATE] for k in range(3))
             of_new = (1 - update) * (1 - new * new)
             of_update = (before - new) * update * (1 - update)
-            of_reset = inner * reset * (1 - reset)
-            through = np.where(fresh[:, :, None], np.float32(0), np.float32(1))
-            gates = np.zeros((*place.shape, 3 * STATE), np.float32)
-            inside = np.zeros_like(gates)
-            d = np.zeros_like(h)
+            of_reset = carried * reset * (1 - reset)
+            begins, through = fresh.any(1), (~fresh).astype(np.float32)
+            inside, pull = np.empty_like(gates), np.empty_like(new)
+            d = np.zeros_like(new[0])
             for t in range(len(place) - 1, -1, -1):
-                dn = d * of_new[t]
-                dr = dn * of_reset[t]
+                dn = np.multiply(d, of_new[t], out=pull[t])
                 both = inside[t]
-                both[:, :STATE] = dr
-                both[:, STATE : 2 * STATE] = d * of_update[t]
-                both[:, 2 * STATE :] = dn * reset[t]
-                gates[t, :, 2 * STATE :] = dn
-                d = (d * update[t] + both @ self.carry.T + reach[t]) * through[t]
-            gates[:, :, : 2 * STATE] = inside[:, :, : 2 * STATE]
-            parts["carry"] += before.reshape(-1, STATE).T @ inside.reshape(-1, 3 * STATE)
-            parts["bias"] += inside.sum((0, 1))
-            rows, flat = entry[real], gates[real]
+                np.multiply(dn, of_reset[t], out=both[:STATE])
+                np.multiply(d, of_update[t], out=both[STATE : 2 * STATE])
+                np.multiply(dn, reset[t], out=both[2 * STATE :])
+                d *= update[t]
+                d += self.carry @ both
+                d += reach[t]
+                if begins[t]:
+                    d *= through[t]
+            parts["carry"] += np.matmul(before, inside.transpose(0, 2, 1)).sum(0)
+            parts["bias"] += inside.sum((0, 2))
+            inside[:, 2 * STATE :] = pull
+            rows, flat = entry[real], inside.transpose(0, 2, 1)[real]
             order = np.argsort(rows, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-            parts["enter"][rows[order][first]] = np.add.reduceat(flat[order], first, axis=0)
-            grad_flat /= max(len(rows), 1)
+            n = np.float32(1 / max(len(rows), 1))
             state["t"] += 1
-            t, m, v = state["t"], state["m"], state["v"]
-            m *= 0.9
-            m += np.multiply(grad_flat, 0.1, out=step)
-            v *= 0.99
-            grad_flat *= grad_flat
-            grad_flat *= 0.01
-            v += grad_flat
-            np.sqrt(v, out=step)
-            step *= (1 - 0.99**t) ** -0.5
-            step += 1e-6
-            np.divide(m, step, out=step)
-            step *= rate / (1 - 0.9**t)
-            self.flat -= step
+            pace = rate / (1 - 0.9 ** state["t"]), (1 - 0.99 ** state["t"]) ** -0.5
+            grad_flat[words:] *= n
+            self._adam(slice(words, None), grad_flat[words:], state, pace)
+            # words that a window lacks keep their weights and moments
+            met = rows[order][first]
+            self._adam_rows(met, np.add.reduceat(flat[order], first, axis=0) * n, state, pace)
+
+    def _adam(self, at: slice, grad: np.ndarray, state: dict, pace: tuple[float, float]) -> None:
+        """A step of the weights ``at``; ``grad`` is overwritten."""
+        m, v = state["m"][at], state["v"][at]
+        m *= 0.9
+        m += 0.1 * grad
+        v *= 0.99
+        grad *= grad
+        grad *= 0.01
+        v += grad
+        self.flat[at] -= pace[0] * m / (np.sqrt(v) * pace[1] + 1e-6)
+
+    def _adam_rows(self, met: np.ndarray, grad: np.ndarray, state: dict, pace: tuple[float, float]) -> None:
+        """The same for some rows of the input weights."""
+        m, v = (state[k][: self.enter.size].reshape(self.enter.shape) for k in ("m", "v"))
+        new_m, new_v = 0.9 * m[met] + 0.1 * grad, 0.99 * v[met] + 0.01 * grad * grad
+        m[met], v[met] = new_m, new_v
+        self.enter[met] -= pace[0] * new_m / (np.sqrt(new_v) * pace[1] + 1e-6)
 
     def score(self, found: Tokens) -> np.ndarray:
         """Natural-log probability of each token's class and word in it, the state carried over whole texts."""
@@ -363,16 +434,18 @@ def _adam() -> dict:
 
 
 def _trained(known, weights, rate: float, passes: int):
-    """Trains on a task's texts; returns the weights in pieces with the number of tokens behind them."""
+    """Trains on a task's texts, more than one pass in the warm start; returns the weights in pieces with the number of tokens
+    behind them."""
+    most = TRAIN_LANES if passes == 1 else WARM_LANES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, state, seen = Network(weights.value.copy()), _adam(), 0
+        net, state, seen, words = Network(weights.value.copy()), _adam(), 0, known.value.network()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                found = tokens(batch.slice(at, 2000), known.value)
+            for at in range(0, batch.num_rows, TRAIN_DOCS):
+                found = tokens(batch.slice(at, TRAIN_DOCS), words)
                 seen += len(found.group)
                 for k in range(passes):
-                    net.train(found, rate / (1 + k), state)
+                    net.train(found, rate / (1 + k), state, most)
         if seen:
             pieces = np.array_split(net.flat, 32)
             yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([seen] * 32, pa.int64()),

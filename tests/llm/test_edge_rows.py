@@ -266,3 +266,26 @@ def test_language_scores(awkward, nothing):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == want
     assert all(r.score < 0 for r in got)
     assert recurrent.language_scores(nothing).count() == 0
+
+
+def test_a_long_text_does_not_train_alone():
+    """One long text among short ones takes no more steps than its share, and every token is still in one piece."""
+    bounds = np.cumsum([0, 30_000, *[60] * 500])
+    cut = recurrent.pieces(bounds, recurrent.TRAIN_PIECE)
+    assert set(bounds) <= set(cut) and np.diff(cut).max() <= recurrent.TRAIN_PIECE and np.diff(cut).min() > 0
+    n = int(bounds[-1])
+    found = recurrent.Tokens(*(np.zeros(n, np.int16) for _ in range(3)), np.zeros(n, np.int32), np.zeros(n, np.uint64), bounds)
+    state = recurrent._adam()
+    recurrent.Network(np.zeros(recurrent.Network.size(), np.float32)).train(found, 0.001, state)
+    assert state["t"] <= 2 * recurrent.TRAIN_PIECE / recurrent.STEPS
+
+
+def test_words_are_looked_up_by_their_upper_bits():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 3, 5000):
+        hashes = np.unique(np.concatenate([rng.integers(0, 2**64, size, np.uint64), np.array([0, 7, 8, 2**64 - 1], np.uint64)[:size]]))
+        none = np.zeros(0)
+        known = recurrent.Vocabulary(hashes, none, none, 0, 0, 0, none, recurrent._starts(hashes))
+        asked = np.concatenate([hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        place = {int(h): k for k, h in enumerate(hashes)}
+        assert known.lookup(asked).tolist() == [place.get(int(h), -1) for h in asked]
