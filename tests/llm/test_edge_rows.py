@@ -289,3 +289,17 @@ def test_words_are_looked_up_by_their_upper_bits():
         asked = np.concatenate([hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
         place = {int(h): k for k, h in enumerate(hashes)}
         assert known.lookup(asked).tolist() == [place.get(int(h), -1) for h in asked]
+
+
+def test_texts_are_worked_on_in_parts(monkeypatch):
+    """A batch's work is bounded by bytes, not by the rows of a batch; parts hold all rows in order, empty and null texts too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(longest_factor, "PART", 1000)
+    texts = ["x" * 300, None, "", "é" * 900, *["y" * 90] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "text"])
+    parts = list(longest_factor._parts(iter([batch.slice(0, 0), batch, batch.slice(3, 5)])))
+    assert [r for p in parts for r in p.to_pylist()] == [*batch.to_pylist(), *batch.slice(3, 5).to_pylist()]
+    assert max(p.num_rows * 90 for p in parts if p.column("text")[0].as_py() == "y" * 90) <= 1000
+    many = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([f"{i} " * 200 for i in range(50)])], ["doc", "text"])
+    assert len(list(longest_factor._sketch(4)(iter([many])))) >= 10
