@@ -52,7 +52,7 @@ class SummedForest(RandomForestRegressor):
         return len(self.names) if self.getNumTrees() == 1 else math.ceil(len(self.names) / 3)
 
     def _fit(self, dataset: DataFrame) -> Model:
-        label, names, cuts, trees, seed, centre = self.getLabelCol(), self.names, self.cuts, self.getNumTrees(), self.getSeed(), self.centre
+        label, names, cuts, trees, seed, centre = self.getLabelCol(), self.names, self.cuts, self.getNumTrees(), self.getSeed() % (1 << 63), self.centre
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n, at = [], 0, TaskContext.get().partitionId() << 32
