@@ -129,3 +129,29 @@ def test_large_searches_have_no_fit_per_setting(spark, monkeypatch):
     df = frame(spark, 600).withColumn("fold", F.pmod(F.hash("f0", "f1", "f2"), F.lit(2)))
     table = models.tune(df, "forest", FEATURES, "y", "fold", "w", {"n_estimators": [2, 4, 6], "max_depth": [2, 3, 4]}, shared_rows=0)
     assert table.count() == 9 and len(grown_plots) == 2 and table.first()["mean_score"] > 0.5
+
+
+def test_a_filter_on_the_result_does_not_score_twice(spark):
+    """Metrics drop rows without a prediction; that filter must not be moved below the scoring, which would then run for it, too."""
+    df = frame(spark, 300)
+    for model in (models.forest(df, FEATURES, "y", n_estimators=3, max_depth=3), models.boosted(df, FEATURES, "y", n_estimators=2, max_depth=2)):
+        plan = metrics.summary(model.score(df), "y", "prediction")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_parts_are_read_for_many_batches_at_a_time(spark, monkeypatch):
+    """Four parts and batches of 30 rows: each part's tables are read once for all of a task's rows, and again for the next 100."""
+    small_sizes(monkeypatch)
+    df = frame(spark, 800).coalesce(1).withColumn("id", F.monotonically_increasing_id())
+    model = models.forest(df, FEATURES, "y", n_estimators=4, max_depth=6)
+    want = {r.id: (r.p_a, r.p_b, r.p_c) for r in model.score(df).collect()}
+    monkeypatch.setattr(forests, "SCORED", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        for held in (1 << 19, 100):
+            monkeypatch.setattr(forests, "HELD", held)
+            got = model.score(df)
+            assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+            assert {r.id: (r.p_a, r.p_b, r.p_c) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -135,3 +135,47 @@ def test_bootstrap_draws_every_row(spark):
     for rep in range(30):
         want |= {(rep, "a", "a"): draw(rep, 7) + draw(rep, 8), (rep, "b", "a"): 2 * draw(rep, 9)}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_nodes_that_cannot_be_split_are_left_out(monkeypatch):
+    """Pure nodes and those with too few rows are not looked at again, nor are their rows; parts of a level change nothing."""
+    x, y, _ = rows(2000, 7)
+    bins, w, draws = (x % 32).astype(np.uint8), np.random.default_rng(2).random(2000), np.random.default_rng(1).poisson(0.8, (3, 2000))
+    seen, whole = [], grown._split
+
+    def watched(part, size, mass, drawn, *more):
+        seen.append((int(drawn.min()), int((mass > 0).sum(1).min()), len(part[1]) == size.sum()))
+        return whole(part, size, mass, drawn, *more)
+
+    monkeypatch.setattr(grown, "_split", watched)
+    trees = [grown.Trees(bins, y, w, 3, draws, 5, 2, 9, np.random.default_rng(0))]
+    assert min(s[0] for s in seen) >= 10 and min(s[1] for s in seen) >= 2 and all(s[2] for s in seen)
+    monkeypatch.setattr(grown, "PART_NODES", 3)
+    monkeypatch.setattr(grown, "WALKED", 64)
+    trees.append(grown.Trees(bins, y, w, 3, draws, 5, 2, 9, np.random.default_rng(0)))
+    for name in ("feature", "cut", "child", "share"):
+        assert (getattr(trees[0], name) == getattr(trees[1], name)).all()
+    one, other = (t.votes(bins, (2, 9)) for t in trees)
+    assert all((one[d] == other[d]).all() for d in (2, 9))
+    # every row's way, a node at a time
+    at = np.zeros(2000, np.int64)
+    for _ in range(9):
+        child = trees[0].child[at]
+        at = np.where(child < 0, at, child + (bins[np.arange(2000), trees[0].feature[at]] > trees[0].cut[at]))
+    walk = grown.Walk(trees[0].feature, trees[0].cut, trees[0].child)
+    assert (next(walk.steps(0, bins, (9,)))[1] == at).all() and (trees[0].child[at] < 0).all()
+
+
+def test_masses_of_weighted_classes_tell_the_rows():
+    """With one weight a class, and with any weights, no leaf has fewer rows than asked for."""
+    x, y, _ = rows(1500, 8)
+    bins, draws = (x % 32).astype(np.uint8), np.random.default_rng(3).poisson(0.8, (1, 1500))
+    for w in (np.ones(1500), np.array([0.3, 1.7, 5.1])[y], np.random.default_rng(4).random(1500)):
+        t = grown.Trees(bins, y, w, 3, draws, 7, 3, 12, np.random.default_rng(0))
+        ends = next(grown.Walk(t.feature, t.cut, t.child).steps(0, bins, (99,)))[1]
+        drawn = np.bincount(ends, draws[0])
+        assert drawn[drawn > 0].min() >= 7 and (drawn > 0).sum() > 20
+        for c in range(3):
+            mass = np.bincount(ends, draws[0] * w * (y == c), len(t.child))
+            total = np.bincount(ends, draws[0] * w, len(t.child))
+            assert np.allclose(t.share[drawn.nonzero(), c], mass[drawn.nonzero()] / total[drawn.nonzero()])
