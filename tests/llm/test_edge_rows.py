@@ -303,3 +303,27 @@ def test_texts_are_worked_on_in_parts(monkeypatch):
     assert max(p.num_rows * 90 for p in parts if p.column("text")[0].as_py() == "y" * 90) <= 1000
     many = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([f"{i} " * 200 for i in range(50)])], ["doc", "text"])
     assert len(list(longest_factor._sketch(4)(iter([many])))) >= 10
+
+
+def test_suffixes_that_are_alone_are_not_ranked_again(monkeypatch):
+    """Ranks against sorted prefixes, and later copies against brute force; each doubling sorts only what still shares a rank."""
+    r = np.random.default_rng(5)
+    words = [bytes(r.integers(97, 123, 6, dtype=np.uint8)) for _ in range(400)]
+    data = b" ".join(words[i] for i in r.integers(0, 400, 500))
+    data = np.frombuffer(data + data[200:900] + b"\0" * 130 + data[700:1200], np.uint8)
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(longest_factor.np, "argsort", lambda a, *more, **named: (sizes.append(len(a)), sort(a, *more, **named))[1])
+    rank = longest_factor.suffix_ranks(data)
+    monkeypatch.undo()
+    assert sizes[0] == len(data) + longest_factor.LENGTH and all(n < 0.7 * sizes[0] for n in sizes[1:]) and len(sizes) == 5
+    whole = data.tobytes() + b"\0" * 100
+    prefixes = [whole[i:i + 100] for i in range(len(data))]
+    names = {p: i for i, p in enumerate(sorted(set(prefixes)))}
+    assert np.unique(rank, return_inverse=True)[1].tolist() == [names[p] for p in prefixes]
+    start = np.arange(len(data) - 99)
+    doc, place = start // 1000, start % 1000
+    first = {}
+    for i in start:
+        first.setdefault(prefixes[i], i)
+    assert longest_factor.later_copies(data, start, doc, place).tolist() == [first[prefixes[i]] != i for i in start]
+    assert longest_factor.suffix_ranks(data[:0]).tolist() == [] and not longest_factor.later_copies(data, start[:0], doc[:0], place[:0]).size
